@@ -21,8 +21,27 @@ SETTINGS = C.Settings(
 SNAPSHOTS = ["1998-11-01", "1998-11-02", "1998-11-16", "1998-11-17"]
 
 
+# Declared so that opening a table starts no job to look into its files.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+        "o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+        "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+        "l_shipdate timestamp_ntz"
+    ),
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def tender_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,33 +224,43 @@ def sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 SNAPSHOT_COLUMNS = [n for n in C.BASE_COLUMNS if n not in ("cod_saci", "cod_ibge", "objeto", "perspectiva_de_retirada_da_suspensiva")]
 
 
+SNAPSHOT_AS_OF = [dt.date(1998, 11, 1), dt.date(1998, 11, 2), dt.date(1998, 11, 16), dt.date(1998, 11, 16)]
+
+
+def _snapshot_rows(spark: SparkSession, sf_dir: str, ords: list[int]) -> DataFrame:
+    """The wanted snapshots of the monitored contracts by ``ord``, every column as text."""
+    k, o = F.col("k"), F.col("ord")
+    base = with_docs(selected(spark, sf_dir)).withColumn("ord", F.explode(F.array(*[F.lit(i) for i in ords])))
+    kept = base.where(F.when(o == 1, k % 89 != 1).otherwise(k % 97 != 1))
+    first = o == 1
+    venc, vlr = F.col("dt_vencimento_suspensiva"), F.col("vlr_repasse")
+    edited = kept.withColumns(
+        {
+            "dt_aio": F.when(~first | (k % 11 != 0), F.col("dt_aio")),
+            "vlr_repasse": F.when(first & (k % 13 == 0), (vlr - 100).cast(DEC)).otherwise(vlr),
+            "situacao": F.when(first & (k % 17 == 0), C.EM_CONTRATACAO).otherwise(F.col("situacao")),
+            "dt_vencimento_suspensiva": F.when((o >= 3) & (k % 19 == 0), F.date_add(venc, 1)).otherwise(venc),
+            "as_of": F.element_at(F.array(*[F.lit(d) for d in SNAPSHOT_AS_OF]), o),
+        }
+    )
+    derived = R.with_contract_rules(edited, dataclasses.replace(SETTINGS, as_of=F.col("as_of")))
+    texts = [F.col(n).cast("string").alias(C.BASE_COLUMNS[n]) for n in SNAPSHOT_COLUMNS]
+    return derived.select("ord", *texts)
+
+
+def _header(ord_: int) -> list[str]:
+    return [C.BASE_COLUMNS[n] for n in SNAPSHOT_COLUMNS if ord_ >= 3 or n != "tipo_doc_suspensiva"]
+
+
 def snapshot(spark: SparkSession, sf_dir: str, ord_: int) -> DataFrame:
-    """Snapshot 1 to 4 of the monitored contracts, every column as text."""
-    k = F.col("k")
-    df = with_docs(selected(spark, sf_dir)).where(k % 89 != 1 if ord_ == 1 else k % 97 != 1)
-    as_of = dt.date(1998, 11, [1, 2, 16, 16][ord_ - 1])
-    if ord_ == 1:
-        df = df.withColumns(
-            {
-                "dt_aio": F.when(k % 11 != 0, F.col("dt_aio")),
-                "vlr_repasse": F.when(k % 13 == 0, (F.col("vlr_repasse") - 100).cast(DEC)).otherwise(F.col("vlr_repasse")),
-                "situacao": F.when(k % 17 == 0, C.EM_CONTRATACAO).otherwise(F.col("situacao")),
-            }
-        )
-    if ord_ >= 3:
-        moved = F.when(k % 19 == 0, F.date_add("dt_vencimento_suspensiva", 1)).otherwise(F.col("dt_vencimento_suspensiva"))
-        df = df.withColumn("dt_vencimento_suspensiva", moved)
-    derived = R.with_contract_rules(df, dataclasses.replace(SETTINGS, as_of=as_of))
-    names = [n for n in SNAPSHOT_COLUMNS if ord_ >= 3 or n != "tipo_doc_suspensiva"]
-    return derived.select(*[F.col(n).cast("string").alias(C.BASE_COLUMNS[n]) for n in names])
+    return _snapshot_rows(spark, sf_dir, [ord_]).select(*_header(ord_))
 
 
 def history(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, list[str]]]:
     """All snapshots in one frame with ``snapshot_date``, and the header of each."""
-    frames = {day: snapshot(spark, sf_dir, i + 1) for i, day in enumerate(SNAPSHOTS)}
-    headers = {day: df.columns for day, df in frames.items()}
-    dated = [df.withColumn("snapshot_date", F.lit(day)) for day, df in frames.items()]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dated), headers
+    day = F.element_at(F.array(*[F.lit(d) for d in SNAPSHOTS]), F.col("ord"))
+    rows = _snapshot_rows(spark, sf_dir, [1, 2, 3, 4]).withColumn("snapshot_date", day).drop("ord")
+    return rows, {d: _header(i + 1) for i, d in enumerate(SNAPSHOTS)}
 
 
 def works(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,12 +9,17 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass, field
 
+from pyspark.sql import Column
+
 
 @dataclass(frozen=True)
 class Settings:
-    """Dates and day counts the contract rules depend on."""
+    """Dates and day counts the contract rules depend on.
+
+    ``as_of`` may also be a date column, for rows of several days in one frame.
+    """
 
-    as_of: dt.date
+    as_of: dt.date | Column
     exempt_before: dt.date = dt.date(2025, 10, 21)
     fixed_cutoff: dt.date = dt.date(2026, 7, 17)
     publication_days: int = 60

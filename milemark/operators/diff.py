@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from milemark import config as C
 from milemark.functions.keys import record_key
-from milemark.functions.text import br_date, br_number, label_map, norm, parse_date
+from milemark.functions.text import br_date, br_number, label_map, norm, norm_sql, parse_date
 from milemark.operators import joins
 from milemark.sources.naming import canonical_name, canonicalize
 
@@ -54,82 +54,73 @@ def comparable_fields(current: Sequence[str], previous: Sequence[str], spec: C.D
     return [f for f in current if f in known and f not in spec.never_compared]
 
 
-def _differs(field: str, before: Column, after: Column, spec: C.DiffSpec) -> Column | None:
-    """Change test for one field; None when the field is never reported."""
-    if field in spec.ignored:
-        return None
-    test = before != after
-    for name, literal in spec.systemic:
-        if name == field:
-            test = test & (before != literal) & (after != literal)
-    return test
-
-
 def field_nature(field: str, spec: C.DiffSpec) -> str:
     if field in spec.source_fields:
         return "dados_origem"
     return "derivado_tempo" if field in spec.time_fields else "derivado_regra"
 
 
-def _category(tests: Mapping[str, Column], spec: C.DiffSpec) -> Column:
-    def any_of(fields: list[str]) -> Column:
-        out = F.lit(False)
-        for f in fields:
-            out = out | tests[f]
-        return out
-
-    source = any_of([f for f in tests if f in spec.source_fields])
-    derived = any_of([f for f in tests if f not in spec.source_fields])
-    return F.when(source & derived, "dados_e_derivados").when(source, "dados").otherwise("derivados_tempo")
+def _needed(spec: C.DiffSpec, fields: Sequence[str]) -> list[str]:
+    extra = [spec.key_source, spec.code_field, spec.value_field, *[s for _, s in spec.carried]]
+    return list(dict.fromkeys([*fields, *[e for e in extra if e]]))
 
 
-def _event(section: int, pos: Column, category: Column, nature: Column, field: Column, before: Column, after: Column) -> Column:
-    return F.struct(
-        F.lit(section).alias("secao"), pos.alias("pos"), category.alias("categoria"), nature.alias("natureza"),
-        field.alias("campo"), before.alias("valor_anterior"), after.alias("valor_atual"),
-    )
+def _values(df: DataFrame, names: Sequence[str]) -> Column:
+    """The named fields as one array of stripped texts; an absent column reads as ''."""
+    return F.expr("array(" + ", ".join(norm_sql(n) if n in df.columns else "''" for n in names) + ")")
 
 
-def _one_sided(section: int, value: Column, spec: C.DiffSpec) -> Column:
-    name = F.lit("novo_registro" if section == ENTERED else "registro_removido")
-    before, after = (F.lit(""), value) if section == ENTERED else (value, F.lit(""))
-    if spec.value_field is None:
-        before = after = F.lit("")
-    return _event(section, F.lit(0), name, name, F.lit(spec.value_field or ""), before, after)
+_PROFILE_TYPE = "array<struct<i:int,pos:int,campo:string,natureza:string,fonte:boolean>>"
 
 
-def _field_events(tests: Mapping[str, Column], before: Column, after: Column, positions: Mapping[str, Column], spec: C.DiffSpec) -> list[Column]:
-    category = F.col("_categoria")
-    return [
-        F.when(
-            test,
-            _event(CHANGED, positions[f], category, F.lit(field_nature(f, spec)), F.lit(f), before[f], after[f]),
-        )
-        for f, test in tests.items()
+def _profile(fields: Sequence[str], names: Sequence[str], spec: C.DiffSpec) -> str:
+    """What is compared, as a literal array: index into the values, position, field, nature."""
+    items = [
+        f"named_struct('i', {names.index(f)}, 'pos', {n}, 'campo', '{f}', "
+        f"'natureza', '{field_nature(f, spec)}', 'fonte', {str(f in spec.source_fields).lower()})"
+        for n, f in enumerate(fields, 1)
+        if f not in spec.ignored
     ]
+    return f"cast(array({', '.join(items)}) as {_PROFILE_TYPE})"
 
 
-def _identity(row: Column, other: Column | None, spec: C.DiffSpec) -> list[Column]:
-    number = F.col(KEY)
-    if spec.key_source is not None:
-        number = F.coalesce(F.nullif(row[spec.key_source], F.lit("")), number)
-    out = [number.alias(spec.key_output)]
-    if spec.code_field is not None:
-        code = row[spec.code_field]
-        if other is not None:
-            code = F.coalesce(F.nullif(code, F.lit("")), other[spec.code_field], F.lit(""))
-        out.append(code.alias("cod_saci"))
-    return out + [row[source].alias(name) for name, source in spec.carried]
+def _with_changes(df: DataFrame, profile: str, spec: C.DiffSpec) -> DataFrame:
+    """Adds ``mudancas``, the profile entries whose value moved from ``p`` to ``c``, and their category.
 
+    Rows whose values are all equal skip the field-by-field comparison.
+    """
+    moved = "p[m.i] <> c[m.i]"
+    for field, literal in spec.systemic:
+        moved += f" and not (m.campo = '{field}' and (p[m.i] = '{literal}' or c[m.i] = '{literal}'))"
+    changes = f"case when p <> c then filter({profile}, m -> {moved}) else cast(array() as {_PROFILE_TYPE}) end"
+    category = """case when not exists(mudancas, x -> x.fonte) then 'derivados_tempo'
+        when exists(mudancas, x -> not x.fonte) then 'dados_e_derivados' else 'dados' end"""
+    return df.withColumn("mudancas", F.expr(changes)).withColumn("categoria", F.expr(category))
+
+
+def _one_sided(section: int, values: str, names: Sequence[str], spec: C.DiffSpec) -> str:
+    name = "novo_registro" if section == ENTERED else "registro_removido"
+    value = f"{values}[{names.index(spec.value_field)}]" if spec.value_field else "''"
+    before, after = ("''", value) if section == ENTERED else (value, "''")
+    return (
+        f"named_struct('secao', {section}, 'pos', 0, 'categoria', '{name}', 'natureza', '{name}', "
+        f"'campo', '{spec.value_field or ''}', 'valor_anterior', {before}, 'valor_atual', {after})"
+    )
 
-def _needed(spec: C.DiffSpec, fields: Sequence[str]) -> list[str]:
-    extra = [spec.key_source, spec.code_field, spec.value_field, *[s for _, s in spec.carried]]
-    return list(dict.fromkeys([*fields, *[e for e in extra if e]]))
 
+_FIELD_EVENTS = f"""transform(mudancas, m -> named_struct('secao', {CHANGED}, 'pos', m.pos, 'categoria', categoria,
+    'natureza', m.natureza, 'campo', m.campo, 'valor_anterior', p[m.i], 'valor_atual', c[m.i]))"""
 
-def _as_row(df: DataFrame, names: Sequence[str]) -> Column:
-    """The named fields as one struct of stripped texts; an absent column reads as ''."""
-    return F.struct(*[(norm(F.col(n)) if n in df.columns else F.lit("")).alias(n) for n in names])
+
+def _identity(row: str, other: str, names: Sequence[str], spec: C.DiffSpec) -> list[Column]:
+    """Key, code and carried fields; a blank code falls back to the other row's."""
+    at = lambda values, field: f"{values}[{names.index(field)}]"
+    number = KEY if spec.key_source is None else f"coalesce(nullif({at(row, spec.key_source)}, ''), {KEY})"
+    out = [f"{number} as {spec.key_output}"]
+    if spec.code_field is not None:
+        code = f"coalesce(nullif({at(row, spec.code_field)}, ''), {at(other, spec.code_field)}, '')"
+        out.append(f"{code} as cod_saci")
+    return [F.expr(e) for e in [*out, *[f"{at(row, source)} as {name}" for name, source in spec.carried]]]
 
 
 def diff_pair(previous: DataFrame, current: DataFrame, spec: C.DiffSpec = C.CONTRACT_DIFF) -> DataFrame:
@@ -140,23 +131,17 @@ def diff_pair(previous: DataFrame, current: DataFrame, spec: C.DiffSpec = C.CONT
     prev, cur = prepare(previous, spec), prepare(current, spec)
     fields = comparable_fields(cur.columns, prev.columns, spec)
     names = _needed(spec, fields)
-    p = prev.select(KEY, _as_row(prev, names).alias("p"))
-    c = cur.select(KEY, _as_row(cur, names).alias("c"))
+    p = prev.select(KEY, _values(prev, names).alias("p"))
+    c = cur.select(KEY, _values(cur, names).alias("c"))
     both = c.join(p, KEY, "full")
-    tests = {f: t for f in fields if (t := _differs(f, F.col("p")[f], F.col("c")[f], spec)) is not None}
-    entered, exited = F.col("p").isNull(), F.col("c").isNull()
-    any_change = F.lit(False)
-    for t in tests.values():
-        any_change = any_change | t
-    kept = both.where(entered | exited | any_change).withColumn("_categoria", _category(tests, spec))
-    positions = {f: F.lit(i + 1) for i, f in enumerate(fields)}
-    value = lambda side: F.col(side)[spec.value_field] if spec.value_field else F.lit("")
-    events = F.when(entered, F.array(_one_sided(ENTERED, value("c"), spec))).when(
-        exited, F.array(_one_sided(EXITED, value("p"), spec))
-    ).otherwise(F.array(*_field_events(tests, F.col("p"), F.col("c"), positions, spec)))
-    row = F.coalesce(F.col("c"), F.col("p"))
-    identity = _identity(row, F.when(~entered & ~exited, F.col("p")), spec)
-    return kept.select(KEY, *identity, F.inline(events)).where(F.col("secao").isNotNull())
+    events = f"""case when p is null then array({_one_sided(ENTERED, "c", names, spec)})
+        when c is null then array({_one_sided(EXITED, "p", names, spec)}) else {_FIELD_EVENTS} end"""
+    flat = _with_changes(both, _profile(fields, names, spec), spec).select(KEY, "c", "p", F.expr(f"inline({events})"))
+    shown = flat.withColumn("r", F.expr("coalesce(c, p)"))
+    return shown.select(
+        KEY, *_identity("r", "p", names, spec), "secao", "pos", "categoria", "natureza", "campo",
+        "valor_anterior", "valor_atual",
+    )
 
 
 def diff_detail(previous: DataFrame, current: DataFrame, spec: C.DiffSpec = C.CONTRACT_DIFF) -> DataFrame:
@@ -195,60 +180,45 @@ def diff_history(
     fields = list(dict.fromkeys(f for d in reversed(days[1:]) for f in pairs[d]))
     names = _needed(spec, fields)
 
-    position_of_day = F.array_position(F.array(*[F.lit(d) for d in days]), F.col("snapshot_date").cast("string"))
+    day = "cast(snapshot_date as string)"
+    known = ", ".join(f"'{d}'" for d in days)
     # A row without a key fails before anything is shuffled.
-    key = F.coalesce(F.col(KEY), F.raise_error(F.lit(f"snapshot row without a key ({', '.join(spec.key_candidates)})")))
-    rows = prepared.select(key.alias(KEY), position_of_day.cast("int").alias("ord"), _as_row(prepared, names).alias("c"))
+    missing = f"raise_error('snapshot row without a key ({', '.join(spec.key_candidates)})')"
+    rows = prepared.select(
+        F.expr(f"coalesce({KEY}, {missing})").alias(KEY),
+        F.expr(f"cast(array_position(array({known}), {day}) as int)").alias("ord"),
+        _values(prepared, names).alias("c"),
+    )
     w = Window.partitionBy(KEY).orderBy("ord")
     seen = rows.select(
         KEY, "ord", "c",
         F.lag(F.struct("ord", "c")).over(w).alias("l"),
         F.lead("ord").over(w).alias("next"),
     )
-    repeated = F.raise_error(F.concat(F.lit("duplicated snapshot key: "), F.col(KEY)))
-    before = F.coalesce(F.col("l.ord") == F.col("ord") - 1, F.lit(False))
-    has_prev = F.when(F.col("l.ord") == F.col("ord"), repeated.cast("boolean")).otherwise(before)
+    repeated = f"raise_error(concat('duplicated snapshot key: ', {KEY}))"
     paired = seen.select(
         KEY, "ord", "c",
-        F.when(has_prev, F.col("l.c")).alias("p"),
-        (F.col("ord") > 1).alias("_later"),
-        ((F.col("ord") < len(days)) & ~F.coalesce(F.col("next") == F.col("ord") + 1, F.lit(False))).alias("_leaves"),
+        F.expr(f"case when l.ord = ord then {repeated} when l.ord = ord - 1 then l.c end").alias("p"),
+        F.expr(f"ord < {len(days)} and coalesce(next <> ord + 1, true)").alias("leaves"),
     )
-    tests, positions = {}, {}
-    for f in fields:
-        test = _differs(f, F.col("p")[f], F.col("c")[f], spec)
-        if test is None:
-            continue
-        at = [i + 2 for i, d in enumerate(days[1:]) if f in pairs[d]]
-        if len(at) < len(days) - 1:
-            test = F.col("ord").isin(at) & test
-        tests[f] = F.coalesce(test, F.lit(False))
-        places = {i + 2: pairs[d].index(f) + 1 for i, d in enumerate(days[1:]) if f in pairs[d]}
-        if len(set(places.values())) == 1:
-            positions[f] = F.lit(next(iter(places.values())))
-        else:
-            steps = [F.when(F.col("ord") == o, F.lit(p)) for o, p in places.items()]
-            positions[f] = F.coalesce(*steps)
-    any_change = F.lit(False)
-    for t in tests.values():
-        any_change = any_change | t
-    enters = F.col("_later") & F.col("p").isNull()
-    kept = paired.where(enters | F.col("_leaves") | any_change).withColumn("_categoria", _category(tests, spec))
-    value = F.col("c")[spec.value_field] if spec.value_field else F.lit("")
-    events = F.array(
-        F.when(enters, _one_sided(ENTERED, value, spec)),
-        F.when(F.col("_leaves"), _one_sided(EXITED, value, spec)),
-        *_field_events(tests, F.col("p"), F.col("c"), positions, spec),
-    )
-    # A record that leaves has no later row to borrow a code from, so only changes do.
-    flat = kept.select(KEY, "ord", "c", "p", F.inline(events)).where(F.col("secao").isNotNull())
-    other = F.when(F.col("secao") == CHANGED, F.col("p"))
-    at_day = F.col("ord") + F.when(F.col("secao") == EXITED, 1).otherwise(0)
-    data = F.element_at(F.array(*[F.lit(d) for d in days]), at_day)
+    # Days that compare the same fields share one profile.
+    profiles = list(dict.fromkeys(tuple(fields_of) for fields_of in pairs.values()))
+    which = ", ".join(["1"] + [str(profiles.index(tuple(pairs[d])) + 1) for d in days[1:]])
+    literals = ", ".join(_profile(f, names, spec) for f in profiles)
+    profile = f"element_at(array({literals}), element_at(array({which}), ord))"
+    nothing = "cast(array() as array<struct<secao:int,pos:int,categoria:string,natureza:string,campo:string,valor_anterior:string,valor_atual:string>>)"
+    events = f"""concat(
+        case when p is null and ord > 1 then array({_one_sided(ENTERED, "c", names, spec)}) else {nothing} end,
+        case when leaves then array({_one_sided(EXITED, "c", names, spec)}) else {nothing} end,
+        {_FIELD_EVENTS})"""
+    changed = _with_changes(paired.where("ord > 1 or leaves"), profile, spec)
+    flat = changed.select(KEY, "ord", "c", "p", F.expr(f"inline({events})"))
+    # Only a changed record borrows a missing code from the row before it.
+    flat = flat.withColumn("o", F.expr(f"case when secao = {CHANGED} then p end"))
+    at_day = f"element_at(array({known}), ord + if(secao = {EXITED}, 1, 0))"
     return flat.select(
-        data.alias("data"),
-        "secao", "pos", *_identity(F.col("c"), other, spec), "categoria", "natureza", "campo",
-        "valor_anterior", "valor_atual",
+        F.expr(at_day).alias("data"), "secao", "pos", *_identity("c", "o", names, spec), "categoria", "natureza",
+        "campo", "valor_anterior", "valor_atual",
     )
 
 
