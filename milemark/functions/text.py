@@ -22,10 +22,10 @@ def norm(c: Column) -> Column:
     return F.btrim(F.coalesce(c.cast("string"), F.lit("")), F.lit(WHITESPACE))
 
 
-def norm_sql(name: str) -> str:
-    """``norm`` of a named column as SQL text, for plans made of many like columns."""
+def strip_sql(text: str) -> str:
+    """The strip of ``norm`` as SQL text, for plans made of many like columns."""
     chars = "".join(f"\\u{ord(ch):04x}" for ch in WHITESPACE)
-    return f"btrim(coalesce(cast(`{name}` as string), ''), '{chars}')"
+    return f"btrim({text}, '{chars}')"
 
 
 def blank_to_null(c: Column) -> Column:

@@ -379,8 +379,9 @@ def freshness(sources: Mapping[str, DataFrame], snapshot: str, cfg: C.Settings)
     keys = joins.distinct_keys(saci, "num_convenio")
 
     def latest(name: str, key: str, stamp: str, tolerant: bool = True) -> DataFrame:
-        used = joins.restrict_to(sources[name].select(key, stamp), key, keys, "num_convenio", tolerant)
-        return used.select(F.col(stamp).alias("t"))
+        # One row per key before the match: only the latest load of a key can count.
+        per_key = sources[name].groupBy(key).agg(F.max(stamp).alias("t"))
+        return joins.restrict_to(per_key, key, keys, "num_convenio", tolerant).select("t")
 
     stamps = {
         "tci_mcid": saci.select(F.col("dte_carga").alias("t")),

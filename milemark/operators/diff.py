@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from milemark import config as C
 from milemark.functions.keys import record_key
-from milemark.functions.text import br_date, br_number, label_map, norm, norm_sql, parse_date
+from milemark.functions.text import br_date, br_number, label_map, norm, parse_date, strip_sql
 from milemark.operators import joins
 from milemark.sources.naming import canonical_name, canonicalize
 
@@ -66,8 +66,12 @@ def _needed(spec: C.DiffSpec, fields: Sequence[str]) -> list[str]:
 
 
 def _values(df: DataFrame, names: Sequence[str]) -> Column:
-    """The named fields as one array of stripped texts; an absent column reads as ''."""
-    return F.expr("array(" + ", ".join(norm_sql(n) if n in df.columns else "''" for n in names) + ")")
+    """The named fields as one array of texts; null and an absent column read as ''.
+
+    Values are stripped later, where two of them differ: nearly all are equal as they stand.
+    """
+    texts = [f"coalesce(cast(`{n}` as string), '')" if n in df.columns else "''" for n in names]
+    return F.expr("array(" + ", ".join(texts) + ")")
 
 
 _PROFILE_TYPE = "array<struct<i:int,pos:int,campo:string,natureza:string,fonte:boolean>>"
@@ -89,9 +93,10 @@ def _with_changes(df: DataFrame, profile: str, spec: C.DiffSpec) -> DataFrame:
 
     Rows whose values are all equal skip the field-by-field comparison.
     """
-    moved = "p[m.i] <> c[m.i]"
+    before, after = strip_sql("p[m.i]"), strip_sql("c[m.i]")
+    moved = f"p[m.i] <> c[m.i] and {before} <> {after}"
     for field, literal in spec.systemic:
-        moved += f" and not (m.campo = '{field}' and (p[m.i] = '{literal}' or c[m.i] = '{literal}'))"
+        moved += f" and not (m.campo = '{field}' and ('{literal}' in ({before}, {after})))"
     changes = f"case when p <> c then filter({profile}, m -> {moved}) else cast(array() as {_PROFILE_TYPE}) end"
     category = """case when not exists(mudancas, x -> x.fonte) then 'derivados_tempo'
         when exists(mudancas, x -> not x.fonte) then 'dados_e_derivados' else 'dados' end"""
@@ -100,7 +105,7 @@ def _with_changes(df: DataFrame, profile: str, spec: C.DiffSpec) -> DataFrame:
 
 def _one_sided(section: int, values: str, names: Sequence[str], spec: C.DiffSpec) -> str:
     name = "novo_registro" if section == ENTERED else "registro_removido"
-    value = f"{values}[{names.index(spec.value_field)}]" if spec.value_field else "''"
+    value = strip_sql(f"{values}[{names.index(spec.value_field)}]") if spec.value_field else "''"
     before, after = ("''", value) if section == ENTERED else (value, "''")
     return (
         f"named_struct('secao', {section}, 'pos', 0, 'categoria', '{name}', 'natureza', '{name}', "
@@ -109,12 +114,13 @@ def _one_sided(section: int, values: str, names: Sequence[str], spec: C.DiffSpec
 
 
 _FIELD_EVENTS = f"""transform(mudancas, m -> named_struct('secao', {CHANGED}, 'pos', m.pos, 'categoria', categoria,
-    'natureza', m.natureza, 'campo', m.campo, 'valor_anterior', p[m.i], 'valor_atual', c[m.i]))"""
+    'natureza', m.natureza, 'campo', m.campo,
+    'valor_anterior', {strip_sql("p[m.i]")}, 'valor_atual', {strip_sql("c[m.i]")}))"""
 
 
 def _identity(row: str, other: str, names: Sequence[str], spec: C.DiffSpec) -> list[Column]:
     """Key, code and carried fields; a blank code falls back to the other row's."""
-    at = lambda values, field: f"{values}[{names.index(field)}]"
+    at = lambda values, field: strip_sql(f"{values}[{names.index(field)}]")
     number = KEY if spec.key_source is None else f"coalesce(nullif({at(row, spec.key_source)}, ''), {KEY})"
     out = [f"{number} as {spec.key_output}"]
     if spec.code_field is not None:
@@ -423,4 +429,6 @@ def legacy_change_view(log: DataFrame) -> DataFrame:
 
 
 def newest_first(view: DataFrame) -> DataFrame:
-    return view.orderBy(F.desc_nulls_last("data"))
+    """Latest day first; record and field after it keep one busy day from filling one task."""
+    record = "operacao" if "operacao" in view.columns else "num_convenio"
+    return view.orderBy(F.desc_nulls_last("data"), record, "campo")

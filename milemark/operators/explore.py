@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from milemark import config as C
 from milemark.functions.calendar import month_label
 from milemark.functions.text import label_or, squish
+from milemark.operators import skew
 from milemark.plans import selection as S
 
 # Fixed value: page sizes offered by the table.
@@ -124,9 +125,10 @@ def scoped_rows(pending: DataFrame, visible: DataFrame | None, months: Sequence[
     """Rows of the month chart: those visible in the table unless months are chosen."""
     if months or visible is None:
         return pending
-    wanted = visible.select(*[F.col(k).alias(f"_{k}") for k in keys])
-    on = [pending[k].eqNullSafe(wanted[f"_{k}"]) for k in keys]
-    return pending.join(wanted, on, "left_semi")
+    # One text per key combination, nulls included, so that blank keys find each other.
+    row_key = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}).alias("_key")
+    marked = pending.select("*", row_key)
+    return skew.semi_join(marked, visible.select(row_key), {"_key": "_key"}).select(*pending.columns)
 
 
 @dataclass(frozen=True)

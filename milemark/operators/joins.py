@@ -38,14 +38,14 @@ def first_match(left: DataFrame, right: DataFrame, left_key: str, right_key: str
         .agg(F.min(out).alias(out))
     )
     lside = left.withColumn("_lkey", canonical_key(F.col(left_key)))
-    return lside.join(lookup, F.col("_lkey") == F.col("_rkey"), "left").drop("_lkey", "_rkey")
+    return skew.lookup_join(lside, lookup, {"_lkey": "_rkey"}).drop("_lkey", "_rkey")
 
 
 def membership_flag(df: DataFrame, base: DataFrame, key: str, base_key: str, out: str) -> DataFrame:
     """SIM when the stripped key occurs among the base's stripped keys, else NÃO."""
     keys = base.select(blank_to_null(F.col(base_key)).alias("_bkey")).where(F.col("_bkey").isNotNull()).distinct()
-    joined = df.join(keys, norm(F.col(key)) == F.col("_bkey"), "left")
-    return joined.withColumn(out, F.when(F.col("_bkey").isNotNull(), "SIM").otherwise("NÃO")).drop("_bkey")
+    joined = skew.lookup_join(df.withColumn("_dkey", norm(F.col(key))), keys, {"_dkey": "_bkey"})
+    return joined.withColumn(out, F.when(F.col("_bkey").isNotNull(), "SIM").otherwise("NÃO")).drop("_dkey", "_bkey")
 
 
 def distinct_keys(df: DataFrame, key: str) -> DataFrame:
@@ -53,9 +53,13 @@ def distinct_keys(df: DataFrame, key: str) -> DataFrame:
 
 
 def restrict_to(source: DataFrame, source_key: str, keys: DataFrame, key: str, tolerant: bool = True) -> DataFrame:
-    """Source rows whose key occurs in ``keys``."""
+    """Source rows whose key occurs in ``keys``.
+
+    Meant for sources already brought to one row per written key, as freshness does: then no
+    key is hot on either side.
+    """
     as_key = canonical_key if tolerant else (lambda c: c.cast("string"))
-    wanted = keys.select(as_key(F.col(key)).alias("_wanted")).where(F.col("_wanted").isNotNull())
+    wanted = keys.select(as_key(F.col(key)).alias("_wanted")).where(F.col("_wanted").isNotNull()).distinct()
     return source.join(wanted, as_key(F.col(source_key)) == F.col("_wanted"), "left_semi")
 
 
@@ -85,7 +89,7 @@ def previous_row(current: DataFrame, previous: DataFrame, fields: Sequence[str])
         page_key(F.col("num_convenio"), F.col("cod_tci")).alias("_pkey"), F.struct(*fields).alias("prev")
     )
     keyed = current.withColumn("_ckey", page_key(F.col("num_convenio"), F.col("cod_tci")))
-    return keyed.join(lookup, F.col("_ckey") == F.col("_pkey"), "left").drop("_ckey", "_pkey")
+    return skew.lookup_join(keyed, lookup, {"_ckey": "_pkey"}).drop("_ckey", "_pkey")
 
 
 def key_report(df: DataFrame, candidates: Sequence[str], label: str) -> DataFrame:
@@ -120,6 +124,6 @@ def check_keys(df: DataFrame, candidates: Sequence[str], label: str) -> None:
 def restrict_previous(previous: DataFrame, current: DataFrame) -> DataFrame:
     """Previous rows whose contract number and code both occur in the current rows; blank equals blank."""
     pair = ["num_convenio", "cod_tci"]
-    wanted = current.select(*[norm(F.col(c)).alias(f"_{c}") for c in pair])
-    on = [norm(previous[c]) == wanted[f"_{c}"] for c in pair]
-    return previous.join(wanted, on, "left_semi")
+    keys = [norm(F.col(c)).alias(f"_{c}") for c in pair]
+    marked = previous.select("*", *keys)
+    return skew.semi_join(marked, current.select(*keys), {f"_{c}": f"_{c}" for c in pair}).select(*previous.columns)

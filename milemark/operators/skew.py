@@ -7,6 +7,9 @@ the join result never depends on it.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,6 +63,37 @@ def spread_right(df: DataFrame, key: str, hot: DataFrame, salt: str) -> DataFram
     return split.withColumn(salt, F.explode(F.sequence(F.lit(0), F.col("_splits") - 1))).drop("_splits")
 
 
+def lookup_join(
+    left: DataFrame, right: DataFrame, on: Mapping[str, str], rows_per_split: int = ROWS_PER_SPLIT
+) -> DataFrame:
+    """Left join to a table with unique keys; ``on`` maps left key columns to right ones.
+
+    The keys are watched for skew by their hash, so any number and type of them will do.
+    Aggregated lookups are outside what adaptive execution splits, hence the explicit salt.
+    """
+    lcols, rcols = left.columns, right.columns
+    complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on])
+    lside = left.withColumn("_h", F.when(complete, F.xxhash64(*on)))
+    rside = right.withColumn("_rh", F.xxhash64(*on.values()))
+    hot = hot_keys(lside, "_h", rows_per_split)
+    lside = spread_left(lside, "_h", hot, "_salt")
+    rside = spread_right(rside, "_rh", hot, "_rsalt")
+    cond = F.col("_salt") == F.col("_rsalt")
+    for l, r in on.items():
+        cond = cond & (lside[l] == rside[r])
+    return lside.join(rside, cond, "left").select(*lcols, *rcols)
+
+
+def semi_join(
+    left: DataFrame, right: DataFrame, on: Mapping[str, str], rows_per_split: int = ROWS_PER_SPLIT
+) -> DataFrame:
+    """Left rows whose key occurs on the right; repeated right keys are merged before they move."""
+    keys = right.select(*[F.col(r).alias(f"_k{i}") for i, r in enumerate(on.values())]).dropna().distinct()
+    pairs = {l: f"_k{i}" for i, l in enumerate(on)}
+    joined = lookup_join(left, keys, pairs, rows_per_split)
+    return joined.where(F.col("_k0").isNotNull()).select(*left.columns)
+
+
 def skew_join(
     left: DataFrame,
     right: DataFrame,
