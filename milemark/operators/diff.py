@@ -201,14 +201,17 @@ def diff_history(
         F.lag(F.struct("ord", "c")).over(w).alias("l"),
         F.lead("ord").over(w).alias("next"),
     )
+    # Part of the filter, so that no row escapes the check by being filtered first.
     repeated = f"raise_error(concat('duplicated snapshot key: ', {KEY}))"
-    paired = seen.select(
+    leaves = f"(ord < {len(days)} and coalesce(next <> ord + 1, true))"
+    checked = seen.where(f"case when l.ord = ord then {repeated} else ord > 1 or {leaves} end")
+    paired = checked.select(
         KEY, "ord", "c",
-        F.expr(f"case when l.ord = ord then {repeated} when l.ord = ord - 1 then l.c end").alias("p"),
-        F.expr(f"ord < {len(days)} and coalesce(next <> ord + 1, true)").alias("leaves"),
+        F.expr("case when l.ord = ord - 1 then l.c end").alias("p"),
+        F.expr(leaves).alias("leaves"),
     )
     # Days that compare the same fields share one profile.
-    profiles = list(dict.fromkeys(tuple(fields_of) for fields_of in pairs.values()))
+    profiles = list(dict.fromkeys(tuple(f) for f in pairs.values())) or [()]
     which = ", ".join(["1"] + [str(profiles.index(tuple(pairs[d])) + 1) for d in days[1:]])
     literals = ", ".join(_profile(f, names, spec) for f in profiles)
     profile = f"element_at(array({literals}), element_at(array({which}), ord))"
@@ -217,7 +220,7 @@ def diff_history(
         case when p is null and ord > 1 then array({_one_sided(ENTERED, "c", names, spec)}) else {nothing} end,
         case when leaves then array({_one_sided(EXITED, "c", names, spec)}) else {nothing} end,
         {_FIELD_EVENTS})"""
-    changed = _with_changes(paired.where("ord > 1 or leaves"), profile, spec)
+    changed = _with_changes(paired, profile, spec)
     flat = changed.select(KEY, "ord", "c", "p", F.expr(f"inline({events})"))
     # Only a changed record borrows a missing code from the row before it.
     flat = flat.withColumn("o", F.expr(f"case when secao = {CHANGED} then p end"))

@@ -26,10 +26,13 @@ def builder(app: str) -> SparkSession.Builder:
     return out
 
 
-def local(app: str, cpus: int | str = 8, memory: str = "8g") -> SparkSession:
-    """A single-machine session for tests and timings."""
+def local(app: str, cpus: int | str = 8, memory: str = "8g", **more: str) -> SparkSession:
+    """A single-machine session for tests and timings; ``more`` has underscores for dots."""
+    base = builder(app)
+    for key, value in more.items():
+        base = base.config(key.replace("_", "."), value)
     spark = (
-        builder(app)
+        base
         .master(f"local[{cpus}]")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(cpus))

@@ -80,7 +80,10 @@ def read_snapshot(spark: SparkSession, path: str | Sequence[str], multi_line: bo
 def write_quoted_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """``;`` CSV with every field quoted and null written as an empty field."""
     text = df.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in df.columns])
-    text.write.mode(mode).csv(path, sep=";", header=True, quoteAll=True, emptyValue="", escape='"')
+    text.write.mode(mode).csv(
+        path, sep=";", header=True, quoteAll=True, emptyValue="", escape='"',
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+    )
 
 
 def write_summary_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:

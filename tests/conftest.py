@@ -10,10 +10,7 @@ from milemark import session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    base = tmp_path_factory.mktemp("spark")
-    from pyspark.sql import SparkSession
-
-    SparkSession.builder.config("spark.sql.warehouse.dir", str(base / "warehouse"))
-    s = session.local("tests", 4, "4g")
+    warehouse = tmp_path_factory.mktemp("spark") / "warehouse"
+    s = session.local("tests", 4, "4g", spark_sql_warehouse_dir=str(warehouse))
     yield s
     s.stop()
