@@ -53,19 +53,10 @@ def tender_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One contract per order, with its milestones."""
-    places = (
-        read(spark, sf_dir, "customer")
-        .join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    )
+def milestones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One contract per order, with its milestones but without its place."""
     k = F.col("o_orderkey")
-    orders = (
-        read(spark, sf_dir, "orders")
-        .join(places, F.col("o_custkey") == F.col("c_custkey"))
-        .join(tender_dates(spark, sf_dir), k == F.col("l_orderkey"), "left")
-    )
+    orders = read(spark, sf_dir, "orders").join(tender_dates(spark, sf_dir), k == F.col("l_orderkey"), "left")
     text = k.cast("string")
     d = F.col("o_orderdate").cast("date")
     number = (
@@ -84,15 +75,11 @@ def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     analysis = F.element_at(F.array(*[F.lit(v) for v in C.SUSPENSIVA_ORDER]), (k % 7 + 1).cast("int"))
     base = orders.select(
         k.alias("k"),
+        "o_custkey",
         number.alias("num_convenio"),
         F.concat(F.lit("1-"), text).alias("cod_tci"),
         F.when(k % 20 == 0, "FIN").otherwise("OGU").alias("fonte"),
         F.when(k % 43 == 0, "OUTRA SELECAO").otherwise(SETTINGS.fase).alias("fase"),
-        F.when(k % 53 != 0, F.col("c_mktsegment")).alias("secretaria"),
-        F.col("r_name").alias("regiao"),
-        F.col("n_name").alias("uf"),
-        F.when(k % 59 == 0, " ").otherwise(F.col("c_name")).alias("municipio"),
-        F.concat(F.lit("Prefeitura de "), F.col("c_name")).alias("proponente"),
         F.col("o_orderpriority").alias("modalidade"),
         status.alias("situacao"),
         F.when(k % 47 != 0, d).alias("dt_assinatura"),
@@ -111,6 +98,27 @@ def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``milestones`` with secretariat, region, state, municipality and proponent."""
+    places = (
+        read(spark, sf_dir, "customer")
+        .join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    )
+    k = F.col("k")
+    placed = milestones(spark, sf_dir).join(places, F.col("o_custkey") == F.col("c_custkey"))
+    named = placed.withColumns(
+        {
+            "secretaria": F.when(k % 53 != 0, F.col("c_mktsegment")),
+            "regiao": F.col("r_name"),
+            "uf": F.col("n_name"),
+            "municipio": F.when(k % 59 == 0, " ").otherwise(F.col("c_name")),
+            "proponente": F.concat(F.lit("Prefeitura de "), F.col("c_name")),
+        }
+    )
+    return named.drop("o_custkey", *places.columns)
+
+
 DEC = "decimal(18,2)"
 
 
@@ -156,7 +164,7 @@ def previous_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The contract table split into its sources, each writing the key in its own way."""
-    base = contracts(spark, sf_dir)
+    base, dates = contracts(spark, sf_dir), milestones(spark, sf_dir)
     k, text = F.col("k"), F.col("k").cast("string")
     order_day = F.coalesce(F.col("dt_assinatura"), F.lit(dt.date(1995, 1, 1)))
     raw = {
@@ -172,20 +180,20 @@ def sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         *[F.col(v).alias(n) for n, v in raw.items()],
         F.date_add(order_day, 3).alias("dte_carga"),
     )
-    pbi = base.select(
+    pbi = dates.select(
         F.when(k % 1009 == 0, "").otherwise(text).alias("instrumento"),
         F.col("situacao_suspensiva").alias("situacao_da_analise_suspensiva"),
         F.col("dt_vencimento_suspensiva").alias("vencimento_da_suspensiva"),
         F.date_add(order_day, 5).alias("data_atualizacao"),
     )
-    tdb = base.select(
+    tdb = dates.select(
         F.col("num_convenio").alias("cod_convenio_siafi"),
         F.col("dt_lae").alias("dte_primeira_data_lae"),
         F.col("dt_vrpl").alias("dte_vrpl"),
         F.col("dt_aio").alias("dte_aio"),
         F.date_add(order_day, 7).alias("dte_posicao"),
     ).where(F.col("cod_convenio_siafi") != "")
-    tcon = base.select(
+    tcon = dates.select(
         F.concat(text, F.lit(".00")).alias("num_convenio"),
         F.col("dt_retirada_suspensiva").alias("dte_retirada_suspensiva"),
         F.date_add(order_day, 9).alias("dte_carga"),
@@ -200,7 +208,7 @@ def sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         F.when(F.col("l_returnflag") == "R", ship).alias("dte_homologacao_licitacao"),
         F.date_add(ship, 1).alias("dte_carga"),
     )
-    s29 = base.where(k % 9 == 0).select(
+    s29 = dates.where(k % 9 == 0).select(
         F.col("num_convenio").alias("instrumento"),
         F.concat(F.lit("mês "), (k % 12 + 1).cast("string")).alias("pespectiva_de_retirada_da_suspensiva"),
     ).where(F.col("instrumento") != "")

@@ -1,8 +1,8 @@
 """Equi-joins that keep hot keys from landing in one task.
 
-Hot keys come from a mergeable frequent-items sketch, so finding them is one narrow
-aggregate with a bounded result. The sketch only decides how many ways a key is split;
-the join result never depends on it.
+Hot keys come from a mergeable frequent-items sketch: one narrow pass over the key column,
+run while the join is put together, with a bounded result. It only decides how many ways a
+key is split; the join result never depends on it, and without hot keys nothing is split.
 """
 
 from __future__ import annotations
@@ -17,17 +17,24 @@ from pyspark.sql import functions as F
 ROWS_PER_SPLIT = 1_000_000
 # The sketch reports at most this many keys, which bounds what is broadcast.
 MAX_HOT_KEYS = 1_000
-SKETCH_ITEMS = 100_000
+# A sketch this size finds every key above 0.02 % of the rows and serialises to a few hundred KB.
+SKETCH_ITEMS = 16_384
+# Task sketches are merged by group first, so no single task receives one from every task.
+SKETCH_GROUPS = 256
 NULL_SPLITS = 256
 
 
 def hot_keys(df: DataFrame, key: str, rows_per_split: int = ROWS_PER_SPLIT) -> DataFrame:
     """Keys with more rows than one task should hold: ``(hot_key, splits)``, at most MAX_HOT_KEYS rows."""
-    sketch = df.where(F.col(key).isNotNull()).agg(
-        F.expr(f"approx_top_k({key}, {MAX_HOT_KEYS}, {SKETCH_ITEMS})").alias("top")
+    groups = F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("_g")
+    merged = (
+        df.where(F.col(key).isNotNull())
+        .groupBy(groups)
+        .agg(F.expr(f"approx_top_k_accumulate({key}, {SKETCH_ITEMS})").alias("s"))
+        .agg(F.expr(f"approx_top_k_combine(s, {SKETCH_ITEMS})").alias("s"))
     )
     return (
-        sketch.select(F.inline("top"))
+        merged.select(F.expr(f"inline(approx_top_k_estimate(s, {MAX_HOT_KEYS}))"))
         .where(F.col("count") > rows_per_split)
         .select(
             F.col("item").alias("hot_key"),
@@ -36,7 +43,16 @@ def hot_keys(df: DataFrame, key: str, rows_per_split: int = ROWS_PER_SPLIT) -> D
     )
 
 
-def _with_splits(df: DataFrame, key: str, hot: DataFrame, out: str) -> DataFrame:
+def find_hot(df: DataFrame, key: str, rows_per_split: int = ROWS_PER_SPLIT) -> DataFrame | None:
+    """``hot_keys`` evaluated now, None when there are none; at most MAX_HOT_KEYS rows either way."""
+    found = hot_keys(df, key, rows_per_split)
+    rows = found.collect()
+    return df.sparkSession.createDataFrame(rows, found.schema) if rows else None
+
+
+def _with_splits(df: DataFrame, key: str, hot: DataFrame | None, out: str) -> DataFrame:
+    if hot is None:
+        return df.withColumn(out, F.lit(1))
     renamed = hot.select(F.col("hot_key").alias("_hot"), F.col("splits").alias("_n"))
     # Bounded by MAX_HOT_KEYS rows, hence safe to broadcast at any input size.
     joined = df.join(F.broadcast(renamed), F.col(key) == F.col("_hot"), "left")
@@ -49,7 +65,7 @@ def _pick(columns: list[str], n: Column) -> Column:
     return F.when(n > 1, F.pmod(seed, n).cast("int")).otherwise(F.lit(0))
 
 
-def spread_left(df: DataFrame, key: str, hot: DataFrame, salt: str) -> DataFrame:
+def spread_left(df: DataFrame, key: str, hot: DataFrame | None, salt: str) -> DataFrame:
     """Left side of a chain of joins on one key: hot and null keys get different salts."""
     columns = [c for c, t in df.dtypes if not t.startswith("map")]
     n = F.when(F.col(key).isNull(), NULL_SPLITS).otherwise(F.col("_splits"))
@@ -57,9 +73,12 @@ def spread_left(df: DataFrame, key: str, hot: DataFrame, salt: str) -> DataFrame
     return split.withColumn(salt, _pick(columns, n)).drop("_splits")
 
 
-def spread_right(df: DataFrame, key: str, hot: DataFrame, salt: str) -> DataFrame:
+def spread_right(df: DataFrame, key: str, hot: DataFrame | None, salt: str) -> DataFrame:
     """Right side of the same joins: rows of hot keys are repeated once per salt."""
-    split = _with_splits(df.where(F.col(key).isNotNull()), key, hot, "_splits")
+    known = df.where(F.col(key).isNotNull())
+    if hot is None:
+        return known.withColumn(salt, F.lit(0))
+    split = _with_splits(known, key, hot, "_splits")
     return split.withColumn(salt, F.explode(F.sequence(F.lit(0), F.col("_splits") - 1))).drop("_splits")
 
 
@@ -75,7 +94,7 @@ def lookup_join(
     complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on])
     lside = left.withColumn("_h", F.when(complete, F.xxhash64(*on)))
     rside = right.withColumn("_rh", F.xxhash64(*on.values()))
-    hot = hot_keys(lside, "_h", rows_per_split)
+    hot = find_hot(lside, "_h", rows_per_split)
     lside = spread_left(lside, "_h", hot, "_salt")
     rside = spread_right(rside, "_rh", hot, "_rsalt")
     cond = F.col("_salt") == F.col("_rsalt")
@@ -110,10 +129,15 @@ def skew_join(
     """
     if how not in ("inner", "left"):
         raise ValueError(f"unsupported join type: {how}")
-    hot_l = hot_keys(left, left_key, rows_per_split)
+    hot_l = find_hot(left, left_key, rows_per_split)
     right = right.where(F.col(right_key).isNotNull())
-    hot_r = hot_keys(right, right_key, rows_per_split)
+    hot_r = find_hot(right, right_key, rows_per_split)
     lcols, rcols = left.columns, right.columns
+    if hot_r is None:
+        lside = spread_left(left, left_key, hot_l, "_la")
+        rside = spread_right(right, right_key, hot_l, "_ra")
+        on = (lside[left_key] == rside[right_key]) & (F.col("_la") == F.col("_ra"))
+        return lside.join(rside, on, how).select(*lcols, *rcols)
 
     lside = _with_splits(_with_splits(left, left_key, hot_l, "_ls"), left_key, hot_r, "_rs")
     l_n = F.when(F.col(left_key).isNull(), NULL_SPLITS).otherwise(F.col("_ls"))

@@ -53,7 +53,7 @@ def join_sources(sources: Mapping[str, DataFrame], cfg: C.Settings, rows_per_spl
     base = saci.where(chosen).select(
         canonical_key(F.col("num_convenio")).alias("_key"), *[F.col(s).alias(n) for n, s in _SACI.items()]
     )
-    hot = skew.hot_keys(base, "_key", rows_per_split)
+    hot = skew.find_hot(base, "_key", rows_per_split)
     out = skew.spread_left(base, "_key", hot, "_salt")
 
     def side(df: DataFrame, key: str, tag: str, columns: Mapping[str, str]) -> DataFrame:

@@ -94,7 +94,7 @@ def test_lookup_and_semi_join_with_hot_and_null_keys(spark):
 
 def test_exact_copies_of_a_hot_row_are_spread(spark):
     copies = spark.range(4000).select(F.lit("x").alias("a"), F.lit(1).alias("v")).repartition(8)
-    hot = skew.hot_keys(copies, "a", 500)
+    hot = skew.find_hot(copies, "a", 500)
     salts = skew.spread_left(copies, "a", hot, "s").groupBy("s").count().collect()
     assert len(salts) > 1 and sum(r["count"] for r in salts) == 4000
 

@@ -64,9 +64,12 @@ def only_json(path):
     return json.loads(next(p for p in path.iterdir() if p.suffix == ".json").read_text(encoding="utf-8"))
 
 
-def unique_sources(spark):
-    """Sources without the deliberate duplicates, which the key check would refuse."""
-    src = T.sources(spark, SF)
+def unique_sources(spark, folder):
+    """Stored sources without the deliberate duplicates, which the key check would refuse."""
+    src = {}
+    for name, df in T.sources(spark, SF).items():
+        df.coalesce(1).write.parquet(f"{folder}/{name}")
+        src[name] = spark.read.parquet(f"{folder}/{name}")
     single = F.regexp_extract("num_convenio", r"^0*(\d+)", 1)
     src["licitacao"] = src["licitacao"].withColumn("num_convenio", single)
     src["pbi"] = src["pbi"].where("instrumento <> ''")
@@ -75,7 +78,7 @@ def unique_sources(spark):
 
 def test_daily_contract_runs(spark, tmp_path):
     store = SnapshotStore(spark, str(tmp_path / "store"))
-    src = unique_sources(spark)
+    src = unique_sources(spark, tmp_path / "in")
     paths = daily.DailyPaths.under(str(tmp_path / "out"), "1998-11-01")
     assert daily.run_contracts(src, store, paths, "1998-11-01", T.SETTINGS) is None
     first = only_json(tmp_path / "out" / "summary")
