@@ -2,7 +2,9 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from catalog.oracle import oracle_sql
+from catalog.queries import queries
 from tools.check import compare, connect
 
 SF = "/root/testdata/sf0.001"
