@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from milemark.llm import simhash
+from milemark.llm import packing, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op6_simhash": simhash.op6,
+        "op10_packing": packing.op10,
     }
 
 
