@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from milemark.llm import packing, simhash
+from milemark.llm import embeddings, packing, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_embeddings": embeddings.op1,
         "op6_simhash": simhash.op6,
         "op10_packing": packing.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_embeddings": embeddings.OP1_SQL,
+    }
