@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from milemark.llm import embeddings, packing, simhash
+from milemark.llm import embeddings, packing, simhash, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embeddings": embeddings.op1,
         "op6_simhash": simhash.op6,
+        "op9_urls": urls.op9,
         "op10_packing": packing.op10,
     }
 
@@ -20,4 +21,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_embeddings": embeddings.OP1_SQL,
+        "op9_urls": urls.sql(),
     }
