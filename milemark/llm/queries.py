@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from milemark.llm import embeddings, packing, simhash, urls
+from milemark.llm import embeddings, langid, packing, simhash, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embeddings": embeddings.op1,
+        "op5_langid": langid.op5,
         "op6_simhash": simhash.op6,
         "op9_urls": urls.op9,
         "op10_packing": packing.op10,
