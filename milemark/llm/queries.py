@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from milemark.llm import embeddings, langid, packing, simhash, urls
+from milemark.llm import embeddings, langid, packing, simhash, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_embeddings": embeddings.op1,
         "op5_langid": langid.op5,
         "op6_simhash": simhash.op6,
+        "op8_toxicity": toxicity.op8,
         "op9_urls": urls.op9,
         "op10_packing": packing.op10,
     }
