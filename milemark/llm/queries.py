@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from milemark.llm import embeddings, langid, packing, simhash, toxicity, urls
+from milemark.llm import embeddings, langid, mixing, packing, simhash, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embeddings": embeddings.op1,
+        "op2_mixing": mixing.op2,
         "op5_langid": langid.op5,
         "op6_simhash": simhash.op6,
         "op8_toxicity": toxicity.op8,
@@ -23,5 +24,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_embeddings": embeddings.OP1_SQL,
+        "op2_mixing": mixing.OP2_SQL,
         "op9_urls": urls.sql(),
     }
