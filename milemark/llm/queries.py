@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from milemark.llm import embeddings, langid, mixing, packing, simhash, toxicity, urls
+from milemark.llm import embeddings, langid, mixing, packing, quality, simhash, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_mixing": mixing.op2,
         "op5_langid": langid.op5,
         "op6_simhash": simhash.op6,
+        "op7_quality": quality.op7,
         "op8_toxicity": toxicity.op8,
         "op9_urls": urls.op9,
         "op10_packing": packing.op10,
