@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,3 +118,25 @@ def over_batches(work: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[Iter
             yield work(batch)
 
     return run
+
+
+def map_column(
+    df: DataFrame, column: str, fields: dict[str, tuple[str, pa.DataType]], work: Callable[[], Callable[[list], list[tuple]]]
+) -> DataFrame:
+    """``df`` without ``column`` and with ``fields`` worked out from it, row by row.
+
+    ``work()`` is called once in each task and gives a function from the column's values to tuples of the fields. The
+    other columns pass through as they are, so that long ids stay exact beside nulls.
+    """
+    kept = [c for c in df.columns if c != column]
+    types = {k: t for k, (_, t) in fields.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = work()
+        for batch in batches:
+            found = own(batch.column(column).to_pylist())
+            new = [pa.array([r[k] for r in found], t) for k, t in enumerate(types.values())]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *new], names=[*kept, *types])
+
+    schema = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept]
+    return df.mapInArrow(run, ", ".join([*schema, *[f"`{k}` {ddl}" for k, (ddl, _) in fields.items()]]))

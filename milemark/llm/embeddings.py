@@ -7,6 +7,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,15 +52,16 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 42) ->
 
 def _read(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """``_id, node, vec`` of every row: the unit vector as bytes and a digest of it, null where it links with nothing."""
-    id_type = vectors.schema[id_col].dataType.simpleString()
 
-    def work(batch: pd.DataFrame) -> pd.DataFrame:
-        found = [None if (x := unit(v)) is None else x.astype("<f8").tobytes() for v in batch["_vec"]]
-        nodes = [None if v is None else hashlib.blake2b(v, digest_size=16).digest() for v in found]
-        return pd.DataFrame({"_id": batch["_id"], "node": nodes, "vec": found})
+    def digest(vector: list | None) -> tuple[bytes | None, bytes | None]:
+        if (x := unit(vector)) is None:
+            return None, None
+        vec = x.astype("<f8").tobytes()
+        return hashlib.blake2b(vec, digest_size=16).digest(), vec
 
     asked = vectors.select(F.col(id_col).alias("_id"), F.col(vec_col).alias("_vec"))
-    return asked.mapInPandas(common.over_batches(work), f"_id {id_type}, node binary, vec binary")
+    fields = {"node": ("binary", pa.binary()), "vec": ("binary", pa.binary())}
+    return common.map_column(asked, "_vec", fields, lambda: lambda vectors: [digest(v) for v in vectors])
 
 
 def _fit(nodes: DataFrame, counted: dict[int, int]) -> dict[int, np.ndarray]:

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from milemark.llm import common
+
 UNDETERMINED = "und"
 # A dictionary is fitted on at most this many documents of a language and this many characters of each.
 SAMPLE_DOCS, SAMPLE_CHARS = 96, 3000
@@ -95,16 +96,13 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     the language with more sampled texts. Repeated rows and null ids are judged like others.
     """
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work():
         own = Classifier(model)
-        for batch in batches:
-            found = [own.judge(t) for t in batch.pop("_text")]
-            yield pd.concat([batch.reset_index(drop=True), pd.DataFrame(found, columns=["lang_pred", "score", "rejected"])], axis=1)
+        return lambda texts: [own.judge(t) for t in texts]
 
-    kind = docs.schema[id_col].dataType.simpleString()
+    fields = {"lang_pred": ("string", pa.string()), "score": ("double", pa.float64()), "rejected": ("boolean", pa.bool_())}
     asked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    out = asked.mapInPandas(work, f"_id {kind}, lang_pred string, score double, rejected boolean")
-    return out.withColumnRenamed("_id", id_col)
+    return common.map_column(asked, "_text", fields, work).withColumnRenamed("_id", id_col)
 
 
 def fold(id_col: str | Column, folds: int) -> Column:

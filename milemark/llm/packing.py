@@ -6,7 +6,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,21 +28,27 @@ def cut_points(n: int, most: int) -> list[tuple[int, int]]:
 def pieces(docs: DataFrame, most: int = MAX_TOKENS, with_ids: bool = False, paths: tuple[str | None, str | None] = (None, None)) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` (and ``ids``) of every row; a null text is empty and is one end token."""
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work():
         encode = tokens.encoder(*paths).encode
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = memoryview(encode(text or "") + END)
-                for k, (start, length) in enumerate(cut_points(len(ids) // 4, most)):
-                    own = ids[4 * start : 4 * (start + length)]
-                    kept = (np.frombuffer(own, dtype="<u4").astype(np.int32),) if with_ids else ()
-                    rows.append((None if pd.isna(doc_id) else int(doc_id), k, start, length, zlib.crc32(own), *kept))
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
-            yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
-
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(work, schema)
+
+        def cut(text: str | None) -> tuple[list[tuple]]:
+            ids = memoryview(encode(text or "") + END)
+            out = []
+            for k, (start, length) in enumerate(cut_points(len(ids) // 4, most)):
+                own = ids[4 * start : 4 * (start + length)]
+                kept = (np.frombuffer(own, dtype="<u4").tolist(),) if with_ids else ()
+                out.append((k, start, length, zlib.crc32(own), *kept))
+            return (out,)
+
+        return lambda texts: [cut(t) for t in texts]
+
+    names = [("piece", pa.int32(), "int"), ("start", pa.int64(), "bigint"), ("length", pa.int64(), "bigint"),
+             ("ids_crc32", pa.int64(), "bigint"), *[("ids", pa.list_(pa.int32()), "array<int>")] * with_ids]
+    kind = pa.list_(pa.struct([(name, t) for name, t, _ in names]))
+    ddl = f"array<struct<{','.join(f'{name}:{d}' for name, _, d in names)}>>"
+    asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    out = common.map_column(asked, "text", {"p": (ddl, kind)}, work)
+    return out.select("doc_id", F.inline("p"))
 
 
 def _fullest(counts: dict[int, int], lengths: list[int], room: int) -> list[tuple[int, int]]:

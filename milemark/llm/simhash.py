@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,17 +82,14 @@ def fingerprint(text: str | None, width: int = 3, lanes: int = 1) -> np.ndarray:
     return np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)
 
 
-def _fingerprints(docs: DataFrame, scheme: Scheme, keep: Sequence[str]) -> DataFrame:
+def _fingerprints(docs: DataFrame, scheme: Scheme) -> DataFrame:
+    """``docs`` with the fingerprint's bytes ``_fp`` in place of ``text``."""
     width, lanes = scheme.width, scheme.lanes
 
-    def work(batch: pd.DataFrame) -> pd.DataFrame:
-        found = [fingerprint(t, width, lanes).astype("<u8").tobytes() for t in batch.pop("_text")]
-        return batch.assign(_fp=found)
+    def work(texts: list[str | None]) -> list[tuple[bytes]]:
+        return [(fingerprint(t, width, lanes).astype("<u8").tobytes(),) for t in texts]
 
-    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
-    return docs.select(*[f"`{c}`" for c in keep], F.col("text").alias("_text")).mapInPandas(
-        common.over_batches(work), ", ".join([*fields, "_fp binary"])
-    )
+    return common.map_column(docs, "text", {"_fp": ("binary", pa.binary())}, lambda: work)
 
 
 def _bit_keys(fp: pd.Series, keys: tuple[tuple[int, ...], ...]) -> list[np.ndarray]:
@@ -163,7 +160,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", scheme: Scheme = EX
     any other. A null id takes part, but never names a component unless all its members are null. Repeated rows give
     repeated rows, an empty table none; other columns are not read.
     """
-    seen = common.stored(_fingerprints(docs.select(F.col(id_col).alias("_id"), "text"), scheme, ["_id"]))
+    seen = common.stored(_fingerprints(docs.select(F.col(id_col).alias("_id"), "text"), scheme))
     nodes = common.stored(seen.groupBy("_fp").agg(F.min("_id").alias("_least")))
     found = common.components(links(nodes.select(F.col("_fp").alias("fp")), scheme))
     grouped = nodes.join(found, nodes["_fp"] == found["node"], "left").select(
@@ -186,8 +183,8 @@ def keep_one(docs: DataFrame, scheme: Scheme = SIMILAR) -> DataFrame:
 
     Rows without a ``doc_id`` stay. Of rows that are alike in ``doc_id`` and text one stays.
     """
-    keyed = docs.withColumns({"_h": F.xxhash64("text"), "_n": F.length("text")})
-    seen = common.stored(_fingerprints(keyed.select("doc_id", "text", "_h"), scheme, ["doc_id", "_h"]))
+    keyed = docs.withColumn("_h", F.xxhash64("text"))
+    seen = common.stored(_fingerprints(keyed.select("doc_id", "text", "_h"), scheme))
     nodes = seen.select(F.col("_fp").alias("fp")).distinct()
     found = common.components(links(common.stored(nodes), scheme))
     rooted = seen.join(found, seen["_fp"] == found["node"], "left").withColumn("_root", F.coalesce("component", "_fp"))
