@@ -24,11 +24,12 @@ class Encoder(dict):
     The vocabulary's own rule always cuts before a space that a visible character follows, so a text is cut there,
     and the ids of each part (with its leading space) are looked up, or encoded once and kept. Parts of Latin
     letters go to the rank file of the same vocabulary, any others, very long ones and texts with the special
-    token's string to ``tokenizers`` itself.
+    token's string to ``tokenizers`` itself. With ``ordinary`` that string is text like any other.
     """
 
-    def __init__(self, json_path: str, rank_path: str):
+    def __init__(self, json_path: str, rank_path: str, ordinary: bool = False):
         super().__init__()
+        self._ordinary = ordinary
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import tiktoken
         from tokenizers import Tokenizer
@@ -36,6 +37,7 @@ class Encoder(dict):
         with open(rank_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self._full = Tokenizer.from_file(json_path)
+        self._full.encode_special_tokens = ordinary
         self._fast = tiktoken.Encoding(
             VOCABULARY, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
         )
@@ -59,17 +61,22 @@ class Encoder(dict):
         return found
 
     def encode(self, text: str) -> bytes:
-        if SPECIAL in text:
+        if SPECIAL in text and not self._ordinary:
             return self._whole(text)
         first, *rest = _SPLIT.split(text) if _UNSPLIT.search(text) else text.split(" ")
         # A text that begins with a space has an empty first part, and the next one keeps its space.
         return self._part(first) + b"".join([self[p] for p in rest])
 
+    def decode(self, ids: bytes) -> str:
+        """The text of ids that stand for ordinary text; the vocabulary covers all bytes, so it comes back whole."""
+        return self._fast.decode_bytes(np.frombuffer(ids, dtype="<u4").tolist()).decode("utf-8", "surrogatepass")
+
 
 @functools.cache
-def encoder(json_path: str | None = None, rank_path: str | None = None) -> Encoder:
+def encoder(json_path: str | None = None, rank_path: str | None = None, ordinary: bool = False) -> Encoder:
     """One for each worker process; the paths default to the installed public vocabulary."""
     return Encoder(
         json_path or public_tokenizers.path(f"{VOCABULARY}.json"),
         rank_path or public_tokenizers.path(f"{VOCABULARY}.tiktoken"),
+        ordinary,
     )
