@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from milemark.llm import chat, embeddings, langid, mixing, packing, quality, simhash, toxicity, urls
+from milemark.llm import chat, embeddings, langid, lines, mixing, packing, quality, simhash, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embeddings": embeddings.op1,
         "op2_mixing": mixing.op2,
+        "op3_lines": lines.op3,
         "op4_chat": chat.op4,
         "op5_langid": langid.op5,
         "op6_simhash": simhash.op6,
