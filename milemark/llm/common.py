@@ -36,6 +36,11 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def names(df: DataFrame) -> list[str]:
+    """The columns, quoted, whatever their names hold."""
+    return ["`" + c.replace("`", "``") + "`" for c in df.columns]
+
+
 def word_count(text: str | Column) -> Column:
     """Number of words, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -138,5 +143,5 @@ def map_column(
             new = [pa.array([r[k] for r in found], t) for k, t in enumerate(types.values())]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *new], names=[*kept, *types])
 
-    schema = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept]
+    schema = [f"{q} {df.schema[c].dataType.simpleString()}" for q, c in zip(names(df.drop(column)), kept, strict=True)]
     return df.mapInArrow(run, ", ".join([*schema, *[f"`{k}` {ddl}" for k, (ddl, _) in fields.items()]]))

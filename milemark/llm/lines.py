@@ -114,11 +114,11 @@ def cut(text: str, runs: list[dict]) -> tuple[str, int, int]:
     return left, len(named), sum(gone[k] for k, _, _ in named)
 
 
-def dedup(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """All columns and rows of ``docs`` with shortened ``text``, and ``n_lines`` and ``n_removed`` (lines with words).
+def dedup(docs: DataFrame, least: int = MIN_WORDS, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """All columns and rows of ``docs`` with shortened ``text``, and as ``counts`` its lines with words and those deleted.
 
     The first place of every line that is deleted somewhere stays. Null texts stay null; rows alike in ``doc_id`` and
-    text are one text and are shortened alike; columns named ``n_lines`` or ``n_removed`` are replaced.
+    text are one text and are shortened alike; columns that have the names of ``counts`` are replaced.
     """
 
     def work():
@@ -128,13 +128,14 @@ def dedup(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
 
         return lambda rows: [one(r) for r in rows]
 
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    docs = docs.drop(*counts)
+    names = common.names(docs)
     cuts = repeats(docs, least).withColumnsRenamed({"doc_id": "_id", "_h": "_g"})
-    keyed = docs.select(*[f"`{c}`" for c in names]).withColumn("_h", F.xxhash64("text"))
+    keyed = docs.withColumn("_h", F.xxhash64("text"))
     joined = keyed.join(cuts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_g")), "left")
-    asked = joined.select(*[f"`{c}`" for c in names if c != "text"], F.struct("text", "cuts").alias("_t"))
-    fields = {"text": ("string", pa.string()), "n_lines": ("bigint", pa.int64()), "n_removed": ("bigint", pa.int64())}
-    return common.map_column(asked, "_t", fields, work).select(*[f"`{c}`" for c in names], "n_lines", "n_removed")
+    asked = joined.select(*[c for c in names if c != "`text`"], F.struct("text", "cuts").alias("_t"))
+    fields = {"text": ("string", pa.string()), counts[0]: ("bigint", pa.int64()), counts[1]: ("bigint", pa.int64())}
+    return common.map_column(asked, "_t", fields, work).select(*names, *counts)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

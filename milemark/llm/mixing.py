@@ -115,12 +115,12 @@ def repeated(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float =
     """
     keyed = docs.withColumns(_keyed(docs, "doc_id", "text", "source")).withColumn("_id", F.col("doc_id"))
     rows = common.stored(keyed.select("_source", "_key", "_id", "_size"))
-    found = keyed.join(cuts(rows, weights, most), "_source")
+    found = keyed.join(cuts(rows, weights, most).drop("source_size", "target"), "_source")
     own = F.struct("_key", "_id", "_size")
     more = F.when(own < F.col("_at"), 1).when((own == F.col("_at")) & (F.col("_left") > 0), 1).otherwise(0)
     times = F.when(F.col("_size") == 0, 1).otherwise(F.col("_rounds") + more)
     some = found.withColumn("_times", times.cast("int")).where("_times > 0")
-    return some.withColumn("_time", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)
+    return some.withColumn("_time", F.explode(F.sequence(F.lit(1), "_times"))).select(*common.names(docs))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

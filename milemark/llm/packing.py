@@ -142,7 +142,7 @@ def pack(found: DataFrame, most: int = MAX_TOKENS) -> DataFrame:
     # At most a few places for each of at most ``most`` lengths.
     placed = ranked.join(F.broadcast(where), "length").where("_rank between first and last")
     return placed.select(
-        *[f"`{c}`" for c in found.columns], (F.col("sequence") + F.col("_rank") - F.col("first")).alias("sequence_id"), "offset"
+        *common.names(found), (F.col("sequence") + F.col("_rank") - F.col("first")).alias("sequence_id"), "offset"
     )
 
 

@@ -191,4 +191,4 @@ def keep_one(docs: DataFrame, scheme: Scheme = SIMILAR) -> DataFrame:
     best = rooted.where("doc_id is not null").groupBy("_root").agg(F.min(F.struct("doc_id", "_h")).alias("_best"))
     best = best.select(F.col("_best.doc_id").alias("doc_id"), F.col("_best._h").alias("_h")).distinct()
     kept = keyed.join(best, ["doc_id", "_h"], "left_semi").dropDuplicates(["doc_id", "_h"])
-    return kept.unionByName(keyed.where("doc_id is null")).select(*docs.columns)
+    return kept.unionByName(keyed.where("doc_id is null")).select(*common.names(docs))

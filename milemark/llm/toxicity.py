@@ -332,11 +332,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return train([r["text"] for r in rows], [int(r["toxic"] > 0) for r in rows])
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` and ``score`` in 0 to 1 (higher: more likely toxic), from whole texts alone.
+def score(docs: DataFrame, model: Model, into: str = "score") -> DataFrame:
+    """All columns of ``docs`` and the score, in 0 to 1 (higher: more likely toxic), from whole texts alone.
 
     A text without a word (null, empty) gets the score of an empty window, capped below 0.5. Row-wise; repeated rows
-    get equal scores. A column that is itself named ``score`` is replaced.
+    get equal scores. A column that already has the name ``into`` is replaced.
     """
 
     def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -350,7 +350,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 parts.append(np.where(empty, np.minimum(found, 0.49), found))
             yield pd.Series(np.concatenate(parts) if parts else np.empty(0))
 
-    return docs.withColumn("score", F.pandas_udf(scored, "double")("text"))
+    return docs.withColumn(into, F.pandas_udf(scored, "double")("text"))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
