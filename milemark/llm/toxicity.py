@@ -232,7 +232,7 @@ def train(texts: list[str], labels: list[int], seed: int = 42) -> Model:
     rng = np.random.default_rng(seed)
     words = [words_of(t) for t in texts]
     y = np.array(labels, dtype=np.float32)
-    seen = Counter(w for own in words for w in set(own))
+    seen = Counter(w for own in words for w in dict.fromkeys(own))
     vocabulary = {w: k + 1 for k, (w, n) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: VOCABULARY - 1]) if n > 2}
     params = _initial(len(vocabulary) + 1, rng)
     if not len(y) or y.min() == y.max():
@@ -249,7 +249,7 @@ def train(texts: list[str], labels: list[int], seed: int = 42) -> Model:
     at, owner = np.array(windows, dtype=np.int32), np.array(owner)
     check = rng.random(len(y)) < 0.2
     usable = ~check[owner]
-    rows_of = [np.array([row[w] for w in set(own)], dtype=np.int64) for own in words]
+    rows_of = [np.array([row[w] for w in dict.fromkeys(own)], dtype=np.int64) for own in words]
     params["word"][1:, 0] = _surprise([word[r] for r in rows_of], y, ~check, len(params["word"]))[1:]
     params["gram"][1:, 0] = _surprise([gram[r].ravel() for r in rows_of], y, ~check, GRAMS)[1:]
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in params.items()}
