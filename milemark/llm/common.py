@@ -134,14 +134,21 @@ def map_column(
     other columns pass through as they are, so that long ids stay exact beside nulls.
     """
     kept = [c for c in df.columns if c != column]
-    types = {k: t for k, (_, t) in fields.items()}
+    types = [t for _, t in fields.values()]
+    # Under plain names meanwhile: mapInArrow can't take columns whose names hold a dot.
+    plain = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+    asked = plain.columns[df.columns.index(column)]
+    passed = [c for c in plain.columns if c != asked]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = work()
         for batch in batches:
-            found = own(batch.column(column).to_pylist())
-            new = [pa.array([r[k] for r in found], t) for k, t in enumerate(types.values())]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *new], names=[*kept, *types])
-
-    schema = [f"{q} {df.schema[c].dataType.simpleString()}" for q, c in zip(names(df.drop(column)), kept, strict=True)]
-    return df.mapInArrow(run, ", ".join([*schema, *[f"`{k}` {ddl}" for k, (ddl, _) in fields.items()]]))
+            found = own(batch.column(asked).to_pylist())
+            new = [pa.array([r[k] for r in found], t) for k, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in passed], *new], names=[*passed, *[f"n{k}" for k in range(len(new))]]
+            )
+
+    schema = [f"{c} {plain.schema[c].dataType.simpleString()}" for c in passed]
+    schema += [f"n{k} {ddl}" for k, (ddl, _) in enumerate(fields.values())]
+    return plain.mapInArrow(run, ", ".join(schema)).toDF(*kept, *fields)
