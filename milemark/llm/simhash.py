@@ -175,7 +175,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", scheme: Scheme = EX
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word shingles of all documents, links at two differing bits or fewer."""
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.withColumn("fingerprint", F.lower(F.hex(F.reverse("fingerprint"))))
+    digits = F.concat(*[F.substring("fingerprint", k, 1) for k in range(8, 0, -1)])  # the highest byte first
+    return found.withColumn("fingerprint", F.lower(F.hex(digits)))
 
 
 def keep_one(docs: DataFrame, scheme: Scheme = SIMILAR) -> DataFrame:
