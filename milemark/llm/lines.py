@@ -132,7 +132,8 @@ def dedup(docs: DataFrame, least: int = MIN_WORDS, counts: tuple[str, str] = ("n
     names = common.names(docs)
     cuts = repeats(docs, least).withColumnsRenamed({"doc_id": "_id", "_h": "_g"})
     keyed = docs.withColumn("_h", F.xxhash64("text"))
-    joined = keyed.join(cuts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_g")), "left")
+    # The runs grow with the texts: the same exchange at every size, no broadcast that a larger input would lose.
+    joined = keyed.join(cuts.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_g")), "left")
     asked = joined.select(*[c for c in names if c != "`text`"], F.struct("text", "cuts").alias("_t"))
     fields = {"text": ("string", pa.string()), counts[0]: ("bigint", pa.int64()), counts[1]: ("bigint", pa.int64())}
     return common.map_column(asked, "_t", fields, work).select(*names, *counts)
