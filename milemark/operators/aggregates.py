@@ -429,29 +429,22 @@ def reference_date(summary: DataFrame) -> DataFrame:
 # --- profiles -----------------------------------------------------------------
 
 SELECT_LIMIT, SELECT_LENGTH = 30, 24
-# Columns whose estimate exceeds this many values cannot be within SELECT_LIMIT.
-_ESTIMATE_GATE = 10_000
 
 
 def column_profile(df: DataFrame, columns: Sequence[str], forced: Sequence[str] = ()) -> DataFrame:
     """Filter type of each column: select for 2 to 30 short values (or when forced), else text.
 
-    Only columns that can still qualify by length and by an estimate of their distinct
-    values are counted exactly; the others report no count.
+    A value longer than a select may hold takes its column out, so only shorter ones are counted. A column with a
+    longer value reports no count.
     """
     text = df.select(*[F.nullif(squish(F.col(c)), F.lit("")).alias(c) for c in columns])
-    sizes = text.agg(
-        *[F.coalesce(F.max(F.length(c)), F.lit(0)).alias(f"l{i}") for i, c in enumerate(columns)],
-        *[F.approx_count_distinct(c).alias(f"a{i}") for i, c in enumerate(columns)],
-    )
+    sizes = text.agg(*[F.coalesce(F.max(F.length(c)), F.lit(0)).alias(f"l{i}") for i, c in enumerate(columns)])
     stats = sizes.select(
         F.array(*[F.col(f"l{i}") for i in range(len(columns))]).alias("l"),
-        F.array(
-            *[(F.col(f"l{i}") <= SELECT_LENGTH) & (F.col(f"a{i}") <= _ESTIMATE_GATE) for i in range(len(columns))]
-        ).alias("ok"),
+        F.array(*[F.col(f"l{i}") <= SELECT_LENGTH for i in range(len(columns))]).alias("ok"),
     )
-    ok = stats.select("ok").scalar()
-    cells = [F.struct(F.lit(i).alias("i"), F.when(F.get(ok, F.lit(i)), F.col(c)).alias("v")) for i, c in enumerate(columns)]
+    short = lambda c: F.when(F.length(c) <= SELECT_LENGTH, F.col(c))
+    cells = [F.struct(F.lit(i).alias("i"), short(c).alias("v")) for i, c in enumerate(columns)]
     distinct = text.select(F.inline(F.array(*cells))).where(F.col("v").isNotNull()).distinct()
     counts = distinct.groupBy("i").agg(F.count("*").alias("n"))
     lines = [

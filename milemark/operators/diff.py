@@ -129,16 +129,25 @@ def _identity(row: str, other: str, names: Sequence[str], spec: C.DiffSpec) -> l
     return [F.expr(e) for e in [*out, *[f"{at(row, source)} as {name}" for name, source in spec.carried]]]
 
 
+def _unique(df: DataFrame, spec: C.DiffSpec, values: Column) -> DataFrame:
+    """Key and values; the check for repeated keys shares the exchange of the join that follows."""
+    missing = f"raise_error('snapshot row without a key ({', '.join(spec.key_candidates)})')"
+    keyed = df.select(F.expr(f"coalesce({KEY}, {missing})").alias(KEY), values)
+    counted = keyed.withColumn("_n", F.count("*").over(Window.partitionBy(KEY)))
+    once = f"case when _n > 1 then raise_error(concat('duplicated snapshot key: ', {KEY})) else true end"
+    return counted.where(F.expr(once)).drop("_n")
+
+
 def diff_pair(previous: DataFrame, current: DataFrame, spec: C.DiffSpec = C.CONTRACT_DIFF) -> DataFrame:
     """Events between two snapshots: secao, pos, record identity, category, nature, field, values.
 
-    Both snapshots must have unique keys (``joins.check_keys``).
+    A missing or repeated key in either fails when the plan runs, as in ``diff_history``.
     """
     prev, cur = prepare(previous, spec), prepare(current, spec)
     fields = comparable_fields(cur.columns, prev.columns, spec)
     names = _needed(spec, fields)
-    p = prev.select(KEY, _values(prev, names).alias("p"))
-    c = cur.select(KEY, _values(cur, names).alias("c"))
+    p = _unique(prev, spec, _values(prev, names).alias("p"))
+    c = _unique(cur, spec, _values(cur, names).alias("c"))
     both = c.join(p, KEY, "full")
     events = f"""case when p is null then array({_one_sided(ENTERED, "c", names, spec)})
         when c is null then array({_one_sided(EXITED, "p", names, spec)}) else {_FIELD_EVENTS} end"""

@@ -13,15 +13,18 @@ from milemark.operators import skew
 
 
 def tolerant_join(
-    left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str = "left", **split: int
+    left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str = "left",
+    blank_is_missing: bool = False, rows_per_split: int | None = None,
 ) -> DataFrame:
     """Joins on keys that may be written as text or as numbers (``12`` = ``012`` = ``12.0``).
 
-    Column names of the two sides must differ. Duplicate keys multiply rows.
+    Column names of the two sides must differ. Duplicate keys multiply rows. By text equality a blank key equals a
+    blank key, which multiplies all such rows; ``blank_is_missing`` lets them match nothing.
     """
-    lside = left.withColumn("_lkey", canonical_key(F.col(left_key)))
-    rside = right.withColumn("_rkey", canonical_key(F.col(right_key)))
-    return skew.skew_join(lside, rside, "_lkey", "_rkey", how, **split).drop("_lkey", "_rkey")
+    key = (lambda c: canonical_key(blank_to_null(c))) if blank_is_missing else canonical_key
+    lside = left.withColumn("_lkey", key(F.col(left_key)))
+    rside = right.withColumn("_rkey", key(F.col(right_key)))
+    return skew.skew_join(lside, rside, "_lkey", "_rkey", how, rows_per_split).drop("_lkey", "_rkey")
 
 
 def plain_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
@@ -63,10 +66,18 @@ def restrict_to(source: DataFrame, source_key: str, keys: DataFrame, key: str, t
     return source.join(wanted, as_key(F.col(source_key)) == F.col("_wanted"), "left_semi")
 
 
+def _single_keys(df: DataFrame, candidates: Sequence[str], mark: str) -> DataFrame:
+    """Each record key once, with a mark; a missing or repeated key fails when the plan runs."""
+    missing = f"raise_error('snapshot row without a key ({', '.join(candidates)})')"
+    keys = df.select(F.coalesce(record_key(df, candidates), F.expr(missing)).alias("chave")).groupBy("chave").count()
+    once = "case when count > 1 then raise_error(concat('duplicated snapshot key: ', chave)) else true end"
+    return keys.select("chave", F.expr(once).alias(mark))
+
+
 def match_snapshots(previous: DataFrame, current: DataFrame, candidates: Sequence[str]) -> DataFrame:
-    """Where each record key occurs: entrou, saiu or comum."""
-    p = previous.select(record_key(previous, candidates).alias("chave"), F.lit(True).alias("_p"))
-    c = current.select(record_key(current, candidates).alias("chave"), F.lit(True).alias("_c"))
+    """Where each record key occurs: entrou, saiu or comum. Keys must be there and be unique."""
+    p = _single_keys(previous, candidates, "_p")
+    c = _single_keys(current, candidates, "_c")
     side = (
         F.when(F.col("_p").isNull(), "entrou").when(F.col("_c").isNull(), "saiu").otherwise("comum").alias("presenca")
     )

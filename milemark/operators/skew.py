@@ -1,8 +1,9 @@
-"""Equi-joins that keep hot keys from landing in one task.
+"""Equi-joins that keep hot and missing keys from landing in one task.
 
-Hot keys come from a mergeable frequent-items sketch: one narrow pass over the key column,
-run while the join is put together, with a bounded result. It only decides how many ways a
-key is split; the join result never depends on it, and without hot keys nothing is split.
+Rows without a key get a stand-in of their own that no other side can hold, so they spread like any others. Both sides
+of a join are plain exchanges on one column, which adaptive execution cuts at a hot key. Chains of joins on one key it
+cannot cut; for them, or without adaptive execution, ``rows_per_split`` counts the keys first and salts the hot ones.
+The result never depends on it.
 """
 
 from __future__ import annotations
@@ -13,64 +14,59 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A key is split into about this many rows per task.
+# Where keys are counted, a key is split into about this many rows per task.
 ROWS_PER_SPLIT = 1_000_000
-# The sketch reports at most this many keys, which bounds what is broadcast.
-MAX_HOT_KEYS = 1_000
-# A sketch this size finds every key above 0.02 % of the rows and serialises to a few hundred KB.
-SKETCH_ITEMS = 16_384
-# Task sketches are merged by group first, so no single task receives one from every task.
-SKETCH_GROUPS = 256
-NULL_SPLITS = 256
 
 
 def hot_keys(df: DataFrame, key: str, rows_per_split: int = ROWS_PER_SPLIT) -> DataFrame:
-    """Keys with more rows than one task should hold: ``(hot_key, splits)``, at most MAX_HOT_KEYS rows."""
-    groups = F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("_g")
-    merged = (
-        df.where(F.col(key).isNotNull())
-        .groupBy(groups)
-        .agg(F.expr(f"approx_top_k_accumulate({key}, {SKETCH_ITEMS})").alias("s"))
-        .agg(F.expr(f"approx_top_k_combine(s, {SKETCH_ITEMS})").alias("s"))
-    )
-    return (
-        merged.select(F.expr(f"inline(approx_top_k_estimate(s, {MAX_HOT_KEYS}))"))
-        .where(F.col("count") > rows_per_split)
-        .select(
-            F.col("item").alias("hot_key"),
-            F.ceil(F.col("count") / rows_per_split).cast("int").alias("splits"),
-        )
+    """Keys with more rows than one task should hold: ``(hot_key, splits)``.
+
+    Exact, by partial counts; at most rows / ``rows_per_split`` keys can be in it.
+    """
+    counts = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("hot_key")).agg(F.count("*").alias("n"))
+    return counts.where(F.col("n") > rows_per_split).select(
+        "hot_key", F.ceil(F.col("n") / rows_per_split).cast("int").alias("splits")
     )
 
 
-def find_hot(df: DataFrame, key: str, rows_per_split: int = ROWS_PER_SPLIT) -> DataFrame | None:
-    """``hot_keys`` evaluated now, None when there are none; at most MAX_HOT_KEYS rows either way."""
-    found = hot_keys(df, key, rows_per_split)
-    rows = found.collect()
-    return df.sparkSession.createDataFrame(rows, found.schema) if rows else None
+def find_hot(df: DataFrame, key: str, rows_per_split: int | None = ROWS_PER_SPLIT) -> DataFrame | None:
+    """``hot_keys`` as a lazy part of the plan; None when no limit is given. Meant for stored tables: ``df`` is read again."""
+    return None if rows_per_split is None else hot_keys(df, key, rows_per_split)
 
 
 def _with_splits(df: DataFrame, key: str, hot: DataFrame | None, out: str) -> DataFrame:
     if hot is None:
         return df.withColumn(out, F.lit(1))
     renamed = hot.select(F.col("hot_key").alias("_hot"), F.col("splits").alias("_n"))
-    # Bounded by MAX_HOT_KEYS rows, hence safe to broadcast at any input size.
+    # A row for each rows_per_split rows of the input at most: 100,000 for 100 billion rows.
     joined = df.join(F.broadcast(renamed), F.col(key) == F.col("_hot"), "left")
     return joined.withColumn(out, F.coalesce(F.col("_n"), F.lit(1))).drop("_hot", "_n")
 
 
+def _row_hash(columns: list[str]) -> Column:
+    """A number that a retried task computes again; exact copies differ by input partition."""
+    return F.xxhash64(*[F.col(c) for c in columns]) + F.spark_partition_id()
+
+
+def _hashable(df: DataFrame) -> list[str]:
+    return [c for c, t in df.dtypes if "map<" not in t and "variant" not in t]
+
+
 def _pick(columns: list[str], n: Column) -> Column:
-    """A split number that a retried task computes again; exact copies differ by input partition."""
-    seed = F.xxhash64(*[F.col(c) for c in columns]) + F.spark_partition_id()
-    return F.when(n > 1, F.pmod(seed, n).cast("int")).otherwise(F.lit(0))
+    return F.when(n > 1, F.pmod(_row_hash(columns), n).cast("int")).otherwise(F.lit(0))
+
+
+def own_key(df: DataFrame, key: str) -> DataFrame:
+    """A text key with nulls replaced by stand-ins that differ from row to row; keys must not begin with ``x:``."""
+    stand_in = F.concat(F.lit("x:"), _row_hash(_hashable(df)).cast("string"))
+    return df.withColumn(key, F.coalesce(F.col(key), stand_in))
 
 
 def spread_left(df: DataFrame, key: str, hot: DataFrame | None, salt: str) -> DataFrame:
-    """Left side of a chain of joins on one key: hot and null keys get different salts."""
-    columns = [c for c, t in df.dtypes if not t.startswith("map")]
-    n = F.when(F.col(key).isNull(), NULL_SPLITS).otherwise(F.col("_splits"))
-    split = _with_splits(df, key, hot, "_splits")
-    return split.withColumn(salt, _pick(columns, n)).drop("_splits")
+    """Left side of a chain of joins on one text key: hot keys get different salts, missing ones stand-ins."""
+    columns = _hashable(df)
+    split = _with_splits(own_key(df, key), key, hot, "_splits")
+    return split.withColumn(salt, _pick(columns, F.col("_splits"))).drop("_splits")
 
 
 def spread_right(df: DataFrame, key: str, hot: DataFrame | None, salt: str) -> DataFrame:
@@ -82,30 +78,30 @@ def spread_right(df: DataFrame, key: str, hot: DataFrame | None, salt: str) -> D
     return split.withColumn(salt, F.explode(F.sequence(F.lit(0), F.col("_splits") - 1))).drop("_splits")
 
 
-def lookup_join(
-    left: DataFrame, right: DataFrame, on: Mapping[str, str], rows_per_split: int = ROWS_PER_SPLIT
-) -> DataFrame:
+def lookup_join(left: DataFrame, right: DataFrame, on: Mapping[str, str], rows_per_split: int | None = None) -> DataFrame:
     """Left join to a table with unique keys; ``on`` maps left key columns to right ones.
 
-    The keys are watched for skew by their hash, so any number and type of them will do.
-    Aggregated lookups are outside what adaptive execution splits, hence the explicit salt.
+    The sides meet on a hash of the keys, any number and type of them, and the keys themselves are compared there. The
+    exchange of an aggregated lookup is thereby a new and plain one, and the join can be cut where a left key is hot.
     """
     lcols, rcols = left.columns, right.columns
     complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on])
     lside = left.withColumn("_h", F.when(complete, F.xxhash64(*on)))
-    rside = right.withColumn("_rh", F.xxhash64(*on.values()))
-    hot = find_hot(lside, "_h", rows_per_split)
-    lside = spread_left(lside, "_h", hot, "_salt")
-    rside = spread_right(rside, "_rh", hot, "_rsalt")
-    cond = F.col("_salt") == F.col("_rsalt")
+    hot = find_hot(lside.select("_h"), "_h", rows_per_split)
+    lside = _with_splits(lside, "_h", hot, "_splits").withColumn("_salt", _pick(_hashable(left), F.col("_splits")))
+    lside = lside.withColumn("_h", F.coalesce(F.col("_h"), _row_hash(_hashable(left)))).drop("_splits")
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on.values()])
+    rside = spread_right(right.where(known).withColumn("_rh", F.xxhash64(*on.values())), "_rh", hot, "_rsalt")
+    cond = lside["_h"] == rside["_rh"]
+    if hot is not None:
+        cond = cond & (lside["_salt"] == rside["_rsalt"])
     for l, r in on.items():
-        cond = cond & (lside[l] == rside[r])
+        # Left out of the exchange: a residual condition, not a further key.
+        cond = cond & F.coalesce(lside[l] == rside[r], F.lit(False))
     return lside.join(rside, cond, "left").select(*lcols, *rcols)
 
 
-def semi_join(
-    left: DataFrame, right: DataFrame, on: Mapping[str, str], rows_per_split: int = ROWS_PER_SPLIT
-) -> DataFrame:
+def semi_join(left: DataFrame, right: DataFrame, on: Mapping[str, str], rows_per_split: int | None = None) -> DataFrame:
     """Left rows whose key occurs on the right; repeated right keys are merged before they move."""
     keys = right.select(*[F.col(r).alias(f"_k{i}") for i, r in enumerate(on.values())]).dropna().distinct()
     pairs = {l: f"_k{i}" for i, l in enumerate(on)}
@@ -114,39 +110,34 @@ def semi_join(
 
 
 def skew_join(
-    left: DataFrame,
-    right: DataFrame,
-    left_key: str,
-    right_key: str,
-    how: str = "left",
-    rows_per_split: int = ROWS_PER_SPLIT,
+    left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str = "left", rows_per_split: int | None = None
 ) -> DataFrame:
-    """Inner or left equi-join with hot keys of either side cut into a grid of tasks.
+    """Inner or left equi-join on text keys.
 
-    A hot left key is split by rows and the matching right rows repeated; a hot right key
-    the other way round. Copies of a left row that meet no right row in their cell are
-    dropped only for hot right keys, where another cell is certain to match.
+    With ``rows_per_split`` hot keys of either side are cut into a grid of tasks: a hot left key is split by rows and
+    the matching right rows repeated; a hot right key the other way round. Copies of a left row that meet no right row in
+    their cell are dropped only for hot right keys, where another cell is certain to match.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"unsupported join type: {how}")
-    hot_l = find_hot(left, left_key, rows_per_split)
-    right = right.where(F.col(right_key).isNotNull())
-    hot_r = find_hot(right, right_key, rows_per_split)
     lcols, rcols = left.columns, right.columns
-    if hot_r is None:
-        lside = spread_left(left, left_key, hot_l, "_la")
-        rside = spread_right(right, right_key, hot_l, "_ra")
-        on = (lside[left_key] == rside[right_key]) & (F.col("_la") == F.col("_ra"))
-        return lside.join(rside, on, how).select(*lcols, *rcols)
-
-    lside = _with_splits(_with_splits(left, left_key, hot_l, "_ls"), left_key, hot_r, "_rs")
-    l_n = F.when(F.col(left_key).isNull(), NULL_SPLITS).otherwise(F.col("_ls"))
-    lside = lside.withColumn("_la", _pick(lcols, l_n)).withColumn(
+    right = right.where(F.col(right_key).isNotNull())
+    hot_l = find_hot(left.select(left_key), left_key, rows_per_split)
+    hot_r = find_hot(right.select(right_key), right_key, rows_per_split)
+    # The left key is shown as it was.
+    kept = left.withColumn("_own", F.col(left_key))
+    lside = own_key(kept, left_key)
+    if rows_per_split is None:
+        joined = lside.join(right, lside[left_key] == right[right_key], how)
+        return joined.withColumn(left_key, F.col("_own")).select(*lcols, *rcols)
+
+    lside = _with_splits(_with_splits(lside, left_key, hot_l, "_ls"), left_key, hot_r, "_rs")
+    lside = lside.withColumn("_la", _pick(_hashable(left), F.col("_ls"))).withColumn(
         "_lb", F.explode(F.sequence(F.lit(0), F.col("_rs") - 1))
     )
     rside = _with_splits(_with_splits(right, right_key, hot_l, "_ls"), right_key, hot_r, "_rs2")
     rside = (
-        rside.withColumn("_rb", _pick(rcols, F.col("_rs2")))
+        rside.withColumn("_rb", _pick(_hashable(right), F.col("_rs2")))
         .withColumn("_ra", F.explode(F.sequence(F.lit(0), F.col("_ls") - 1)))
         .drop("_ls", "_rs2")
     )
@@ -154,4 +145,4 @@ def skew_join(
     joined = lside.join(rside, on, how)
     if how == "left":
         joined = joined.where((F.col("_rs") == 1) | F.col("_rb").isNotNull())
-    return joined.select(*lcols, *rcols)
+    return joined.withColumn(left_key, F.col("_own")).select(*lcols, *rcols)

@@ -41,19 +41,20 @@ def same_text(a: Column, b: Column) -> Column:
     return F.coalesce(a.cast("string") == b.cast("string"), F.lit(False))
 
 
-def join_sources(sources: Mapping[str, DataFrame], cfg: C.Settings, rows_per_split: int = skew.ROWS_PER_SPLIT) -> DataFrame:
+def join_sources(sources: Mapping[str, DataFrame], cfg: C.Settings, rows_per_split: int | None = None) -> DataFrame:
     """Monitored contracts with the milestones and documents of the other sources.
 
     All sources meet the contracts on (canonical key, salt): the contracts are exchanged
-    once for the whole chain, and a hot or missing key is spread over many tasks. Duplicate
-    source keys multiply rows; ``joins.check_keys`` tells afterwards.
+    once for the whole chain, and missing keys are spread over many tasks. ``rows_per_split`` counts the
+    contracts' keys first (for stored tables) and spreads hot ones as well. Duplicate source keys multiply rows;
+    ``joins.check_keys`` tells afterwards.
     """
     saci = sources["saci"]
     chosen = R.base_filter(F.col("txt_fonte"), F.col("dsc_fase_pac"), F.col("txt_sigla_secretaria"), cfg)
     base = saci.where(chosen).select(
         canonical_key(F.col("num_convenio")).alias("_key"), *[F.col(s).alias(n) for n, s in _SACI.items()]
     )
-    hot = skew.find_hot(base, "_key", rows_per_split)
+    hot = skew.find_hot(base.select("_key"), "_key", rows_per_split)
     out = skew.spread_left(base, "_key", hot, "_salt")
 
     def side(df: DataFrame, key: str, tag: str, columns: Mapping[str, str]) -> DataFrame:
@@ -96,7 +97,7 @@ def join_sources(sources: Mapping[str, DataFrame], cfg: C.Settings, rows_per_spl
     )
 
 
-def enrich(sources: Mapping[str, DataFrame], cfg: C.Settings, rows_per_split: int = skew.ROWS_PER_SPLIT) -> DataFrame:
+def enrich(sources: Mapping[str, DataFrame], cfg: C.Settings, rows_per_split: int | None = None) -> DataFrame:
     """The wide base under its published column names."""
     derived = R.with_contract_rules(join_sources(sources, cfg, rows_per_split), cfg)
     return derived.withColumn("cod_saci", F.col("cod_tci")).select(

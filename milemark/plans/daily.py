@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from milemark import config as C
-from milemark.operators import aggregates, diff, joins
+from milemark.operators import aggregates, diff, joins, skew
 from milemark.plans import contract_base, legacy
 from milemark.sources import files
 from milemark.sources.store import SnapshotStore
@@ -47,13 +47,15 @@ def run_contracts(
     lost executor repeats one stage only.
     """
     spark = store.spark
-    contract_base.enrich(sources, cfg).write.mode("overwrite").parquet(paths.base)
+    # The sources are stored tables here, so their keys may be counted first.
+    contract_base.enrich(sources, cfg, skew.ROWS_PER_SPLIT).write.mode("overwrite").parquet(paths.base)
     base = spark.read.parquet(paths.base)
+    # Before anything else: a refused day must not stay in the store.
+    joins.check_keys(base, C.CONTRACT_DIFF.key_candidates, f"snapshot {day}")
     files.write_quoted_csv(contract_base.doc_detail(sources, base), paths.documents)
 
     store.write(base, day)
     current = store.at(day)
-    joins.check_keys(current, C.CONTRACT_DIFF.key_candidates, f"snapshot {day}")
     before, first = store.previous(day), store.oldest()
     files.write_quoted_csv(store.previous_or_current(day), paths.previous)
     files.write_quoted_csv(store.at(first), paths.first)
@@ -82,13 +84,17 @@ def run_contracts(
 
 def run_legacy(sheet: DataFrame, store: SnapshotStore, paths: DailyPaths, today: str) -> str:
     """One run for the legacy works; returns the date of the stored snapshot."""
+    spark = store.spark
     rows = legacy.extract(sheet)
     latest = rows.agg(F.max(F.nullif(F.col("dt_atualizacao"), F.lit("")))).first()[0]
     day = latest or today
+    joins.check_keys(rows, C.LEGACY_DIFF.key_candidates, f"snapshot {day}")
     store.write(rows, day)
     files.write_quoted_csv(store.at(day), paths.base)
     history_rows, headers = store.history()
-    events = diff.diff_history(history_rows, headers, C.LEGACY_DIFF)
+    # Written once, as both the log and the summary read them.
+    diff.diff_history(history_rows, headers, C.LEGACY_DIFF).write.mode("overwrite").parquet(paths.detail)
+    events = spark.read.parquet(paths.detail)
     files.write_quoted_csv(diff.legacy_log(events), paths.changes)
     files.write_summary_json(diff.legacy_summary(events, history_rows, list(headers)), paths.summary)
     return day

@@ -14,9 +14,9 @@ SEPARATORS = ",;\t|"
 
 
 def _first_line(spark: SparkSession, path: str) -> str:
-    for row in spark.read.text(path).take(10):
-        if row["value"].strip():
-            return row["value"].lstrip("\ufeff")
+    lines = spark.read.text(path).where(F.regexp_replace("value", "^\ufeff", "").rlike(r"\S"))
+    for row in lines.take(1):
+        return row["value"].lstrip("\ufeff")
     raise ValueError(f"no header line in {path}")
 
 

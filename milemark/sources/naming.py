@@ -17,8 +17,7 @@ from pyspark.sql import types as T
 
 from milemark import config as C
 
-SAMPLE_ROWS = 100
-# What a decimal comma and a date look like in the sample.
+# What a decimal comma and a date look like.
 DECIMAL_COMMA = r"^\d+,\d+\z"
 DATE_LIKE = r"^\s*\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}(?:[ T]\d{1,2}:\d{2}(?::\d{2})?)?\s*\z"
 # Day-first forms, then month-first ones for days that are no month.
@@ -78,50 +77,31 @@ def any_date(c: Column) -> Column:
     return F.when(ok, F.coalesce(*[F.try_to_timestamp(day, F.lit(f)).cast("date") for f in DATE_FORMATS]))
 
 
-def _samples(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
-    """First non-null texts of each column: one short read serves all but sparse columns."""
-    head = df.select(*columns).take(SAMPLE_ROWS)
-    out = {}
-    for c in columns:
-        values = [r[c] for r in head if r[c] is not None]
-        if len(values) < SAMPLE_ROWS and len(head) == SAMPLE_ROWS:
-            more = df.select(c).where(F.col(c).isNotNull()).limit(SAMPLE_ROWS).collect()
-            values = [r[c] for r in more]
-        out[c] = values
-    return out
-
-
 def infer_types(df: DataFrame, forced_text: Sequence[str] = tuple(C.FORCED_TEXT)) -> DataFrame:
     """Text columns become long, double or date when every value allows it.
 
-    The sample decides which reading is tried (decimal comma, number, day-first date); the
-    conversion happens only if all rows parse, so a column is never half converted.
+    One aggregate over all rows decides, whatever their order: a column with a decimal comma anywhere is read that
+    way, any other as numbers, and what is no number may be a date. A reading is taken only if all values parse.
     """
     skip = {slug(c) for c in forced_text}
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name not in skip]
     if not texts:
         return df
-    comma, datelike = re.compile(DECIMAL_COMMA.replace(r"\z", r"\Z")), re.compile(DATE_LIKE.replace(r"\z", r"\Z"))
     readings: dict[str, dict[str, Column]] = {}
-    for c, sample in _samples(df, texts).items():
-        if not sample:
-            continue
-        col = F.col(c)
-        if any(comma.match(v) for v in sample):
-            tries = {"comma": comma_decimal(col)}
-        else:
-            tries = {"long": F.trim(col).try_cast("bigint"), "double": F.trim(col).try_cast("double")}
-        if any(datelike.match(v) for v in sample):
-            tries["date"] = any_date(col)
-        readings[c] = tries
-    if not readings:
-        return df
-    aggs = [F.count(c).alias(f"{c}|n") for c in readings]
-    aggs += [F.count(expr).alias(f"{c}|{kind}") for c, tries in readings.items() for kind, expr in tries.items()]
+    aggs = []
+    for c in texts:
+        col = F.col(f"`{c}`")
+        readings[c] = {
+            "comma": comma_decimal(col), "long": F.trim(col).try_cast("bigint"), "double": F.trim(col).try_cast("double"),
+            "date": any_date(col),
+        }
+        aggs += [F.count(col).alias(f"{c}|n"), F.count_if(col.rlike(DECIMAL_COMMA)).alias(f"{c}|commas")]
+        aggs += [F.count(expr).alias(f"{c}|{kind}") for kind, expr in readings[c].items()]
     counts = df.agg(*aggs).first().asDict()
     chosen = {}
-    for c, tries in readings.items():
-        fits = [kind for kind in tries if counts[f"{c}|{kind}"] == counts[f"{c}|n"]]
+    for c in texts:
+        numbers = ["comma"] if counts[f"{c}|commas"] else ["long", "double"]
+        fits = [kind for kind in [*numbers, "date"] if counts[f"{c}|{kind}"] == counts[f"{c}|n"] > 0]
         if fits:
-            chosen[c] = tries[fits[0]]
+            chosen[c] = readings[c][fits[0]]
     return df.withColumns(chosen) if chosen else df

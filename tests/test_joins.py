@@ -99,6 +99,78 @@ def test_exact_copies_of_a_hot_row_are_spread(spark):
     assert len(salts) > 1 and sum(r["count"] for r in salts) == 4000
 
 
+def every_join(left, right):
+    """Each public join over the two: (a, i) and (b, j), text keys."""
+    lookup = right.groupBy("b").agg(F.min("j").alias("j"))
+    pair = lambda df, k: df.select(F.col(k).alias("num_convenio"), F.lit("c").alias("cod_tci"))
+    return {
+        "tolerant": J.tolerant_join(left, right, "a", "b"),
+        "tolerant split": J.tolerant_join(left, right, "a", "b", rows_per_split=3),
+        "tolerant inner": J.tolerant_join(left, right, "a", "b", "inner", rows_per_split=3),
+        "first match": J.first_match(left, right, "a", "b", "j", "found"),
+        "membership": J.membership_flag(left, right, "a", "b", "found"),
+        "lookup": skew.lookup_join(left, lookup, {"a": "b"}),
+        "lookup split": skew.lookup_join(left, lookup, {"a": "b"}, 3),
+        "semi": skew.semi_join(left, right, {"a": "b"}),
+        "restrict": J.restrict_previous(pair(left, "a"), pair(right, "b")),
+    }
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_joins_on_empty_and_all_null_sides(spark, adaptive):
+    some = [(str(k % 3), k) for k in range(9)]
+    sides = {"some": some, "empty": [], "null": [(None, k) for k in range(5)]}
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        for l, left in sides.items():
+            for r, right in sides.items():
+                frames = every_join(spark.createDataFrame(left, "a string, i int"), spark.createDataFrame(right, "b string, j int"))
+                got = {name: df.count() for name, df in frames.items()}
+                hits = 9 if l == r == "some" else 0
+                many = 27 if hits else len(left)
+                assert got == {
+                    "tolerant": many, "tolerant split": many, "tolerant inner": 3 * hits, "first match": len(left),
+                    "membership": len(left), "lookup": len(left), "lookup split": len(left), "semi": hits,
+                    "restrict": 5 if l == r == "null" else hits,
+                }, (l, r)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+@pytest.mark.parametrize("how", ["tolerant", "lookup"])
+def test_missing_keys_are_spread(spark, how):
+    left = spark.range(40_000).select(F.when(F.col("id") % 10 == 0, F.col("id").cast("string")).alias("a"), "id")
+    right = spark.range(2_000).select((F.col("id") * 10).cast("string").alias("b"), F.col("id").alias("j"))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    for k, v in zip(old, ("-1", "false", "16"), strict=True):
+        spark.conf.set(k, v)
+    try:
+        joined = J.tolerant_join(left, right, "a", "b") if how == "tolerant" else skew.lookup_join(left, right, {"a": "b"})
+        rows = [r["n"] for r in joined.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        assert sum(rows) == 40_000 and len(rows) == 16 and max(rows) < 2 * 40_000 / 16
+        assert joined.where("a is null").count() == 36_000 and joined.where("b is not null").count() == 2_000
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_blank_keys_as_missing(spark):
+    left, right = spark.createDataFrame([("", 1), (" ", 2), ("7", 3)], "a string, i int"), spark.createDataFrame([("", 1), ("07", 2)], "b string, j int")
+    assert J.tolerant_join(left, right, "a", "b", "inner").count() == 2
+    assert [r.i for r in J.tolerant_join(left, right, "a", "b", "inner", blank_is_missing=True).collect()] == [3]
+
+
+@pytest.mark.parametrize("bad", [[("1", "x"), (None, "y")], [("1", "x"), ("1 ", "y")]])
+def test_snapshot_matches_refuse_missing_and_repeated_keys(spark, bad):
+    from pyspark.errors import PySparkException
+
+    good = spark.createDataFrame([("1", "x")], "num_convenio string, v string")
+    df = spark.createDataFrame(bad, "num_convenio string, v string")
+    for a, b in ((good, df), (df, good)):
+        with pytest.raises(PySparkException, match="snapshot"):
+            J.match_snapshots(a, b, ["num_convenio"]).collect()
+
+
 def test_first_match_takes_the_smallest(spark):
     docs = spark.createDataFrame([("12",), ("13",), (None,)], "instrumento string")
     saci = spark.createDataFrame([("012", "b"), ("12.0", "a"), ("14", "c")], "num_convenio string, cod_tci string")

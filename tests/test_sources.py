@@ -66,9 +66,13 @@ def test_type_inference(spark):
     assert got[0].operacao_nu == "007"
 
 
-def test_type_inference_is_all_or_nothing_and_decided_by_the_sample(spark):
+@pytest.mark.parametrize("first", [True, False])
+def test_type_inference_is_all_or_nothing_whatever_the_order(spark, first):
     late = [("1",)] * 150 + [("3,5",)]
-    assert dict(naming.infer_types(spark.createDataFrame(late, "v string").coalesce(1)).dtypes) == {"v": "string"}
+    late = late[::-1] if first else late
+    assert dict(naming.infer_types(spark.createDataFrame(late, "v string").coalesce(1)).dtypes) == {"v": "double"}
+    days = [(None,)] * 150 + [("31/1/2026",)]
+    assert dict(naming.infer_types(spark.createDataFrame(days, "v string").coalesce(1)).dtypes) == {"v": "date"}
     broken = [("3,5",), ("abc",)]
     df = naming.infer_types(spark.createDataFrame(broken, "v string"))
     assert sorted(r.v for r in df.collect()) == ["3,5", "abc"]
