@@ -502,6 +502,9 @@ count(*) AS qtd, coalesce(sum(vlr_repasse), 0)::{DEC} AS vlr FROM m GROUP BY 1,
         "work_flags": f"WITH {WORKS} SELECT operacao, situacao_obra = 'Obra Paralisada' AS paralisada, situacao_obra = 'Obra concluída' AS concluida, situacao_obra = 'Obra em andamento' AS andamento FROM works",
         "due_by_cutoff": f"WITH {PANEL} SELECT cod_tci, prazo_homolog_licitacao FROM panel WHERE {OPEN_HOM} AND prazo_homolog_licitacao <= {CUTOFF}",
         "tolerant_join": f"WITH {SOURCES} SELECT s.cod_tci, s.num_convenio, p.instrumento, p.dt_vencimento_suspensiva AS vencimento_da_suspensiva FROM saci s LEFT JOIN pbi p ON {key('s.num_convenio')} = {key('p.instrumento')}",
+        "tolerant_join_empty": f"WITH {SOURCES} SELECT cod_tci, num_convenio, NULL::VARCHAR AS instrumento, NULL::DATE AS vencimento_da_suspensiva FROM saci",
+        "tolerant_join_null_keys": f"WITH {SOURCES}, l AS (SELECT cod_tci, CASE WHEN ends_with(cod_tci::VARCHAR, '0') THEN num_convenio END AS num_convenio FROM saci) SELECT l.cod_tci, l.num_convenio, p.instrumento, p.dt_vencimento_suspensiva AS vencimento_da_suspensiva FROM l LEFT JOIN pbi p ON trim(l.num_convenio) <> '' AND {key('l.num_convenio')} = {key('p.instrumento')}",
+        "infer_types": "SELECT * FROM (VALUES ('virgula', 'double', (SELECT count(*) FROM orders)), ('inteiro', 'bigint', (SELECT count(*) FROM orders)), ('real', 'double', (SELECT count(*) FROM orders)), ('dia', 'date', (SELECT count(*) FROM orders WHERE o_orderkey % 83 = 0)), ('misto', 'string', (SELECT count(*) FROM orders))) v(coluna, tipo, valores)",
         "plain_join": f"WITH {SOURCES} SELECT s.cod_tci, s.num_convenio, s29.instrumento AS instrumento_s29, perspectiva AS pespectiva_de_retirada_da_suspensiva FROM saci s LEFT JOIN s29 ON s.num_convenio = s29.instrumento",
         "enrich": f"WITH {SOURCES}, ej AS ({ENRICH_SOURCE}), ed AS ({derived('ej')}) SELECT "
         + ", ".join(f"{'cod_tci' if n == 'cod_saci' else n} AS {p}" for n, p in C.BASE_COLUMNS.items()) + " FROM ed",
@@ -615,4 +618,28 @@ FROM (SELECT *, CASE WHEN k % 5 = 1 THEN (('20' || right(year(d)::VARCHAR, 2)) |
         "panel_rows": f"""WITH {CONTRACTS}, d0 AS ({_docs('selected')}), e AS ({derived('d0')}) SELECT cod_tci, num_convenio, uf, situacao, dt_assinatura, dt_lae_mais_60, dt_lae_mais_60_mais_120,
 coalesce(vlr_repasse, 0)::{DEC} AS vlr_repasse, dias_ate_publicacao::DOUBLE AS dias_ate_publicacao, pos_72, ano, len({PENDING_LIST}) AS docs_suspensiva_qtd FROM e WHERE k % 97 <> 1""",
     }
+    out["diff_report"] = _report(out["diff_summary"])
     return out
+
+
+# Wording of the report's lines.
+_REPORT = [
+    ("# Diferença da base - ", "snapshot_atual", ""), ("", None, ""), ("- Snapshot atual: `", "snapshot_atual", "`"),
+    ("- Snapshot anterior: `", "snapshot_anterior", "`"), ("- Total anterior: **", "total_anterior", "**"),
+    ("- Total atual: **", "total_atual", "**"), ("", None, ""), ("## Resumo", None, ""), ("", None, ""),
+    ("- Entraram na base: **", "entered", "**"), ("- Saíram da base: **", "exited", "**"),
+    ("- Registros com alguma alteração: **", "changed_records", "**"),
+    ("- Registros com mudança de dados de origem: **", "changed_data_records", "**"),
+    ("- Registros com mudança apenas em campos derivados/status: **", "changed_time_records", "**"),
+    ("", None, ""), ("## Mudanças por status", None, ""), ("", None, ""),
+    *[(f"- `{f}`: **", f, "**") for f in C.STATUS_FIELDS],
+    ("", None, ""), ("## Leitura recomendada", None, ""), ("", None, ""),
+    ("- `categoria_alteracao = dados_e_derivados`: mudou dado de origem e isso também repercutiu em campos calculados.", None, ""),
+    ("- `categoria_alteracao = dados`: mudou apenas dado de origem, sem alterar status calculado.", None, ""),
+    ("- `categoria_alteracao = derivados_tempo`: o dado-base ficou igual; a alteração veio só de regra derivada/data corrente.", None, ""),
+]
+
+
+def _report(summary: str) -> str:
+    texts = ", ".join(q(a) if c is None else f"{q(a)} || {c}::VARCHAR || {q(b)}" for a, c, b in _REPORT)
+    return f"WITH r AS ({summary}), t AS (SELECT [{texts}] AS x FROM r) SELECT unnest(range(1, {len(_REPORT) + 1}))::INTEGER AS linha, unnest(x) AS texto FROM t"

@@ -28,7 +28,7 @@ from milemark.operators import explore as E
 from milemark.operators import joins as J
 from milemark.plans import contract_base, panel
 from milemark.plans import selection as S
-from milemark.sources import naming
+from milemark.sources import files, naming
 
 Query = Callable[[SparkSession, str], DataFrame]
 CFG = T.SETTINGS
@@ -136,6 +136,45 @@ def tolerant_join(spark, sf):
     return J.tolerant_join(left, right, "num_convenio", "instrumento")
 
 
+def tolerant_join_empty(spark, sf):
+    """No row on the right: every contract stays."""
+    src = T.sources(spark, sf)
+    right = src["pbi"].where("instrumento = 'none such'").select("instrumento", "vencimento_da_suspensiva")
+    return J.tolerant_join(src["saci"].select("cod_tci", "num_convenio"), right, "num_convenio", "instrumento")
+
+
+def tolerant_join_null_keys(spark, sf):
+    """Two contracts of three without a key; blank keys match nothing."""
+    src = T.sources(spark, sf)
+    key = F.when(F.col("cod_tci").cast("string").endswith("0"), F.col("num_convenio"))
+    left = src["saci"].select("cod_tci", key.alias("num_convenio"))
+    right = src["pbi"].select("instrumento", "vencimento_da_suspensiva")
+    return J.tolerant_join(left, right, "num_convenio", "instrumento", blank_is_missing=True)
+
+
+def infer_types(spark, sf):
+    """Types found for text columns whose deciding values come late, one row a column."""
+    k, d = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    texts = T.read(spark, sf, "orders").select(
+        F.when(k % 97 == 0, F.concat(k.cast("string"), F.lit(",5"))).otherwise(k.cast("string")).alias("virgula"),
+        k.cast("string").alias("inteiro"),
+        F.when(k % 89 == 0, F.concat(k.cast("string"), F.lit(".25"))).otherwise(k.cast("string")).alias("real"),
+        F.when(k % 83 == 0, F.date_format(d, "dd/MM/yyyy")).alias("dia"),
+        F.when(k % 79 == 0, "x").otherwise(k.cast("string")).alias("misto"),
+    )
+    typed = naming.infer_types(texts)
+    counts = typed.agg(*[F.count(c).alias(c) for c in typed.columns])
+    kinds = dict(typed.dtypes)
+    rows = [F.struct(F.lit(c).alias("coluna"), F.lit(kinds[c]).alias("tipo"), F.col(c).alias("valores")) for c in typed.columns]
+    return counts.select(F.inline(F.array(*rows)))
+
+
+def diff_report(spark, sf):
+    """The text report of a pair of snapshots, line by line."""
+    dates = {"atual": T.SNAPSHOTS[1], "anterior": T.SNAPSHOTS[0], "primeiro": T.SNAPSHOTS[0]}
+    return files.summary_report(D.diff_summary(T.snapshot(spark, sf, 1), T.snapshot(spark, sf, 2), dates))
+
+
 def plain_join(spark, sf):
     src = T.sources(spark, sf)
     return J.plain_join(
@@ -482,11 +521,12 @@ def panel_rows(spark, sf):
 def queries() -> dict[str, Query]:
     named = [
         flagship, base_filter, weekday_count, doc_type, pending_docs, situation_flags, display_status,
-        pending_by_month, progress_band, work_flags, due_by_cutoff, tolerant_join, plain_join, enrich, doc_union,
+        pending_by_month, progress_band, work_flags, due_by_cutoff, tolerant_join,
+        tolerant_join_empty, tolerant_join_null_keys, infer_types, plain_join, enrich, doc_union,
         first_match, membership_flag, doc_kpis, freshness, match_snapshots, key_diff, row_labels, key_check,
         restrict_previous, first_events, breakdown, domain_order, group_totals, kpi, kpi_delta, tender_kpis,
         works_kpis, tender_flow, suspension_cascade, doc_pending_counts, geo_breakdown, diff_history, change_view,
-        change_kpis, change_events, diff_detail, status_counters, diff_summary, first_run_summary, legacy_diff,
+        change_kpis, change_events, diff_detail, status_counters, diff_summary, diff_report, first_run_summary, legacy_diff,
         legacy_change_view, legacy_change_kpis, legacy_summary, works_overview, execution_kpis, stoppage_kpis,
         column_profile, width_profile, snapshot_date, facets, sanitize, text_search, cross_filter, geo_filter,
         cascade_filter, tender_filter, final_filter, table_page, scoped_rows, filter_options, topk_other, group_topk,

@@ -313,17 +313,24 @@ def progress_counts(df: DataFrame) -> DataFrame:
 
 
 def change_kpis(view: DataFrame) -> DataFrame:
-    """Headline of the change page, from the displayed log."""
+    """Headline of the change page, from the displayed log: counts per record first, then over the records."""
     record = F.when(F.col("num_convenio") != "—", F.col("num_convenio")).otherwise(F.col("cod_tci"))
     altered = F.col("tipo") == "Alterado"
     nature = F.col("natureza_raw")
-    return view.agg(
-        F.count_distinct(record).alias("empreendimentos"),
-        F.count("*").alias("campos_alterados"),
-        F.count_if(altered & (nature == "dados_origem")).alias("mudancas_de_dado"),
-        F.count_if(altered & (nature == "derivado_regra")).alias("mudancas_derivadas"),
-        F.count_if(altered & (nature == "derivado_tempo")).alias("mudancas_automaticas"),
-        F.count_distinct(F.when(F.col("tipo") == "Novo", record)).alias("contratos_novos"),
+    counts = {
+        "campos_alterados": F.count("*"),
+        "mudancas_de_dado": F.count_if(altered & (nature == "dados_origem")),
+        "mudancas_derivadas": F.count_if(altered & (nature == "derivado_regra")),
+        "mudancas_automaticas": F.count_if(altered & (nature == "derivado_tempo")),
+    }
+    per_record = view.groupBy(record.alias("_r")).agg(
+        *[c.alias(n) for n, c in counts.items()], F.max(F.col("tipo") == "Novo").alias("_novo")
+    )
+    known = F.col("_r").isNotNull()
+    return per_record.agg(
+        F.count("_r").alias("empreendimentos"),
+        *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in counts],
+        F.count_if(known & F.col("_novo")).alias("contratos_novos"),
     )
 
 
@@ -335,12 +342,15 @@ def change_events(view: DataFrame) -> DataFrame:
 
 
 def legacy_change_kpis(view: DataFrame) -> DataFrame:
-    tipo, work = F.col("tipo"), F.col("operacao")
-    return view.agg(
-        F.count_distinct(work).alias("obras"),
-        F.count_if(tipo == "Alterado").alias("campos_alterados"),
-        F.count_distinct(F.when(tipo == "Novo", work)).alias("obras_novas"),
-        F.count_distinct(F.when(tipo == "Removido", work)).alias("obras_removidas"),
+    tipo, known = F.col("tipo"), F.col("operacao").isNotNull()
+    per_work = view.groupBy("operacao").agg(
+        F.count_if(tipo == "Alterado").alias("n"), F.max(tipo == "Novo").alias("nova"), F.max(tipo == "Removido").alias("removida")
+    )
+    return per_work.agg(
+        F.count("operacao").alias("obras"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("campos_alterados"),
+        F.count_if(known & F.col("nova")).alias("obras_novas"),
+        F.count_if(known & F.col("removida")).alias("obras_removidas"),
     )
 
 

@@ -286,24 +286,28 @@ def order_history(history: DataFrame) -> DataFrame:
 
 def headline(detail: DataFrame) -> DataFrame:
     """Records entered, exited and changed; changed ones split by whether source data moved."""
+    return _counted(detail, ()).select(*HEADLINE)
+
+
+HEADLINE = ["entered", "exited", "changed_records", "changed_data_records", "changed_time_records"]
+
+
+def _counted(detail: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """The headline and ``s0``, ``s1`` ... (changes of each field) in one row: per record first, then over the records."""
     key = F.coalesce(F.nullif(F.col("num_convenio"), F.lit("")), F.col("cod_saci"))
-    altered = F.col("tipo_alteracao") == "alterado"
-    # The first reported field of a record stands for the record.
-    per_record = detail.where(altered).select(key.alias("k"), "categoria_alteracao").distinct()
-    one_sided = detail.agg(
-        F.count_if(F.col("tipo_alteracao") == "entrou").alias("entered"),
-        F.count_if(F.col("tipo_alteracao") == "saiu").alias("exited"),
+    kind, category, n = F.col("tipo_alteracao"), F.col("categoria_alteracao"), F.col("n")
+    altered = kind == "alterado"
+    per_record = detail.groupBy(kind, category, key.alias("k")).agg(
+        F.count("*").alias("n"), *[F.count_if(altered & (F.col("campo") == f)).alias(f"s{i}") for i, f in enumerate(fields)]
     )
-    changed = per_record.agg(
-        F.count("*").alias("changed_records"),
-        F.count_if(F.col("categoria_alteracao") != "derivados_tempo").alias("changed_data_records"),
-        F.count_if(F.col("categoria_alteracao") == "derivados_tempo").alias("changed_time_records"),
-    )
-    return one_sided.select(
-        "entered", "exited",
-        changed.select("changed_records").scalar().alias("changed_records"),
-        changed.select("changed_data_records").scalar().alias("changed_data_records"),
-        changed.select("changed_time_records").scalar().alias("changed_time_records"),
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return per_record.agg(
+        total(F.when(kind == "entrou", n)).alias("entered"),
+        total(F.when(kind == "saiu", n)).alias("exited"),
+        F.count_if(altered).alias("changed_records"),
+        F.count_if(altered & (category != "derivados_tempo")).alias("changed_data_records"),
+        F.count_if(altered & (category == "derivados_tempo")).alias("changed_time_records"),
+        *[total(F.col(f"s{i}")).alias(f"s{i}") for i in range(len(fields))],
     )
 
 
@@ -317,32 +321,25 @@ def diff_summary(
 
     ``dates`` has the keys atual, anterior and primeiro.
     """
-    from milemark.operators.aggregates import status_counters
-
     head = current.agg(F.count("*").alias("total_atual"))
     days = [
         F.lit(dates.get(k)).cast("string").alias(f"snapshot_{k}") for k in ("atual", "anterior", "primeiro")
     ]
-    counters = ["entered", "exited", "changed_records", "changed_data_records", "changed_time_records"]
     if previous is None:
         empty = F.lit(None).cast("bigint")
-        stats = F.lit(None).cast("struct<" + ",".join(f"{n}:bigint" for n in counters) + ">")
+        stats = F.lit(None).cast("struct<" + ",".join(f"{n}:bigint" for n in HEADLINE) + ">")
         status = F.lit(None).cast("struct<" + ",".join(f"{n}:bigint" for n in C.STATUS_FIELDS) + ">")
         return head.select(
             *days, "total_atual", empty.alias("total_anterior"), empty.alias("delta_total"),
             stats.alias("resumo"), status.alias("mudancas_status"),
         )
     detail = diff_detail(previous, current) if detail is None else detail
-    before = previous.agg(F.count("*").alias("n")).scalar()
-    stats = headline(detail).select(F.struct(*counters)).scalar()
-    by_field = status_counters(detail)
-    status = by_field.agg(
-        F.struct(*[F.max(F.when(F.col("campo") == f, F.col("mudancas"))).alias(f) for f in C.STATUS_FIELDS])
-    ).scalar()
-    return head.select(
-        *days, "total_atual", before.alias("total_anterior"),
-        (F.col("total_atual") - before).alias("delta_total"),
-        stats.alias("resumo"), status.alias("mudancas_status"),
+    # The detail is read once; the two totals are counts of one column each.
+    now, before = head.scalar(), previous.agg(F.count("*").alias("n")).scalar()
+    status = F.struct(*[F.col(f"s{i}").alias(f) for i, f in enumerate(C.STATUS_FIELDS)])
+    return _counted(detail, C.STATUS_FIELDS).select(
+        *days, now.alias("total_atual"), before.alias("total_anterior"), (now - before).alias("delta_total"),
+        F.struct(*HEADLINE).alias("resumo"), status.alias("mudancas_status"),
     )
 
 

@@ -21,7 +21,7 @@ def tolerant_join(
     Column names of the two sides must differ. Duplicate keys multiply rows. By text equality a blank key equals a
     blank key, which multiplies all such rows; ``blank_is_missing`` lets them match nothing.
     """
-    key = (lambda c: canonical_key(blank_to_null(c))) if blank_is_missing else canonical_key
+    key = (lambda c: canonical_key(F.when(blank_to_null(c).isNotNull(), c))) if blank_is_missing else canonical_key
     lside = left.withColumn("_lkey", key(F.col(left_key)))
     rside = right.withColumn("_rkey", key(F.col(right_key)))
     return skew.skew_join(lside, rside, "_lkey", "_rkey", how, rows_per_split).drop("_lkey", "_rkey")

@@ -91,12 +91,16 @@ def write_summary_json(df: DataFrame, path: str, mode: str = "overwrite") -> Non
     df.coalesce(1).write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
+# The order of the published sources.
+FRESHNESS_ORDER = ["tci_mcid", "transferegov", "bdgestores", "power_bi_caixa", "dmp"]
+
+
 def freshness_document(rows: DataFrame, snapshot: str) -> DataFrame:
-    """The five freshness rows nested into the document that is published."""
+    """The five freshness rows nested into the document that is published, in the published order."""
     source = F.struct("key", "label", "sigla", "updated_at", "method", "fallback", "note")
-    return rows.agg(
-        F.lit(snapshot).alias("snapshot_atual"), F.sort_array(F.collect_list(source)).alias("sources")
-    )
+    place = F.array_position(F.array(*[F.lit(k) for k in FRESHNESS_ORDER]), F.col("key"))
+    placed = F.sort_array(F.collect_list(F.struct(place.alias("place"), source.alias("source"))))
+    return rows.agg(F.lit(snapshot).alias("snapshot_atual"), F.transform(placed, lambda p: p["source"]).alias("sources"))
 
 
 # Wording of the text report.
@@ -109,26 +113,47 @@ REPORT_HEADLINE = {
 }
 
 
-def summary_report(summary: DataFrame) -> DataFrame:
-    """Headline and status counters of a diff as ``linha, texto``."""
+REPORT_GUIDE = [
+    "",
+    "## Leitura recomendada",
+    "",
+    "- `categoria_alteracao = dados_e_derivados`: mudou dado de origem e isso também repercutiu em campos calculados.",
+    "- `categoria_alteracao = dados`: mudou apenas dado de origem, sem alterar status calculado.",
+    "- `categoria_alteracao = derivados_tempo`: o dado-base ficou igual; a alteração veio só de regra derivada/data corrente.",
+]
+
+
+def summary_report(summary: DataFrame, base: str = "") -> DataFrame:
+    """The text report of a diff as ``linha, texto``: totals, headline, status counters and a reading guide.
+
+    ``base`` names the base in the title.
+    """
+    label = f" {base}" if base else ""
 
     def line(label: str, value: Column) -> Column:
         return F.concat(F.lit(f"- {label}: **"), value.cast("string"), F.lit("**"))
 
     texts = [
-        F.concat(F.lit("# Diferença da base - "), F.col("snapshot_atual")),
-        F.concat(F.lit("- Snapshot anterior: "), F.coalesce("snapshot_anterior", F.lit("—"))),
+        F.concat(F.lit(f"# Diferença da base{label} - "), F.col("snapshot_atual")),
+        F.lit(""),
+        F.concat(F.lit("- Snapshot atual: `"), F.col("snapshot_atual"), F.lit("`")),
+        F.concat(F.lit("- Snapshot anterior: `"), F.coalesce("snapshot_anterior", F.lit("—")), F.lit("`")),
         line("Total anterior", F.col("total_anterior")),
         line("Total atual", F.col("total_atual")),
+        F.lit(""),
         F.lit("## Resumo"),
+        F.lit(""),
         *[line(label, F.col(f"resumo.{n}")) for n, label in REPORT_HEADLINE.items()],
+        F.lit(""),
         F.lit("## Mudanças por status"),
-        *[line(f, F.col(f"mudancas_status.{f}")) for f in C.STATUS_FIELDS],
+        F.lit(""),
+        *[line(f"`{f}`", F.col(f"mudancas_status.{f}")) for f in C.STATUS_FIELDS],
+        *[F.lit(text) for text in REPORT_GUIDE],
     ]
     rows = [F.struct(F.lit(i + 1).alias("linha"), t.alias("texto")) for i, t in enumerate(texts)]
     return summary.select(F.inline(F.array(*rows)))
 
 
-def write_report(summary: DataFrame, path: str) -> None:
-    report = summary_report(summary).where(F.col("texto").isNotNull())
+def write_report(summary: DataFrame, path: str, base: str = "") -> None:
+    report = summary_report(summary, base).where(F.col("texto").isNotNull())
     report.coalesce(1).sortWithinPartitions("linha").select("texto").write.mode("overwrite").text(path)

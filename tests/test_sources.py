@@ -135,7 +135,11 @@ def test_summary_json_and_report(spark, tmp_path):
     assert doc["delta_total"] == 0 and doc["mudancas_status"]["fase_atual_calc"] == 1
     files.write_report(summary, str(tmp_path / "r"))
     lines = only_file(tmp_path / "r", ".txt").read_text(encoding="utf-8").splitlines()
-    assert "- Entraram na base: **1**" in lines and lines[-1] == "- fase_atual_calc: **1**"
+    assert lines[:10] == [
+        "# Diferença da base - 2026-01-02", "", "- Snapshot atual: `2026-01-02`", "- Snapshot anterior: `2026-01-01`",
+        "- Total anterior: **2**", "- Total atual: **2**", "", "## Resumo", "", "- Entraram na base: **1**",
+    ]
+    assert "- `fase_atual_calc`: **1**" in lines and lines[-5:-2] == ["", "## Leitura recomendada", ""]
     files.write_summary_json(D.diff_summary(None, cur, {"atual": "d", "primeiro": "d"}), str(tmp_path / "f"))
     first = json.loads(only_file(tmp_path / "f", ".json").read_text(encoding="utf-8"))
     assert first["snapshot_anterior"] is None and first["resumo"] is None and first["total_atual"] == 2
