@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -49,6 +48,8 @@ def starts(n: int) -> range:
 
 def grams(words: list[str]) -> np.ndarray:
     """Rows of hashed runs of three and four bytes of each word with its ends marked; 0 fills up."""
+    if len(words) > 4096:  # bounds the intermediate rows
+        return np.concatenate([grams(words[k : k + 4096]) for k in range(0, len(words), 4096)])
     raw = np.zeros((len(words), WORD_BYTES + 2), dtype=np.uint8)
     for row, w in zip(raw, words, strict=True):
         b = b"\x02" + w.encode("utf-8", "surrogatepass")[:WORD_BYTES] + b"\x03"
@@ -93,7 +94,10 @@ def _summed(n: int, index: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 def _inputs(p: Params, word: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = np.maximum((gram > 0).sum(axis=1, keepdims=True), 1).astype(np.float32)
-    return np.concatenate([p["word"][word], p["gram"][gram].sum(axis=1) / n], axis=1), n
+    chars = np.empty((len(word), CHAR_DIM), p["gram"].dtype)
+    for k in range(0, len(word), 4096):  # bounds the rows of all n-grams in memory
+        chars[k : k + 4096] = p["gram"][gram[k : k + 4096]].sum(axis=1)
+    return np.concatenate([p["word"][word], chars / n], axis=1), n
 
 
 def _recur(p: Params, side: str, x: np.ndarray, at: np.ndarray, keep: list | None) -> np.ndarray:
@@ -171,6 +175,17 @@ def gradients(p: Params, word: np.ndarray, gram: np.ndarray, at: np.ndarray, lab
     return loss, g
 
 
+def _windows(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of all texts, -1 past a text's end, and the number of the text that each comes from."""
+    windows, owner = [], []
+    for k, own in enumerate(ids):
+        padded = np.full(starts(len(own))[-1] + WINDOW, -1, np.int32)
+        padded[: len(own)] = own[: len(padded)]
+        windows.append(np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::STRIDE])
+        owner.append(np.full(len(windows[-1]), k))
+    return np.concatenate(windows), np.concatenate(owner)
+
+
 @dataclass(frozen=True)
 class Model:
     params: Params
@@ -202,14 +217,7 @@ class Scorer:
     def logits(self, texts: Iterable[str | None]) -> np.ndarray:
         """For each text the largest logit of its windows; of a text without words that of an empty window."""
         words = [words_of(t) for t in texts]
-        ids, owner, windows = self._ids(words), [], []
-        for k, own in enumerate(ids):
-            first = starts(len(own))
-            padded = np.full(first[-1] + WINDOW, -1, np.int32)
-            padded[: len(own)] = own[: len(padded)]
-            windows.append(np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::STRIDE])
-            owner.append(np.full(len(windows[-1]), k))
-        at, owner = np.concatenate(windows), np.concatenate(owner)
+        at, owner = _windows(self._ids(words))
         if not len(self.parts["f"]):  # no word at all so far: any row serves, none is used
             self.parts = {s: np.zeros((1, 3 * HIDDEN), np.float32) for s in "fb"}
         found = np.empty(len(at), np.float32)
@@ -231,35 +239,30 @@ def train(texts: list[str], labels: list[int], seed: int = 42) -> Model:
     three times the weight of the others when the threshold is set; it is never below even odds. With one class only, all scores are 0.5 or less.
     """
     rng = np.random.default_rng(seed)
-    words = [words_of(t) for t in texts]
     y = np.array(labels, dtype=np.float32)
-    seen = Counter(w for own in words for w in dict.fromkeys(own))
-    vocabulary = {w: k + 1 for k, (w, n) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: VOCABULARY - 1]) if n > 2}
+    row: dict[str, int] = {}
+    ids = [np.array([row.setdefault(w, len(row)) for w in words_of(t)], dtype=np.int32) for t in texts]
+    rows_of = [np.unique(own) for own in ids]
+    seen = np.bincount(np.concatenate([*rows_of, np.empty(0, np.int32)]), minlength=len(row))
+    common = sorted((-n, w) for w, n in zip(row, seen.tolist(), strict=True) if n > 2)[: VOCABULARY - 1]
+    vocabulary = {w: k + 1 for k, (_, w) in enumerate(common)}
     params = _initial(len(vocabulary) + 1, rng)
     if not len(y) or y.min() == y.max():
         return Model(params, vocabulary, 1e3 if not len(y) or y.max() < 1 else -1e3)
-    every = list(seen)
-    row = {w: k for k, w in enumerate(every)}
+    every = list(row)
     word, gram = np.array([vocabulary.get(w, 0) for w in every]), grams(every)
-    windows, owner = [], []
-    for k, own in enumerate(words):
-        for s in starts(len(own)):
-            part = [row[w] for w in own[s : s + WINDOW]]
-            windows.append(part + [-1] * (WINDOW - len(part)))
-            owner.append(k)
-    at, owner = np.array(windows, dtype=np.int32), np.array(owner)
+    at, owner = _windows(ids)
     check = rng.random(len(y)) < 0.2
     usable = ~check[owner]
-    rows_of = [np.array([row[w] for w in dict.fromkeys(own)], dtype=np.int64) for own in words]
-    params["word"][1:, 0] = _surprise([word[r] for r in rows_of], y, ~check, len(params["word"]))[1:]
-    params["gram"][1:, 0] = _surprise([gram[r].ravel() for r in rows_of], y, ~check, GRAMS)[1:]
+    params["word"][1:, 0] = _surprise((word[r] for r in rows_of), y, ~check, len(params["word"]))[1:]
+    params["gram"][1:, 0] = _surprise((gram[r].ravel() for r in rows_of), y, ~check, GRAMS)[1:]
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in params.items()}
     steps = 0
 
     def logits(rows: np.ndarray) -> np.ndarray:
         x, _ = _inputs(params, word, gram)
         parts = {s: x @ params[f"W{s}"] + params[f"b{s}"] for s in "fb"}
-        return np.concatenate([forward(params, parts, at[rows[k : k + 2048]]) for k in range(0, len(rows), 2048)])
+        return np.concatenate([forward(params, parts, at[rows[k : k + 512]]) for k in range(0, len(rows), 512)])
 
     expected = 4 * len(at) * y.mean() / BATCH
     epochs = max(EPOCHS, min(round(STEPS / max(expected, 1)), 8 * EPOCHS))
@@ -288,11 +291,12 @@ def train(texts: list[str], labels: list[int], seed: int = 42) -> Model:
                 m += 0.1 * (value - m)
                 v += 0.01 * (value * value - v)
                 params[name] -= rate * (m / (1 - 0.9**steps)) / (np.sqrt(v / (1 - 0.99**steps)) + 1e-7)
-    own = Scorer(Model(params, vocabulary, 0.0))
-    return Model(params, vocabulary, max(0.0, _threshold(own.logits(texts), y, np.where(check, 3.0, 1.0))))
+    best = np.full(len(y), -np.inf)
+    np.maximum.at(best, owner, logits(np.arange(len(at))))
+    return Model(params, vocabulary, max(0.0, _threshold(best, y, np.where(check, 3.0, 1.0))))
 
 
-def _surprise(found: list[np.ndarray], label: np.ndarray, used: np.ndarray, n: int) -> np.ndarray:
+def _surprise(found: Iterable[np.ndarray], label: np.ndarray, used: np.ndarray, n: int) -> np.ndarray:
     """How many deviations more often than expected a feature is in toxic documents: where its first input starts."""
     toxic, all_ = np.zeros(n), np.zeros(n)
     for own, y, use in zip(found, label, used, strict=True):
