@@ -70,7 +70,10 @@ def join_sources(sources: Mapping[str, DataFrame], cfg: C.Settings, rows_per_spl
             on = on & same_text(left["num_convenio"], right[text_of])
         return left.join(right, on, "left").drop(right["_key"]).drop(right["_salt"])
 
-    events = aggregates.first_events(sources["licitacao"])
+    # One row a canonical key: the events of each written form of it, of which there are a few.
+    event = {"dt_pub_licitacao": "dte_publicacao_licitacao", "dt_homolog_licitacao": "dte_homologacao_licitacao"}
+    events = aggregates.first_events(sources["licitacao"]).withColumn("_key", canonical_key(F.col("num_convenio")))
+    events = events.groupBy("_key").agg(F.collect_list(F.struct(*[F.col(s).alias(n) for n, s in event.items()])).alias("_events"))
     docs = {n: c for n, c in C.DOC_SOURCE_COLUMNS.items()}
     nine = {n: c for n, c in docs.items() if n != "doc_trabalho_social"}
     out = attach(out, side(sources["pbi"], "instrumento", "pbi", {
@@ -80,9 +83,11 @@ def join_sources(sources: Mapping[str, DataFrame], cfg: C.Settings, rows_per_spl
     out = attach(out, side(sources["tdb"], "cod_convenio_siafi", "tdb", {
         "dt_lae": "dte_primeira_data_lae", "dt_vrpl": "dte_vrpl", "dt_aio": "dte_aio",
     }), "_tdb")
-    # Publication and homologation are matched on their own, as two sources would be.
-    out = attach(out, side(events, "num_convenio", "pl", {"dt_pub_licitacao": "dte_publicacao_licitacao"}))
-    out = attach(out, side(events, "num_convenio", "hl", {"dt_homolog_licitacao": "dte_homologacao_licitacao"}))
+    # Joined once; publication and homologation are then unfolded on their own, as two sources would match.
+    out = attach(out, skew.spread_right(events, "_key", hot, "_salt"))
+    for name in event:
+        out = out.withColumn(name, F.explode_outer(F.col("_events").getField(name)))
+    out = out.drop("_events")
     out = attach(out, side(sources["tcon"], "num_convenio", "tcon", {"dt_retirada_suspensiva": "dte_retirada_suspensiva"}))
     out = attach(out, side(sources["s29"], "instrumento", "s29", {
         "perspectiva_de_retirada_da_suspensiva": "pespectiva_de_retirada_da_suspensiva",

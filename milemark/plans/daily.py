@@ -88,7 +88,6 @@ def run_legacy(sheet: DataFrame, store: SnapshotStore, paths: DailyPaths, today:
     rows = legacy.extract(sheet)
     latest = rows.agg(F.max(F.nullif(F.col("dt_atualizacao"), F.lit("")))).first()[0]
     day = latest or today
-    joins.check_keys(rows, C.LEGACY_DIFF.key_candidates, f"snapshot {day}")
     store.write(rows, day)
     files.write_quoted_csv(store.at(day), paths.base)
     history_rows, headers = store.history()

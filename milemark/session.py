@@ -19,8 +19,19 @@ SETTINGS = {
 }
 
 
-def builder(app: str) -> SparkSession.Builder:
+# What an exchange of the whole input would bring to one task.
+PARTITION_BYTES = 256 << 20
+
+
+def builder(app: str, input_bytes: int | None = None) -> SparkSession.Builder:
+    """``input_bytes``, the size of what a run reads, sets with how many partitions an exchange begins: adaptive
+    execution merges small ones but never makes more."""
     out = SparkSession.builder.appName(app)
+    if input_bytes is not None:
+        partitions = str(max(200, -(-input_bytes // PARTITION_BYTES)))
+        out = out.config("spark.sql.shuffle.partitions", partitions)
+        out = out.config("spark.sql.adaptive.coalescePartitions.initialPartitionNum", partitions)
+        out = out.config("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(PARTITION_BYTES))
     for key, value in SETTINGS.items():
         out = out.config(key, value)
     return out

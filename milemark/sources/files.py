@@ -32,19 +32,25 @@ def detect_encoding(spark: SparkSession, path: str) -> str:
     return "ISO-8859-1" if broken.take(1) else "UTF-8"
 
 
+def has_quoted_breaks(spark: SparkSession, path: str | Sequence[str]) -> bool:
+    """Whether some line holds an odd number of quotes: so does the first line of a value that goes on in the next."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return bool(spark.read.text(path).where(quotes % 2 == 1).limit(1).take(1))
+
+
 def read_csv_any(
     spark: SparkSession,
     path: str,
     sep: str | None = None,
     encoding: str | None = None,
-    multi_line: bool = True,
+    multi_line: bool | None = None,
 ) -> DataFrame:
-    """CSV with every column as text, separator and encoding found when not given.
+    """CSV with every column as text; separator, encoding and quoted line breaks are found when not given.
 
-    Quoted line breaks keep a file in one task; pass ``multi_line=False`` for large files
-    known to have none, so that they are split.
+    Only files with a line break inside quotes are read in one task each; all others are split.
     """
     encoding = encoding or detect_encoding(spark, path)
+    multi_line = has_quoted_breaks(spark, path) if multi_line is None else multi_line
     sep = sep or sniff_separator(_first_line(spark, path))
     return (
         spark.read.option("header", True).option("inferSchema", False).option("quote", '"').option("escape", '"')
@@ -66,8 +72,12 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
     raise ValueError(f"unsupported file type: {path}")
 
 
-def read_snapshot(spark: SparkSession, path: str | Sequence[str], multi_line: bool = True) -> DataFrame:
-    """Quoted ``;`` CSV with a header; every value is text and a missing one is ''."""
+def read_snapshot(spark: SparkSession, path: str | Sequence[str], multi_line: bool | None = None) -> DataFrame:
+    """Quoted ``;`` CSV with a header; every value is text and a missing one is ''.
+
+    Quoted line breaks are looked for when ``multi_line`` isn't given, as in ``read_csv_any``.
+    """
+    multi_line = has_quoted_breaks(spark, path) if multi_line is None else multi_line
     df = (
         spark.read.option("header", True).option("quote", '"').option("escape", '"')
         .csv(path, sep=";", encoding="UTF-8", multiLine=multi_line)

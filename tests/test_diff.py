@@ -189,3 +189,33 @@ def test_archived_reports_equal_the_recount(spark):
         head = D.headline(detail).first()
         counts = [r.mudancas for r in status_counters(detail).orderBy("pos").collect()]
         assert [*head, *counts] == numbers, path
+
+
+def test_published_row_order(spark):
+    shuffled = [(3, "2", 0), (1, "b", 0), (3, "10", 2), (2, "a", 0), (3, "10", 1), (1, "B", 0)]
+    detail = spark.createDataFrame(shuffled, "secao int, num_convenio string, pos int").repartition(4)
+    got = [tuple(r) for r in D.order_detail(detail).collect()]
+    assert got == [(1, "B", 0), (1, "b", 0), (2, "a", 0), (3, "10", 1), (3, "10", 2), (3, "2", 0)]
+
+
+def test_history_row_order(spark):
+    names = FIELDS[:2] + ["fase_atual_calc"]
+    days = {"2026-01-01": [("1", "a", "x"), ("2", "b", "x")], "2026-01-02": [("2", "b", "y"), ("3", "c", "x")], "2026-01-03": [("3", "c", "z")]}
+    rows, headers = merge({d: frame(spark, r, names) for d, r in days.items()})
+    log = D.order_history(D.diff_history(rows, headers)).collect()
+    keys = [(r["data"], r["secao"]) for r in log]
+    assert [d for d, _ in keys] == sorted((d for d, _ in keys), reverse=keys[0][0] > keys[-1][0])
+    for day in set(d for d, _ in keys):
+        own = [s for d, s in keys if d == day]
+        assert own == sorted(own)
+
+
+@pytest.mark.parametrize("bad", [[("1", "a"), (None, None)], [("1", "a"), (" 1", "b")]])
+def test_pair_refuses_missing_and_repeated_keys(spark, bad):
+    names = FIELDS[:2]
+    good, wrong = frame(spark, [("1", "a")], names), frame(spark, bad, names)
+    for prev, cur in ((good, wrong), (wrong, good)):
+        with pytest.raises(PySparkException, match="snapshot"):
+            D.diff_detail(prev, cur).collect()
+        with pytest.raises(PySparkException, match="snapshot"):
+            D.diff_summary(prev, cur, {"atual": "d2", "anterior": "d1", "primeiro": "d1"}).collect()

@@ -40,11 +40,11 @@ def test_contracts_move_once_through_the_source_chain(spark, tmp_path):
         text = plan(df)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert text.count("SortMergeJoin") == 8
+    assert text.count("SortMergeJoin") == 7
     # One exchange for the contracts and one per joined side, none between the joins; the
     # tender events are first brought to one row per number.
-    assert text.count("Exchange hashpartitioning(_key") == 9
-    assert text.count("Exchange hashpartitioning(num_convenio") == 2
+    assert text.count("Exchange hashpartitioning(_key") == 8
+    assert text.count("Exchange hashpartitioning(num_convenio") == 1
     # Only the used columns are read, and the filters reach the scan.
     assert "PushedFilters: [IsNotNull(txt_fonte)" in text or "EqualTo(txt_fonte,OGU)" in text
 
@@ -98,7 +98,7 @@ def test_daily_contract_runs(spark, tmp_path):
     log = files.read_snapshot(spark, paths.changes)
     assert log.count() == detail.count()
     sources = only_json(tmp_path / "out" / "freshness")["sources"]
-    assert [s["key"] for s in sources] == ["bdgestores", "dmp", "power_bi_caixa", "tci_mcid", "transferegov"]
+    assert [s["key"] for s in sources] == ["tci_mcid", "transferegov", "bdgestores", "power_bi_caixa", "dmp"]
     assert next(s for s in sources if s["key"] == "dmp")["updated_at"] == "1998-12-01"
 
     rows = panel.panel_rows(store.at("1998-12-01"), later)

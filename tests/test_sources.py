@@ -139,7 +139,7 @@ def test_summary_json_and_report(spark, tmp_path):
         "# Diferença da base - 2026-01-02", "", "- Snapshot atual: `2026-01-02`", "- Snapshot anterior: `2026-01-01`",
         "- Total anterior: **2**", "- Total atual: **2**", "", "## Resumo", "", "- Entraram na base: **1**",
     ]
-    assert "- `fase_atual_calc`: **1**" in lines and lines[-5:-2] == ["", "## Leitura recomendada", ""]
+    assert "- `fase_atual_calc`: **1**" in lines and lines[-6:-3] == ["", "## Leitura recomendada", ""]
     files.write_summary_json(D.diff_summary(None, cur, {"atual": "d", "primeiro": "d"}), str(tmp_path / "f"))
     first = json.loads(only_file(tmp_path / "f", ".json").read_text(encoding="utf-8"))
     assert first["snapshot_anterior"] is None and first["resumo"] is None and first["total_atual"] == 2
@@ -151,3 +151,12 @@ def test_choose_and_rename(spark):
     sheet = spark.createDataFrame([("x", "01/02/26 ")], "UF string, `DATA DA ASSINATURA` string")
     out = naming.rename(sheet, C.LEGACY_COLUMNS)
     assert out.columns == list(C.LEGACY_COLUMNS.values()) and out.first().uf == "x" and out.first().objeto == ""
+
+
+def test_quoted_breaks_are_found(spark, tmp_path):
+    one, two = tmp_path / "one.csv", tmp_path / "two.csv"
+    one.write_text('\n' * 12 + 'a;b\n"x ""y""";2\n', encoding="utf-8")
+    two.write_text('a;b\n"x\ny";2\n', encoding="utf-8")
+    assert not files.has_quoted_breaks(spark, str(one)) and files.has_quoted_breaks(spark, str(two))
+    assert [tuple(r) for r in files.read_csv_any(spark, str(one)).collect()] == [('x "y"', "2")]
+    assert [tuple(r) for r in files.read_csv_any(spark, str(two)).collect()] == [("x\ny", "2")]
