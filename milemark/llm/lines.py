@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,15 +25,17 @@ def hashed_lines(text: str | None) -> list[tuple[int, int, int]]:
     return out
 
 
-def windows(lines: list[tuple[int, int, int]], least: int = MIN_WORDS) -> list[dict]:
+def windows(lines: list[tuple[int, int, int]], least: int = MIN_WORDS) -> Iterator[tuple[int, int, int, int, list[int], list[int]]]:
     """The windows of a text: from each line on as few lines as have ``least`` words together.
 
     A run of so many words holds the whole window of its first line, so two copies of it have that window and its
     minimum in common whatever surrounds them: the winnowing guarantee, counted in words. ``after`` and ``before`` are
     hashes of the lines around it, nearest first, as long as they have fewer words than a window: a longer repeated
     neighbourhood has windows of its own.
+
+    Gives first line, lines, minimum, hash of the content, ``before`` and ``after``, in this order.
     """
-    out, end, words = [], 0, 0
+    end, words = 0, 0
     hashes = [h for _, h, _ in lines]
     for at, (_, _, own) in enumerate(lines):
         while end < len(lines) and words < least:
@@ -40,13 +44,10 @@ def windows(lines: list[tuple[int, int, int]], least: int = MIN_WORDS) -> list[d
         if words < least:
             break
         inside = hashes[at:end]
-        out.append({
-            "at": at, "size": end - at, "minimum": min(inside),
-            "content": xxhash.xxh64_intdigest(b"".join(h.to_bytes(8, "little", signed=True) for h in inside)) - (1 << 63),
-            "before": _near(lines, range(at - 1, -1, -1), least), "after": _near(lines, range(end, len(lines)), least),
-        })
+        content = xxhash.xxh64_intdigest(b"".join(h.to_bytes(8, "little", signed=True) for h in inside)) - (1 << 63)
+        before, after = _near(lines, range(at - 1, -1, -1), least), _near(lines, range(end, len(lines)), least)
+        yield at, end - at, min(inside), content, before, after
         words -= own
-    return out
 
 
 def _near(lines: list[tuple[int, int, int]], order: range, least: int) -> list[int]:
@@ -59,8 +60,11 @@ def _near(lines: list[tuple[int, int, int]], order: range, least: int) -> list[i
     return out
 
 
-_WINDOW = [("at", pa.int32(), "int"), ("size", pa.int32(), "int"), ("minimum", pa.int64(), "bigint"), ("content", pa.int64(), "bigint"),
-           ("before", pa.list_(pa.int64()), "array<bigint>"), ("after", pa.list_(pa.int64()), "array<bigint>")]
+_WINDOW = {"at": pa.int32(), "size": pa.int32(), "minimum": pa.int64(), "content": pa.int64(),
+           "before": pa.list_(pa.int64()), "after": pa.list_(pa.int64())}
+_WINDOW_DDL = "at int, size int, minimum bigint, content bigint, before array<bigint>, after array<bigint>"
+# Windows that go out together: a text of very many short lines is not held as a whole.
+ROWS_AT_ONCE = 4096
 
 
 def _agreeing(own: str, other: str) -> Column:
@@ -78,15 +82,24 @@ def repeats(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     over the lines around. Texts are in the order of ``doc_id`` (null first), then of their hash.
     """
 
-    def work(texts: list[str | None]) -> list[tuple[list[dict]]]:
-        return [(windows(hashed_lines(t), least),) for t in texts]
-
-    kind = pa.list_(pa.struct([(name, t) for name, t, _ in _WINDOW]))
-    ddl = f"array<struct<{','.join(f'{name}:{d}' for name, _, d in _WINDOW)}>>"
-    found = common.map_column(
-        docs.select("doc_id", F.xxhash64("text").alias("_h"), "text"), "text", {"w": (ddl, kind)}, lambda: work
-    )
-    found = common.stored(found.select("doc_id", "_h", F.inline("w")))
+    def flat(rows: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
+        types = {"doc_id": id_type, "_h": pa.int64(), **_WINDOW}
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types.values())], names=list(types))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, kind = [], batch.column("doc_id").type
+            for doc_id, h, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "_h", "text")), strict=True):
+                for window in windows(hashed_lines(text), least):
+                    rows.append((doc_id, h, *window))
+                    if len(rows) >= ROWS_AT_ONCE:
+                        yield flat(rows, kind)
+                        rows = []
+            yield flat(rows, kind)
+
+    asked = docs.select("doc_id", F.xxhash64("text").alias("_h"), "text")
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    found = common.stored(asked.mapInArrow(work, f"doc_id {id_type}, _h bigint, {_WINDOW_DDL}"))
     key, place = ["minimum", "content"], F.struct("doc_id", "_h", "at")
     first = found.groupBy(key).agg(F.min(place).alias("f"), F.count("*").alias("n")).where("n > 1")
     first = common.stored(first.drop("n"))
