@@ -15,10 +15,12 @@ from milemark.llm import common
 
 THRESHOLD = 0.95
 # Centres are fitted on at most this many vectors; every vector is assigned, compared and counted.
-SAMPLE = 20_000
+SAMPLE, SAMPLE_BYTES = 20_000, 64 << 20
 CELL_ROWS = 4096
 MAX_CELLS = 1024
 PROBE_BLOCK = 4 * CELL_ROWS
+# Blocks of long vectors have fewer rows.
+BLOCK_BYTES = 32 << 20
 
 
 def unit(vector) -> np.ndarray | None:
@@ -66,7 +68,8 @@ def _read(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 def _fit(nodes: DataFrame, counted: dict[int, int]) -> dict[int, np.ndarray]:
     """Centres by dimension."""
-    sample = nodes.orderBy("node").limit(SAMPLE).select("vec").collect()
+    rows = min(SAMPLE, max(1, SAMPLE_BYTES // (8 * max(counted, default=1))))
+    sample = nodes.orderBy("node").limit(rows).select("vec").collect()
     by: dict[int, list[np.ndarray]] = {}
     for row in sample:
         by.setdefault(len(row["vec"]) // 8, []).append(np.frombuffer(row["vec"], dtype="<f8"))
@@ -113,9 +116,10 @@ def _meetings(cells: DataFrame) -> DataFrame:
     """Deals members and visitors of a cell into blocks and repeats them for each pair of blocks that must be compared:
     members against members, visitors against members. No group holds more than two blocks."""
     place = ["dim", "cell"]
+    rows = lambda most: F.greatest(F.lit(1), F.least(F.lit(most), F.floor(F.lit(BLOCK_BYTES) / (8 * F.col("dim")))))
     counts = cells.groupBy(place).agg(
-        F.ceil(F.count_if(~F.col("probe")) / CELL_ROWS).cast("int").alias("members"),
-        F.ceil(F.count_if(F.col("probe")) / PROBE_BLOCK).cast("int").alias("visitors"),
+        F.ceil(F.count_if(~F.col("probe")) / rows(CELL_ROWS)).cast("int").alias("members"),
+        F.ceil(F.count_if(F.col("probe")) / rows(PROBE_BLOCK)).cast("int").alias("visitors"),
     )
     upto = lambda n, kind: F.transform(
         F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>")),
