@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # A word is a run of characters other than space and the ASCII controls 9 to 13.
@@ -46,6 +46,21 @@ def word_count(text: str | Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def sample_by_group(df: DataFrame, group: str, key: str, n: int) -> DataFrame:
+    """The ``n`` rows of each group that come first by their hash ``key``, the same on every run.
+
+    Groups are counted first, and only rows whose hash is small enough to be among a few times ``n`` go on: what meets
+    in the task that ranks a group depends on ``n`` and not on the size of the table.
+    """
+    uniform = F.pmod(F.col(key), F.lit(1 << 31)) / float(1 << 31)
+    counts = stored(df.groupBy(group).agg(F.count("*").alias("_of")))
+    # Groups are classes or languages; only a checked number of them is broadcast.
+    counts = F.broadcast(counts) if counts.count() <= 10_000 else counts
+    near = df.join(counts, group).where(uniform * F.col("_of") < 4 * n + 64)
+    order = Window.partitionBy(group).orderBy(uniform, key)
+    return near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).drop("_n", "_of")
+
+
 def ascii_words(text: str | None) -> list[bytes]:
     """The words of a text as UTF-8, A-Z in lower case."""
     return [] if text is None else text.encode("utf-8", "surrogatepass").lower().split()

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from milemark.llm import common
@@ -47,11 +47,9 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
         F.col(lang_col).cast("string").alias("lang"), F.substring(text_col, 1, SAMPLE_CHARS).alias("text"),
         F.xxhash64(text_col).alias("h"),
     )
-    # The limit within a language is taken in every task before anything is exchanged.
-    order = Window.partitionBy("lang").orderBy("h", "text")
-    picked = some.withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE_DOCS)
+    picked = common.sample_by_group(some, "lang", "h", SAMPLE_DOCS)
     texts: dict[str, list[str]] = {}
-    for row in picked.select("lang", "text").orderBy("lang", "n").collect():
+    for row in picked.orderBy("lang", "h", "text").collect():
         if row["text"] not in texts.setdefault(row["lang"], []):
             texts[row["lang"]].append(row["text"])
     ranked = sorted(texts, key=lambda lang: (-len(texts[lang]), lang))

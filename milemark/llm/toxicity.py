@@ -8,9 +8,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from milemark.llm import common
 from milemark.llm.langid import fold
 
 # The network is trained on at most this many labelled documents of each class and this many characters of each.
@@ -244,8 +245,8 @@ def train(texts: list[str], labels: list[int], seed: int = 42) -> Model:
     ids = [np.array([row.setdefault(w, len(row)) for w in words_of(t)], dtype=np.int32) for t in texts]
     rows_of = [np.unique(own) for own in ids]
     seen = np.bincount(np.concatenate([*rows_of, np.empty(0, np.int32)]), minlength=len(row))
-    common = sorted((-n, w) for w, n in zip(row, seen.tolist(), strict=True) if n > 2)[: VOCABULARY - 1]
-    vocabulary = {w: k + 1 for k, (_, w) in enumerate(common)}
+    frequent = sorted((-n, w) for w, n in zip(row, seen.tolist(), strict=True) if n > 2)[: VOCABULARY - 1]
+    vocabulary = {w: k + 1 for k, (_, w) in enumerate(frequent)}
     params = _initial(len(vocabulary) + 1, rng)
     if not len(y) or y.min() == y.max():
         return Model(params, vocabulary, 1e3 if not len(y) or y.max() < 1 else -1e3)
@@ -329,9 +330,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     said = said.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = docs.where("text is not null").select("doc_id", "text", F.xxhash64("doc_id", "text").alias("h"))
     # Ids first: texts are read for the sample only.
-    order = Window.partitionBy("toxic").orderBy("h")
-    chosen = known.drop("text").join(said, "doc_id").withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE_DOCS)
-    chosen = F.broadcast(chosen.select("doc_id", "h", "toxic"))  # at most 2 SAMPLE_DOCS rows
+    chosen = common.sample_by_group(common.stored(known.drop("text").join(said, "doc_id")), "toxic", "h", SAMPLE_DOCS)
+    chosen = F.broadcast(chosen.select("doc_id", "h", "toxic"))  # at most SAMPLE_DOCS rows of each class
     picked = known.join(chosen, ["doc_id", "h"]).withColumn("text", F.substring("text", 1, SAMPLE_CHARS))
     rows = picked.orderBy("toxic", "h").collect()
     return train([r["text"] for r in rows], [int(r["toxic"] > 0) for r in rows])
