@@ -10,7 +10,7 @@ import xxhash
 
 import corpus_pipeline
 from __spark_entry__ import oracle_sql, queries
-from milemark.llm import common, embeddings, langid, lines, packing, quality, simhash, tokens, toxicity
+from milemark.llm import common, embeddings, lines, packing, quality, simhash, tokens, toxicity
 from tools.check import compare, connect
 
 SF = "/root/testdata/sf0.001"
