@@ -32,10 +32,6 @@ def blank_to_null(c: Column) -> Column:
     return F.nullif(norm(c), F.lit(""))
 
 
-def is_blank(c: Column) -> Column:
-    return norm(c) == ""
-
-
 def squish(c: Column) -> Column:
     """Runs of whitespace become one blank, ends are stripped, null becomes ''."""
     return F.trim(F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"(?U)[\s\x{FEFF}]+", " "))

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from milemark import config as C
-from milemark.functions.calendar import month_label
 from milemark.functions.text import label_or, squish
 from milemark.operators import skew
 from milemark.plans import selection as S
@@ -222,10 +221,6 @@ def domain_order(df: DataFrame, column: str, order: Sequence[str]) -> DataFrame:
     return df.withColumn("pos", F.coalesce(F.nullif(place, F.lit(0)), F.lit(999)))
 
 
-def month_labels(df: DataFrame, column: str) -> Column:
-    return month_label(df[column])
-
-
 def municipality_counts(df: DataFrame, sel: C.Selection) -> DataFrame:
     """Contracts per municipality of the chosen region and state."""
     scope = df.where(S.geo_match(C.Selection(regiao=sel.regiao, uf=sel.uf)))
