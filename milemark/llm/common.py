@@ -111,13 +111,15 @@ def spanning(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return root
 
 
-def block_pairs(rows: DataFrame, bucket: list[str], item: str, size: int = BLOCK) -> DataFrame:
+def block_pairs(rows: DataFrame, bucket: list[str], item: str, size: int = BLOCK, weight: Column | None = None) -> DataFrame:
     """Deals the rows of every bucket into blocks of about ``size`` and repeats them for each pair of blocks.
 
+    With ``weight`` a row counts as so many.
+
     Adds ``block`` (the row's own), ``lo`` and ``hi``: grouped by bucket, ``lo`` and ``hi``, any two rows of a
     bucket meet in one bounded group, however large the bucket is. Two rows of one block meet where ``lo = hi``.
     """
-    counts = rows.groupBy(bucket).agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
+    counts = rows.groupBy(bucket).agg(F.ceil((F.count("*") if weight is None else F.sum(weight)) / size).cast("int").alias("blocks"))
     dealt = rows.join(counts, bucket).withColumn(
         "block", F.pmod(F.xxhash64(item, F.lit("block")), F.col("blocks")).cast("int")
     )
