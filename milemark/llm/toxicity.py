@@ -18,7 +18,8 @@ from milemark.llm.langid import fold
 SAMPLE_DOCS, SAMPLE_CHARS = 1200, 50_000
 # Words of a window and from one window's start to the next: every word is in a window, windows overlap.
 WINDOW, STRIDE = 32, 24
-WORD_BYTES = 32
+# Bytes of a word's piece, and characters that neighbouring pieces share.
+WORD_BYTES, OVERLAP = 32, 3
 VOCABULARY = 1 << 14
 GRAMS = 1 << 14
 WORD_DIM = CHAR_DIM = 8
@@ -34,14 +35,25 @@ Params = dict[str, np.ndarray]
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower-case words; a very long one is cut into pieces, so that all of it is seen."""
+    """Lower-case words; a very long one is cut into pieces of at most ``WORD_BYTES``, so that all of it is seen."""
     found = _WORD.findall(text.lower()) if text else []
-    if found and max(map(len, found)) > WORD_BYTES // 2:
-        step = WORD_BYTES // 2
-        found = [w[k : k + step] for w in found for k in range(0, len(w), step)]
+    if found and max(map(len, found)) > WORD_BYTES // 4:
+        found = [p for w in found for p in (_pieces(w) if len(w) > WORD_BYTES // 4 else (w,))]
     return found
 
 
+def _pieces(word: str) -> Iterator[str]:
+    """Whole characters that fit ``WORD_BYTES``; each piece repeats the last ``OVERLAP`` characters of the one before."""
+    at = 0
+    while True:
+        piece = word[at : at + WORD_BYTES].encode("utf-8", "surrogatepass")[:WORD_BYTES].decode("utf-8", "ignore")
+        yield piece
+        at += len(piece)
+        if at >= len(word):
+            return
+        at -= OVERLAP
+
+
 def starts(n: int) -> range:
     """First words of the windows of ``n`` words; the last window reaches the end."""
     return range(0, max(n - (WINDOW - STRIDE), 1), STRIDE)

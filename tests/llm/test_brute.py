@@ -315,6 +315,22 @@ def test_windows_cover_all_words():
         assert seen >= set(range(n))
 
 
+@pytest.mark.parametrize("first", ["\u4e00", "\u3042", "\u0e01", "\U00020000", "a", "\u00e0"])
+def test_every_character_reaches_the_network(first):
+    """Unspaced text of one to four bytes a character: a change anywhere changes some n-gram, and no word is cut short."""
+    text = "".join(chr(ord(first) + k % 23) for k in range(100))
+    if first == "\u0e01":
+        assert len(text.encode()) == 300
+    words = toxicity.words_of(text)
+    assert all(len(w.encode()) <= toxicity.WORD_BYTES for w in words)
+    seen = Counter(toxicity.grams(words).ravel().tolist())
+    for k in range(len(text)):
+        changed = text[:k] + chr(ord(text[k]) + 1) + text[k + 1 :]
+        assert Counter(toxicity.grams(toxicity.words_of(changed)).ravel().tolist()) != seen
+    for k in range(len(text) - toxicity.OVERLAP):  # a term across a border is whole in some piece
+        assert any(text[k : k + toxicity.OVERLAP + 1] in w for w in words)
+
+
 def test_packing(spark, docs):
     from tokenizers import Tokenizer
     import public_tokenizers
