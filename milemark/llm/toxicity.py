@@ -336,16 +336,17 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Trains on a bounded sample of each class, chosen by hash: the same rows on every run.
 
     Labels that are null, documents without text and documents without a label teach nothing. A document with several
-    labels is toxic if any says so.
+    labels is toxic if any says so. Rows alike in ``doc_id`` and text count once.
     """
     said = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     said = said.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = docs.where("text is not null").select("doc_id", "text", F.xxhash64("doc_id", "text").alias("h"))
     # Ids first: texts are read for the sample only.
-    chosen = common.sample_by_group(common.stored(known.drop("text").join(said, "doc_id")), "toxic", "h", SAMPLE_DOCS)
+    asked = common.stored(known.drop("text").join(said, "doc_id").distinct())
+    chosen = common.sample_by_group(asked, "toxic", "h", SAMPLE_DOCS)
     chosen = F.broadcast(chosen.select("doc_id", "h", "toxic"))  # at most SAMPLE_DOCS rows of each class
     picked = known.join(chosen, ["doc_id", "h"]).withColumn("text", F.substring("text", 1, SAMPLE_CHARS))
-    rows = picked.orderBy("toxic", "h").collect()
+    rows = picked.dropDuplicates(["doc_id", "h"]).orderBy("toxic", "h").collect()
     return train([r["text"] for r in rows], [int(r["toxic"] > 0) for r in rows])
 
 

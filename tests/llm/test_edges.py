@@ -139,6 +139,19 @@ def test_toxicity(docs, labels):
     assert all(r["score"] <= 0.5 for r in toxicity.score(docs, none).collect())
 
 
+def test_toxicity_sample_of_repeated_rows(spark, monkeypatch):
+    """Repeated rows count once: they neither exceed the sample nor take the places of other documents."""
+    monkeypatch.setattr(toxicity, "SAMPLE_DOCS", 12)
+    taught = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels: taught.append((texts, labels)))
+    rows = [(k, f"text {k}") for k in range(20)] + [(k, f"text {k}") for k in (1, 2, 12, 13) for _ in range(300)]
+    said = spark.createDataFrame([(k, int(k < 10)) for k in range(20)], "doc_id long, toxic int")
+    toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), said)
+    (texts, labels), = taught
+    assert sorted(texts) == sorted(f"text {k}" for k in range(20))
+    assert all(y == (int(t.split()[1]) < 10) for t, y in zip(texts, labels, strict=True))
+
+
 def test_urls(spark):
     pages = spark.createDataFrame(
         [(1, None), (2, ""), (3, "no scheme"), (4, "http://A.Example.ORG/es/x?q#f"), (5, "http://example.org"), (6, "x://evil.org/y://z"),
