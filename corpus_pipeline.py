@@ -27,7 +27,7 @@ def repeated_lines_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: shingles of five words, similarity of about 0.8 or more."""
+    """One document of each group of near copies stays: shingles of five words, similarity of 0.8 or more."""
     return simhash.keep_one(docs)
 
 
@@ -48,7 +48,8 @@ STAGES = [
     ("mixing", mixed),
     ("packing", packed),
 ]
-# A network, fingerprints and a tokenizer have no SQL form; tests/llm holds the stages against brute force.
+# A network, fingerprints and a tokenizer have no SQL form; tests/llm holds lines, SimHash and packing against
+# brute force, not the toxicity and mixing stages as they run here.
 ORACLE_SQL = None
 
 
