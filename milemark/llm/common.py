@@ -143,12 +143,14 @@ def over_batches(work: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[Iter
 
 
 def map_column(
-    df: DataFrame, column: str, fields: dict[str, tuple[str, pa.DataType]], work: Callable[[], Callable[[list], list[tuple]]]
+    df: DataFrame, column: str, fields: dict[str, tuple[str, pa.DataType]], work: Callable[[], Callable[[list], list[tuple]]],
+    rows: int | None = None,
 ) -> DataFrame:
     """``df`` without ``column`` and with ``fields`` worked out from it, row by row.
 
     ``work()`` is called once in each task and gives a function from the column's values to tuples of the fields. The
-    other columns pass through as they are, so that long ids stay exact beside nulls.
+    other columns pass through as they are, so that long ids stay exact beside nulls. ``rows`` bounds how many results
+    are held at once.
     """
     kept = [c for c in df.columns if c != column]
     types = [t for _, t in fields.values()]
@@ -159,7 +161,7 @@ def map_column(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = work()
-        for batch in batches:
+        for batch in (b.slice(at, rows or b.num_rows) for b in batches for at in range(0, b.num_rows, rows or b.num_rows or 1)):
             found = own(batch.column(asked).to_pylist())
             new = [pa.array([r[k] for r in found], t) for k, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays(

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from milemark.llm import chat, embeddings, langid, lines, mixing, packing, quality, simhash, toxicity, urls
+from milemark.llm import alignment, chat, embeddings, fingerprints, langid, lines, mixing, packing, quality, simhash, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": toxicity.op8,
         "op9_urls": urls.op9,
         "op10_packing": packing.op10,
+        "op11_fingerprints": fingerprints.op11,
+        "op12_alignment": alignment.op12,
     }
 
 
@@ -29,4 +31,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_embeddings": embeddings.OP1_SQL,
         "op2_mixing": mixing.OP2_SQL,
         "op9_urls": urls.sql(),
+        "op11_fingerprints": fingerprints.OP11_SQL,
     }
