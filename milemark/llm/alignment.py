@@ -26,32 +26,32 @@ B_IDS = 1 << 20
 # Id pairs that are broadcast at most; links of rarer pairs are joined by an exchange.
 FREQUENT = 200_000
 ROWS_AT_ONCE = 256
+FIRST_PROBE = 4
 
 
 def run_length(a: list[int], b: list[int], i: int, j: int) -> int:
     """How many ends from ``a[i]`` and ``b[j]`` on are equal one by one: probes of doubling length, then the last one
-    halved until the first difference is found."""
+    halved, and its rest walked, until the first difference is found."""
     most = min(len(a) - i, len(b) - j)
-    at, step = 0, 1
+    at, step = 0, FIRST_PROBE
     while at < most:
-        step = min(step, most - at)
-        if a[i + at : i + at + step] == b[j + at : j + at + step]:
+        x, y = i + at, j + at
+        if a[x : x + step] == b[y : y + step]:
             at += step
             step *= 2
             continue
-        while step > 1:
-            half = step // 2
-            if a[i + at : i + at + half] == b[j + at : j + at + half]:
-                at += half
-                step -= half
-            else:
-                step = half
-        break
-    return at
+        while step > FIRST_PROBE:
+            step //= 2
+            if a[x : x + step] == b[y : y + step]:
+                x, y = x + step, y + step
+        while x < len(a) and y < len(b) and a[x] == b[y]:
+            x, y = x + 1, y + 1
+        return x - i
+    return most
 
 
 def align(a: list[int], b: list[int]) -> tuple[list[tuple[int, int, int, int]], list[int], list[int]]:
-    """Runs and links of two lists of rising token ends that have the same last end.
+    """Runs of two lists of rising token ends that have the same last end, and the links of those that are not one-to-one.
 
     A run ``(i, j, n, 0)`` is ``n`` one-to-one groups from tokens ``i`` and ``j`` on; ``(i, j, n, m)`` one group of ``n``
     tokens of A and ``m`` of B. Links are the indexes of all tokens whose ranges overlap.
@@ -59,22 +59,21 @@ def align(a: list[int], b: list[int]) -> tuple[list[tuple[int, int, int, int]],
     runs, left, right = [], [], []
     i = j = 0
     while i < len(a):
-        n = run_length(a, b, i, j)
-        if n:
+        if a[i] == b[j]:
+            n = run_length(a, b, i, j)
             runs.append((i, j, n, 0))
-            left += range(i, i + n)
-            right += range(j, j + n)
             i, j = i + n, j + n
-            if i == len(a):
-                break
-        x, y = i, j
+            continue
+        x, y, end, other = i, j, a[i], b[j]
         left.append(x)
         right.append(y)
-        while a[x] != b[y]:  # each step reaches the next pair that overlaps
-            if a[x] < b[y]:
+        while end != other:  # each step reaches the next pair that overlaps
+            if end < other:
                 x += 1
+                end = a[x]
             else:
                 y += 1
+                other = b[y]
             left.append(x)
             right.append(y)
         runs.append((i, j, x + 1 - i, y + 1 - j))
@@ -98,22 +97,64 @@ class Pair:
             self.a_bytes[k] = bytes(plain[c] for c in piece) if all(c in plain for c in piece) else piece.encode()
         self._b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         pieces = [self._b.id_to_piece(k) for k in range(self._b.get_piece_size())]
+        # No piece spans the start of a word: then a text may be encoded word by word.
+        self._by_word = not any(SPACE in p.lstrip(SPACE) for p in pieces)
+        self._words: dict[str, list[int]] = {}
         self.b_bytes = [
             bytes([int(p[3:5], 16)]) if self._b.is_byte(k) else p.replace(SPACE, " ").encode() for k, p in enumerate(pieces)
         ]
-        self.a_sizes, self.b_sizes = ([len(x) for x in table] for table in (self.a_bytes, self.b_bytes))
-        self.a_names, self.b_names = ([str(k) for k in range(len(table))] for table in (self.a_bytes, self.b_bytes))
+        self.a_sizes, self.b_sizes = (np.array([len(x) for x in table]) for table in (self.a_bytes, self.b_bytes))
+        many = range(max(len(self.a_bytes), len(self.b_bytes)))
+        # An id and what follows it: within a side, between the sides, after a group.
+        self.within, self.between, self.after = ([f"{k}{mark}" for k in many] for mark in ",|;")
+
+    def _b_ids(self, text: str) -> list[int]:
+        """Ids by B, equal to those of the whole text: cut before every space, if none follows another or ends the text."""
+        parts = text.split(" ") if self._by_word else [""]
+        if "" in parts:
+            return self._b.encode(text, num_threads=1)
+        words, out = self._words, []
+        for part in parts:
+            ids = words.get(part)
+            if ids is None:
+                ids = self._b.encode(part, num_threads=1)
+                if len(part) <= 64:
+                    if len(words) >= tokens.CACHE:
+                        words.clear()
+                    words[part] = ids
+            out += ids
+        return out
 
     def encode(self, text: str | None) -> tuple[list[int], list[int]]:
         """Ids of a text by A (of a space and the text) and by B; none where the tokens' bytes do not give it back."""
         if not text:
             return [], []
         a = np.frombuffer(self._a.encode(" " + text), dtype="<u4").tolist()
-        b = self._b.encode(text, num_threads=1)
+        b = self._b_ids(text)
         whole = (" " + text).encode("utf-8", "surrogatepass")
-        same = b"".join([self.a_bytes[k] for k in a]) == whole == b"".join([self.b_bytes[k] for k in b])
+        same = b"".join(map(self.a_bytes.__getitem__, a)) == whole == b"".join(map(self.b_bytes.__getitem__, b))
         return (a, b) if same else ([], [])
 
+    def groups_text(self, runs: list[tuple[int, int, int, int]], a: list[int], b: list[int]) -> str:
+        """``a1,a2|b1;a3|b2,b3``: the ids of each group."""
+        within, between, after = self.within, self.between, self.after
+        out = []
+        for i, j, n, m in runs:
+            if m:
+                out += [within[k] for k in a[i : i + n - 1]]
+                out.append(between[a[i + n - 1]])
+                out += [within[k] for k in b[j : j + m - 1]]
+                out.append(after[b[j + m - 1]])
+            elif n == 1:
+                out.append(between[a[i]])
+                out.append(after[b[j]])
+            else:
+                both = [""] * (2 * n)
+                both[::2] = map(between.__getitem__, a[i : i + n])
+                both[1::2] = map(after.__getitem__, b[j : j + n])
+                out += both
+        return "".join(out)[:-1]
+
 
 def byte_letters() -> dict[str, int]:
     """The byte that each letter of a byte-level vocabulary stands for: printable Latin-1 stands for itself, the other
@@ -128,29 +169,22 @@ def pair(a_path: str | None = None, rank_path: str | None = None, b_path: str |
     return Pair(a_path or public_tokenizers.path(A_FILE), rank_path, b_path or public_tokenizers.path(B_FILE))
 
 
-def groups_text(runs: list[tuple[int, int, int, int]], a: list[str], b: list[str]) -> str:
-    """``a1,a2|b1;a3|b2,b3``: the ids of each group."""
-    out = []
-    for i, j, n, m in runs:
-        if m:
-            out.append(f"{','.join(a[i : i + n])}|{','.join(b[j : j + m])}")
-        else:
-            out += map("|".join, zip(a[i : i + n], b[j : j + n], strict=True))
-    return ";".join(out)
-
-
 def _one(text: str | None, two: Pair) -> tuple:
     a, b = two.encode(text)
     if not a:
         return 0, 0, 0, 0, "", np.empty(0, np.int64), np.empty(0, np.int32)
-    a_ends = np.cumsum([two.a_sizes[k] for k in a]).tolist()
-    b_ends = np.cumsum([two.b_sizes[k] for k in b]).tolist()
-    runs, left, right = align(a_ends, b_ends)
-    n_groups = sum(1 if m else n for _, _, n, m in runs)
-    said = groups_text(runs, [two.a_names[k] for k in a], [two.b_names[k] for k in b])
-    codes = np.array(a, dtype=np.int64)[left] * B_IDS + np.array(b, dtype=np.int64)[right]
+    ids, others = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+    runs, left, right = align(np.cumsum(two.a_sizes[ids]).tolist(), np.cumsum(two.b_sizes[others]).tolist())
+    start, other, n, m = np.array(runs).T
+    lone = m == 0
+    n_groups = int(n[lone].sum() + (~lone).sum())
+    # The links of one-to-one runs: each run's tokens, counted on from its start.
+    step = np.arange(n[lone].sum()) - np.repeat(np.cumsum(n[lone]) - n[lone], n[lone])
+    one_to_one = ids[np.repeat(start[lone], n[lone]) + step] * B_IDS + others[np.repeat(other[lone], n[lone]) + step]
+    codes = np.concatenate([one_to_one, ids[left] * B_IDS + others[right]]) if left else one_to_one
     pairs, times = np.unique(codes, return_counts=True)
-    return len(a), len(b), n_groups, len(left), hashlib.sha256(said.encode()).hexdigest(), pairs, times.astype(np.int32)
+    said = hashlib.sha256(two.groups_text(runs, a, b).encode()).hexdigest()
+    return len(a), len(b), n_groups, len(codes), said, pairs, times.astype(np.int32)
 
 
 FIELDS = {

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from milemark.llm import alignment, chat, embeddings, fingerprints, langid, lines, mixing, packing, quality, simhash, toxicity, urls
+from milemark.llm import alignment, chat, embeddings, fingerprints, langid, lines, mixing, packing, quality, repair, simhash, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_packing": packing.op10,
         "op11_fingerprints": fingerprints.op11,
         "op12_alignment": alignment.op12,
+        "op13_repair": repair.op13,
     }
 
 
