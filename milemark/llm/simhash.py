@@ -1,11 +1,7 @@
-"""SimHash near-duplicates: fingerprints of word shingles, joined on blocks of bits, then verified.
-
-For a given similarity of shingle sets (``SIMILAR``) fingerprints only find candidates, which are verified on the shingles.
-"""
+"""SimHash near-duplicates: fingerprints of word shingles, joined on blocks of bits, then verified."""
 
 from __future__ import annotations
 
-import functools
 import itertools
 from dataclasses import dataclass
 
@@ -26,16 +22,13 @@ ROWS_AT_ONCE = 1 << 15
 class Scheme:
     """``width`` words in a shingle, ``lanes`` times 64 bits, links up to ``distance`` differing bits.
 
-    ``keys`` lists the bits that make up each block key. Two fingerprints that agree on any key are compared. ``bands``
-    further keys are each made of ``rows`` minima of differently hashed shingles.
+    ``keys`` lists the bits that make up each block key. Two fingerprints that agree on any key are compared.
     """
 
     width: int
     lanes: int
     distance: int
     keys: tuple[tuple[int, ...], ...]
-    bands: int = 0
-    rows: int = 0
 
 
 def pigeonhole(distance: int, pieces: int, bits: int = 64) -> tuple[tuple[int, ...], ...]:
@@ -45,19 +38,7 @@ def pigeonhole(distance: int, pieces: int, bits: int = 64) -> tuple[tuple[int, .
     return tuple(sum(chosen, ()) for chosen in itertools.combinations(cut, pieces - distance))
 
 
-def sampled(bits: int, keys: int, key_bits: int) -> tuple[tuple[int, ...], ...]:
-    """``keys`` fixed choices of ``key_bits`` bits: for distances too wide for whole pieces to agree always."""
-    rng = np.random.default_rng(SEED)
-    return tuple(tuple(int(x) for x in np.sort(rng.choice(bits, key_bits, replace=False))) for _ in range(keys))
-
-
 EXACT = Scheme(width=3, lanes=1, distance=2, keys=pigeonhole(2, 4))
-# Candidates for five words and a Jaccard similarity of 0.8: a cosine of 0.89 at least, at which 39 of 256 bits differ on
-# average, with a deviation of 6 (48 for texts of a few shingles). Two sets of that similarity share a band with a
-# probability of 0.8**5, and none of 32 with 3 in a million, whatever bits differ.
-SIMILAR = Scheme(width=5, lanes=4, distance=80, keys=sampled(256, 64, 22), bands=32, rows=5)
-# Shared shingles to all shingles of two sets that are near copies, as a fraction.
-LEAST = (4, 5)
 
 
 def _lanes(h: np.ndarray, lanes: int) -> np.ndarray:
@@ -99,40 +80,6 @@ def fingerprint(text: str | None, width: int = 3, lanes: int = 1) -> np.ndarray:
     return _majority(shingles(text, width), lanes)
 
 
-@functools.cache
-def _constants(bands: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(SEED)
-    factor, shift, mix = (rng.integers(0, 1 << 64, n, dtype=np.uint64) for n in (bands * rows, bands * rows, rows))
-    return factor | np.uint64(1), shift, mix | np.uint64(1)
-
-
-def _bands(h: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """A key for each band: ``rows`` minima over the shingles, each under a hash of its own."""
-    factor, shift, mix = _constants(bands, rows)
-    least = np.full(bands * rows, (1 << 64) - 1, dtype=np.uint64)
-    for at in range(0, len(h), 2048):
-        part = h[at : at + 2048, None] * factor + shift
-        least = np.minimum(least, part.min(axis=0))
-    least ^= least >> np.uint64(29)
-    return (least.reshape(bands, rows) * mix).sum(axis=1, dtype=np.uint64).view(np.int64)
-
-
-def _sketches(docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """``docs`` with ``_fp``, ``_bands`` and ``_set`` (a hash that names the set) of the distinct shingles in place of ``text``."""
-    width, lanes, bands, rows = scheme.width, scheme.lanes, scheme.bands, scheme.rows
-
-    def one(text: str | None) -> tuple[bytes, np.ndarray, bytes]:
-        h = np.unique(shingles(text, width))
-        return _majority(h, lanes).astype("<u8").tobytes(), _bands(h, bands, rows), _name(h)
-
-    fields = {"_fp": ("binary", pa.binary()), "_bands": ("array<bigint>", pa.list_(pa.int64())), "_set": ("binary", pa.binary())}
-    return common.map_column(docs, "text", fields, lambda: lambda texts: [one(t) for t in texts])
-
-
-def _name(h: np.ndarray) -> bytes:
-    return xxhash.xxh128_digest(h.astype("<u8").tobytes())
-
-
 def _fingerprints(docs: DataFrame, scheme: Scheme) -> DataFrame:
     """``docs`` with the fingerprint's bytes ``_fp`` in place of ``text``."""
     width, lanes = scheme.width, scheme.lanes
@@ -174,18 +121,15 @@ def _compare(group: pd.DataFrame, distance: int) -> pd.DataFrame:
 def links(fps: DataFrame, scheme: Scheme, size: int = common.BLOCK) -> DataFrame:
     """Links (``a``, ``b``) between distinct fingerprints ``fp`` that join all within the distance.
 
-    Fingerprints are joined on block keys, and on ``bands`` if ``fps`` has that column. The members of a key meet in pairs of bounded blocks, and each pair of
-    blocks gives a spanning forest of its links: as many rows as members at most, whatever the bucket's size.
+    The members of a key meet in pairs of bounded blocks, and each pair of blocks gives a spanning forest of its links:
+    as many rows as members at most, whatever the bucket's size.
     """
     distance, keys = scheme.distance, scheme.keys
 
     def work(batch: pd.DataFrame) -> pd.DataFrame:
         if not len(batch):
             return batch[["fp"]].assign(keys=[])
-        own = _bit_keys(batch["fp"], keys)
-        if "bands" in batch:
-            own = [np.concatenate(both) for both in zip(own, batch["bands"], strict=True)]
-        return pd.DataFrame({"fp": batch["fp"], "keys": own})
+        return pd.DataFrame({"fp": batch["fp"], "keys": _bit_keys(batch["fp"], keys)})
 
     keyed = fps.mapInPandas(common.over_batches(work), "fp binary, keys array<long>").select(
         "fp", F.posexplode("keys").alias("k", "key")
@@ -235,74 +179,31 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("fingerprint", F.lower(F.hex(digits)))
 
 
-def alike(sets: list[np.ndarray], least: tuple[int, int] = LEAST) -> list[tuple[int, int]]:
-    """A spanning forest of the links between sets whose Jaccard similarity is ``least`` or more, compared exactly."""
-    sizes = np.array([len(x) for x in sets], dtype=np.int64)
-    _, ids = np.unique(np.concatenate([*sets, np.empty(0, np.uint64)]), return_inverse=True)
-    holders = np.repeat(np.arange(len(sets)), sizes)[np.argsort(ids, kind="stable")]
-    count = np.bincount(ids) if len(ids) else np.zeros(0, np.int64)
-    start, own = np.cumsum(count) - count, np.split(ids, np.cumsum(sizes)[:-1])
-    out, waiting = [], np.ones(len(sets), dtype=bool)
-    for first in range(len(sets)):
-        if not waiting[first]:
-            continue
-        waiting[first], todo = False, [first]
-        while todo and waiting.any():
-            k = todo.pop()
-            n = count[own[k]]
-            at = np.repeat(start[own[k]] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            shared = np.bincount(holders[at], minlength=len(sets))
-            near = np.flatnonzero(waiting & (shared * least[1] >= (sizes + sizes[k] - shared) * least[0]))
-            waiting[near] = False
-            out += [(int(j), k) for j in near]
-            todo += near.tolist()
-    return out
-
-
-def verified(candidates: DataFrame, size: int = common.BLOCK) -> DataFrame:
-    """Links (``a``, ``b``) between the sets ``_set`` of one ``_root``, by their shingles: all that are ``LEAST`` alike are joined.
-
-    Blocks are bounded in sets and in shingles; any two of a root meet in some pair of blocks.
-    """
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        name = group["_set"].to_numpy()
-        found = alike([np.frombuffer(x, dtype="<u8") for x in group["_shingles"]])
-        return pd.DataFrame({"a": [name[j] for j, _ in found], "b": [name[k] for _, k in found]}, dtype=object)
-
-    weight = 1 + F.floor(F.octet_length("_shingles") / (8 * common.BLOCK))
-    dealt = common.block_pairs(candidates, ["_root"], "_set", size, weight)
-    return dealt.groupBy("_root", "lo", "hi").applyInPandas(compare, "a binary, b binary").distinct()
-
+def keep_one(docs: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
+    """The documents without near copies: of each group of ``near_duplicates`` one row stays, its columns unchanged.
 
-def keep_one(docs: DataFrame, scheme: Scheme = SIMILAR) -> DataFrame:
-    """The documents without near copies: of each group the row with the smallest ``doc_id`` stays, its columns unchanged.
-
-    Groups are joined by pairs whose sets of shingles have a Jaccard similarity of ``LEAST`` or more: fingerprints and
-    bands find groups of candidates, and within each all sets are compared on their shingles.
-    Rows without a ``doc_id`` stay. Of rows that are alike in ``doc_id`` and text one stays.
+    That is the row with the smallest ``doc_id`` (null last), of several with it the one with the smallest XXH64 of all
+    its columns (maps apart), of rows alike in all of them one. Rows without a ``doc_id`` are grouped like others.
     """
-    keyed = docs.withColumn("_h", F.xxhash64("text"))
-    seen = common.stored(_sketches(keyed.select("doc_id", "text", "_h"), scheme))
-    nodes = seen.select(F.col("_fp").alias("fp"), F.col("_bands").alias("bands")).distinct()
-    found = common.components(links(common.stored(nodes), scheme))
-    seen = seen.drop("_bands").join(found, seen["_fp"] == found["node"], "left")
-    seen = common.stored(seen.select("doc_id", "_h", "_set", F.coalesce("component", "_fp").alias("_root")))
-    # Texts are fetched once for each set that has a candidate. An id and a text's hash name a text, null ids as well.
-    some_id = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id")
-    sets = seen.groupBy("_root", "_set").agg(F.min(F.struct(some_id, F.col("_h").alias("_h"))).alias("_of"))
-    sets = common.stored(sets.select("_root", "_set", "_of._id", "_of._h"))
-    asked = sets.join(sets.groupBy("_root").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n"), "_root")
-    texts = keyed.select(some_id, "_h", "text").join(asked.hint("merge"), ["_id", "_h"])
-
-    def named(texts: list[str | None]) -> list[tuple[bytes]]:
-        return [(np.unique(shingles(t, scheme.width)).astype("<u8").tobytes(),) for t in texts]
-
-    texts = common.map_column(texts.select("_root", "_set", "text"), "text", {"_shingles": ("binary", pa.binary())}, lambda: named)
-    links_ = verified(common.stored(texts.dropDuplicates(["_root", "_set"])))
-    found = common.components(common.stored(links_))
-    rooted = seen.join(found, seen["_set"] == found["node"], "left").withColumn("_group", F.coalesce("component", "_set"))
-    best = rooted.where("doc_id is not null").groupBy("_group").agg(F.min(F.struct("doc_id", "_h")).alias("_best"))
-    best = best.select(F.col("_best.doc_id").alias("doc_id"), F.col("_best._h").alias("_h")).distinct()
-    kept = keyed.join(best, ["doc_id", "_h"], "left_semi").dropDuplicates(["doc_id", "_h"])
-    return kept.unionByName(keyed.where("doc_id is null")).select(*common.names(docs))
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # so that no column has a name used here
+    doc_id, text = (plain.columns[docs.columns.index(c)] for c in ("doc_id", "text"))
+    hashed = [f.name for f in plain.schema if "map<" not in f.dataType.simpleString()]
+    keyed = plain.withColumns({"_k": F.coalesce(F.col(doc_id).cast("string"), F.lit("")), "_h": F.xxhash64(*hashed)})
+    asked = keyed.select("_k", "_h", F.col(doc_id).alias("_id"), F.col(text).alias("text"))
+    seen = common.stored(_fingerprints(asked, scheme))
+    first = F.min(F.struct(F.col("_id").isNull().alias("_none"), "_id", "_h", "_k")).alias("_best")
+    nodes = common.stored(seen.groupBy("_fp").agg(first))
+    found = common.components(links(nodes.select(F.col("_fp").alias("fp")), scheme))
+    grouped = nodes.join(found, nodes["_fp"] == found["node"], "left").withColumn("_root", F.coalesce("component", "_fp"))
+    best = common.stored(grouped.groupBy("_root").agg(F.min("_best").alias("_best")).select("_best._k", "_best._h"))
+    # Rows that are alike in every column, if there are any, are made one; no other text is compared.
+    again = seen.join(best, ["_k", "_h"], "left_semi").groupBy("_k", "_h").count().where("count > 1").select("_k", "_h")
+    again = common.stored(again)
+    if again.isEmpty():
+        kept = keyed.join(best, ["_k", "_h"], "left_semi")
+    else:
+        lone = best.join(again, ["_k", "_h"], "left_anti")
+        kept = keyed.join(lone, ["_k", "_h"], "left_semi").unionByName(
+            keyed.join(again, ["_k", "_h"], "left_semi").dropDuplicates(["_k", "_h"])
+        )
+    return kept.select(*plain.columns).toDF(*docs.columns)
