@@ -142,14 +142,15 @@ def dedup(docs: DataFrame, least: int = MIN_WORDS, counts: tuple[str, str] = ("n
         return lambda rows: [one(r) for r in rows]
 
     docs = docs.drop(*counts)
-    names = common.names(docs)
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # so that no column has a name used here
+    doc_id, text = (plain.columns[docs.columns.index(c)] for c in ("doc_id", "text"))
     cuts = repeats(docs, least).withColumnsRenamed({"doc_id": "_id", "_h": "_g"})
-    keyed = docs.withColumn("_h", F.xxhash64("text"))
+    keyed = plain.withColumn("_h", F.xxhash64(text))
     # The runs grow with the texts: the same exchange at every size, no broadcast that a larger input would lose.
-    joined = keyed.join(cuts.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_g")), "left")
-    asked = joined.select(*[c for c in names if c != "`text`"], F.struct("text", "cuts").alias("_t"))
-    fields = {"text": ("string", pa.string()), counts[0]: ("bigint", pa.int64()), counts[1]: ("bigint", pa.int64())}
-    return common.map_column(asked, "_t", fields, work).select(*names, *counts)
+    joined = keyed.join(cuts.hint("merge"), F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_g")), "left")
+    asked = joined.select(*[c for c in plain.columns if c != text], F.struct(F.col(text).alias("text"), "cuts").alias("_t"))
+    fields = {text: ("string", pa.string()), "_lines": ("bigint", pa.int64()), "_removed": ("bigint", pa.int64())}
+    return common.map_column(asked, "_t", fields, work).select(*plain.columns, "_lines", "_removed").toDF(*docs.columns, *counts)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,16 +111,19 @@ def repeated(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float =
     """The mixed documents themselves, whole and with their columns unchanged: a row for each time that one is taken.
 
     The document at which a source's cut falls is taken whole, so a source passes its target by less than one document
-    (or the rows alike there). A document without words counts no words and stays once.
+    (or the rows alike there). A document without words, also a null text, counts no words and stays once. Null ids are
+    one id; rows alike in id and size share their place, so that at the cut all of them or none are taken.
     """
-    keyed = docs.withColumns(_keyed(docs, "doc_id", "text", "source")).withColumn("_id", F.col("doc_id"))
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # so that no column has a name used here
+    own_id, text, source = (plain.columns[docs.columns.index(c)] for c in ("doc_id", "text", "source"))
+    keyed = plain.withColumns(_keyed(plain, own_id, text, source)).withColumn("_id", F.col(own_id))
     rows = common.stored(keyed.select("_source", "_key", "_id", "_size"))
     found = keyed.join(cuts(rows, weights, most).drop("source_size", "target"), "_source")
     own = F.struct("_key", "_id", "_size")
     more = F.when(own < F.col("_at"), 1).when((own == F.col("_at")) & (F.col("_left") > 0), 1).otherwise(0)
     times = F.when(F.col("_size") == 0, 1).otherwise(F.col("_rounds") + more)
     some = found.withColumn("_times", times.cast("int")).where("_times > 0")
-    return some.withColumn("_time", F.explode(F.sequence(F.lit(1), "_times"))).select(*common.names(docs))
+    return some.withColumn("_time", F.explode(F.sequence(F.lit(1), "_times"))).select(*plain.columns).toDF(*docs.columns)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
