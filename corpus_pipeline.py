@@ -27,7 +27,7 @@ def repeated_lines_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: shingles of five words, similarity of 0.8 or more."""
+    """One document of each group of near copies stays, grouped as in op6: shingles of three words, two differing bits."""
     return simhash.keep_one(docs)
 
 
