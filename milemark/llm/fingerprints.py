@@ -105,7 +105,7 @@ def _bounds(keys: DataFrame, buckets: int) -> list[tuple[int | None, int]]:
 
 def _numbers(values: list[int | None]) -> Column:
     """A constant array, written as one text so that the plan holds one value and not thousands."""
-    return F.split(F.lit(",".join("" if v is None else str(v) for v in values)), ",").cast("array<bigint>")
+    return F.split(F.lit(",".join("" if v is None else str(v) for v in values)), ",").try_cast("array<bigint>")
 
 
 def _bucket(ids: Column, hs: Column, n: int) -> Column:

@@ -42,11 +42,11 @@ def groups(n, links):
 
 def test_all_registered():
     known = queries()
-    assert {x.split("_")[0] for x in known if x.startswith("op") and x[2].isdigit()} == {f"op{k}" for k in range(1, 11)}
+    assert {x.split("_")[0] for x in known if x.startswith("op") and x[2].isdigit()} == {f"op{k}" for k in range(1, 14)}
     assert known["pipeline"] is corpus_pipeline.run
 
 
-@pytest.mark.parametrize("name", ["op1_embeddings", "op2_mixing", "op9_urls"])
+@pytest.mark.parametrize("name", ["op1_embeddings", "op2_mixing", "op9_urls", "op11_fingerprints"])
 def test_sql(spark, name):
     assert compare(spark, connect(SF), SF, name, queries()[name], SQL[name]).startswith("ok")
 
