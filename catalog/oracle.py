@@ -598,10 +598,10 @@ count(DISTINCT operacao) FILTER (tipo = 'Novo') AS entered, count(DISTINCT opera
             for g, w in (("situacao", "modalidade = '5-LOW'"), ("situacao_suspensiva", "situacao = 'Contratado - Normal' AND modalidade = '5-LOW'"), ("modalidade", "situacao = 'Contratado - Normal'"))
         ),
         "geo_filter": f"WITH {PANEL} SELECT cod_tci, regiao, uf, municipio FROM panel WHERE regiao = 'AMERICA' AND {_blank_label('municipio')} = 'Não informado'",
-        "cascade_filter": f"WITH {PANEL} SELECT cod_tci, situacao_suspensiva, dt_vencimento_suspensiva FROM panel WHERE {PENDING} AND urgencia_suspensiva = 'Próximos 30 dias' AND strftime(dt_vencimento_suspensiva, '%m/%Y') = '11/1998'",
+        "cascade_filter": f"WITH {PANEL} SELECT cod_tci, situacao_suspensiva, dt_vencimento_suspensiva FROM panel WHERE {PENDING} AND urgencia_suspensiva = '31–90 dias' AND strftime(dt_vencimento_suspensiva, '%m/%Y') = '01/1999'",
         "tender_filter": f"WITH {PANEL} SELECT cod_tci, dt_pub_licitacao, status_regra_casa_civil FROM panel WHERE situacao = 'Contratado - Normal' AND dt_pub_licitacao IS NOT NULL AND status_regra_casa_civil = 'Pendente'",
         "final_filter": f"WITH {DOCPANEL} SELECT cod_tci, status_inicio_obra FROM docs WHERE ano IN ('1996', '1997') AND situacao = 'Contratado - Normal' AND dt_pub_licitacao IS NOT NULL AND status_inicio_obra = 'Iniciada no prazo' AND list_contains({PENDING_LIST}, 'Titularidade')",
-        "table_page": f"WITH {PANEL} SELECT cod_tci, secretaria, modalidade, fase_atual, dt_assinatura FROM panel WHERE fase_atual = 'OBRA INICIADA' AND secretaria = 'BUILDING' AND modalidade ILIKE '%low%' ORDER BY dt_assinatura DESC NULLS LAST, cod_tci LIMIT 10 OFFSET 10",
+        "table_page": f"WITH {PANEL} SELECT cod_tci, secretaria, modalidade, fase_atual, dt_assinatura FROM panel WHERE fase_atual = 'HOMOLOGACAO' AND secretaria = 'BUILDING' AND modalidade ILIKE '%low%' ORDER BY dt_assinatura DESC NULLS LAST, cod_tci LIMIT 10 OFFSET 10",
         "scoped_rows": f"WITH {PANEL} SELECT cod_tci, dt_vencimento_suspensiva FROM panel WHERE {PENDING} AND secretaria = 'BUILDING'",
         "filter_options": f"WITH {PANEL} SELECT coalesce(strftime(dt_vencimento_suspensiva, '%m/%Y'), '—') AS texto, min(dt_vencimento_suspensiva) AS ordem FROM panel GROUP BY 1",
         "topk_other": f"""WITH {PANEL}, g AS (SELECT {_blank_label('municipio')} AS label, count(*) AS qtd FROM panel WHERE uf = 'NATION_7' AND regiao = 'ASIA' GROUP BY 1),

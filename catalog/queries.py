@@ -418,7 +418,7 @@ def geo_filter(spark, sf):
     return E.geo_filter(T.panel(spark, sf), sel).select("cod_tci", "regiao", "uf", "municipio")
 
 
-CASCADE = C.Selection(urgencia="Próximos 30 dias", meses=["11/1998"])
+CASCADE = C.Selection(urgencia="31–90 dias", meses=["01/1999"])
 
 
 def cascade_filter(spark, sf):
@@ -440,7 +440,7 @@ def final_filter(spark, sf):
 
 
 PAGE = E.TableQuery(
-    text="obra BUILDING", exact={"fase_atual": "OBRA INICIADA"}, contains={"modalidade": "low"},
+    text="homologa BUILDING", exact={"fase_atual": "HOMOLOGACAO"}, contains={"modalidade": "low"},
     sort=[("dt_assinatura", False), ("cod_tci", True)], page=2, size=10,
 )
 PAGE_COLUMNS = ["cod_tci", "secretaria", "modalidade", "fase_atual", "dt_assinatura"]
