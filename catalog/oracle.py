@@ -549,6 +549,7 @@ array_to_string((SELECT list(ch ORDER BY ch) FROM (SELECT ch FROM g WHERE n > 1
         "doc_pending_counts": f"WITH {DOCPANEL} SELECT doc, count(*) AS qtd FROM (SELECT unnest({PENDING_LIST}) AS doc FROM docs) GROUP BY doc",
         "geo_breakdown": f"WITH {PANEL} SELECT {_blank_label('municipio')} AS label, count(*) AS qtd FROM panel GROUP BY 1",
         "diff_history": f"WITH {HISTORY} SELECT * FROM hist",
+        "daily_log": f"WITH {HISTORY} SELECT * FROM hist",
         "change_view": f"WITH {VIEW} SELECT * FROM view",
         "change_kpis": f"WITH {VIEW} SELECT count(DISTINCT {RECORD}) AS empreendimentos, count(*) AS campos_alterados, "
         + ", ".join(f"count(*) FILTER (tipo = 'Alterado' AND natureza_raw = {q(n)}) AS {a}" for n, a in (("dados_origem", "mudancas_de_dado"), ("derivado_regra", "mudancas_derivadas"), ("derivado_tempo", "mudancas_automaticas")))

@@ -29,6 +29,8 @@ from milemark.operators import joins as J
 from milemark.plans import contract_base, panel
 from milemark.plans import selection as S
 from milemark.sources import files, naming
+from milemark.sources.changelog import ChangeLog
+from milemark.sources.store import SnapshotStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 CFG = T.SETTINGS
@@ -301,6 +303,20 @@ def _history(spark, sf):
     return D.diff_history(*T.history(spark, sf))
 
 
+def daily_log(spark, sf):
+    """The log kept by day: the second day is stored twice, at first with other rows, and the third arrives after the fourth."""
+    root = T.scratch(spark)
+    store = SnapshotStore(spark, f"{root}/store")
+    log = ChangeLog(store, f"{root}/log")
+    for rows, day in ((1, 1), (3, 2), (4, 4)):
+        store.write(T.snapshot(spark, sf, rows), T.SNAPSHOTS[day - 1])
+    log.update()
+    for day in (3, 2):
+        store.write(T.snapshot(spark, sf, day), T.SNAPSHOTS[day - 1])
+        log.update()
+    return log.events()
+
+
 def diff_history(spark, sf):
     return _history(spark, sf)
 
@@ -525,7 +541,7 @@ def queries() -> dict[str, Query]:
         tolerant_join_empty, tolerant_join_null_keys, infer_types, plain_join, enrich, doc_union,
         first_match, membership_flag, doc_kpis, freshness, match_snapshots, key_diff, row_labels, key_check,
         restrict_previous, first_events, breakdown, domain_order, group_totals, kpi, kpi_delta, tender_kpis,
-        works_kpis, tender_flow, suspension_cascade, doc_pending_counts, geo_breakdown, diff_history, change_view,
+        works_kpis, tender_flow, suspension_cascade, doc_pending_counts, geo_breakdown, diff_history, daily_log, change_view,
         change_kpis, change_events, diff_detail, status_counters, diff_summary, diff_report, first_run_summary, legacy_diff,
         legacy_change_view, legacy_change_kpis, legacy_summary, works_overview, execution_kpis, stoppage_kpis,
         column_profile, width_profile, snapshot_date, facets, sanitize, text_search, cross_filter, geo_filter,

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import dataclasses
 import datetime as dt
+import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -316,3 +318,13 @@ def works_history(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str
     headers = {d: df.columns for d, df in text.items()}
     dated = [df.withColumn("snapshot_date", F.lit(d)) for d, df in text.items()]
     return reduce(DataFrame.unionByName, dated), headers
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that all executors share: under ``spark.checkpoint.dir``, a temporary one for a local session without it."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="milemark-")
+    return f"{root}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"

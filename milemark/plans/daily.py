@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from milemark import config as C
+from milemark.functions.keys import record_key
 from milemark.operators import aggregates, diff, joins, skew
 from milemark.plans import contract_base, legacy
 from milemark.sources import files
+from milemark.sources.changelog import ChangeLog
 from milemark.sources.store import SnapshotStore
 
 
@@ -28,6 +30,8 @@ class DailyPaths:
     changes: str
     summary: str
     freshness: str
+    published: str
+    log: str
 
     @classmethod
     def under(cls, root: str, day: str) -> DailyPaths:
@@ -35,6 +39,7 @@ class DailyPaths:
             base=f"{root}/base", documents=f"{root}/documents", previous=f"{root}/previous", first=f"{root}/first",
             detail=f"{root}/detail/{day}", report=f"{root}/report/{day}", changes=f"{root}/changes",
             summary=f"{root}/summary", freshness=f"{root}/freshness",
+            published=f"{root}/published", log=f"{root}/log",
         )
 
 
@@ -54,15 +59,19 @@ def run_contracts(
     joins.check_keys(base, C.CONTRACT_DIFF.key_candidates, f"snapshot {day}")
     files.write_quoted_csv(contract_base.doc_detail(sources, base), paths.documents)
 
+    files.write_quoted_csv(base, paths.published)
+
     store.write(base, day)
     current = store.at(day)
     before, first = store.previous(day), store.oldest()
     files.write_quoted_csv(store.previous_or_current(day), paths.previous)
     files.write_quoted_csv(store.at(first), paths.first)
 
-    rows, headers = store.history()
-    if len(headers) > 1:
-        files.write_quoted_csv(diff.change_log(diff.order_history(diff.diff_history(rows, headers))), paths.changes)
+    # Only days whose own or earlier snapshot is new are compared; the published log is written from the kept one.
+    if before is not None:
+        log = ChangeLog(store, paths.log)
+        log.update()
+        files.write_quoted_csv(diff.change_log(diff.order_history(log.events())), paths.changes)
     else:
         empty = spark.createDataFrame([], ", ".join(f"{c} string" for c in diff.LOG_COLUMNS))
         files.write_quoted_csv(empty, paths.changes)
@@ -88,12 +97,19 @@ def run_legacy(sheet: DataFrame, store: SnapshotStore, paths: DailyPaths, today:
     rows = legacy.extract(sheet)
     latest = rows.agg(F.max(F.nullif(F.col("dt_atualizacao"), F.lit("")))).first()[0]
     day = latest or today
+    # Before anything else: a refused day must not stay in the store. Works without a key are left out, as in the log.
+    keyed = rows.where(record_key(rows, C.LEGACY_DIFF.key_candidates).isNotNull())
+    joins.check_keys(keyed, C.LEGACY_DIFF.key_candidates, f"snapshot {day}")
     store.write(rows, day)
     files.write_quoted_csv(store.at(day), paths.base)
-    history_rows, headers = store.history()
-    # Written once, as both the log and the summary read them.
-    diff.diff_history(history_rows, headers, C.LEGACY_DIFF).write.mode("overwrite").parquet(paths.detail)
-    events = spark.read.parquet(paths.detail)
+    days = store.days()
+    if len(days) > 1:
+        log = ChangeLog(store, paths.log, C.LEGACY_DIFF)
+        log.update()
+        events = log.events()
+    else:
+        events = diff.diff_history(*store.history(), C.LEGACY_DIFF)
     files.write_quoted_csv(diff.legacy_log(events), paths.changes)
-    files.write_summary_json(diff.legacy_summary(events, history_rows, list(headers)), paths.summary)
+    ends = sorted({days[0], *days[-2:]})
+    files.write_summary_json(diff.legacy_summary(events, store.history(ends)[0], days), paths.summary)
     return day

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,11 +12,28 @@ from pyspark.sql import functions as F
 DAY = "snapshot_date"
 
 
+VERSION = "_version"
+_MANIFEST = f"fields array<string>, version string, {DAY} string"
+
+
+def read_or_none(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """A Parquet dataset, or None where nothing has been written yet."""
+    try:
+        # Files are looked for when the schema is found, not with one given.
+        spark.read.parquet(path)
+    except Exception as e:  # noqa: BLE001
+        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
+            return None
+        raise
+    return spark.read.schema(schema).parquet(path)
+
+
 class SnapshotStore:
-    """``path/rows`` holds the rows by day, ``path/manifest`` the header of every day.
+    """``path/rows`` holds the rows by day, ``path/manifest`` the header and version of every day.
 
-    The manifest has one row per day, so reading it on the driver is bounded by the number
-    of days; rows are never brought to the driver.
+    The manifest has one row per day, so reading it on the driver is bounded by the number of days; rows are never
+    brought to the driver. It is written last: a day that it does not list is not read, and one whose rows were replaced
+    by a run that stopped before the manifest fails when it is read, until it is stored again.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -23,24 +42,25 @@ class SnapshotStore:
         self.manifest_path = f"{path}/manifest"
 
     def write(self, df: DataFrame, day: str) -> None:
-        """Stores the base of a day; the same day again replaces only that day."""
-        text = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns], F.lit(day).alias(DAY))
-        header = self.spark.range(1).select(
-            F.array(*[F.lit(c) for c in df.columns]).alias("fields"), F.lit(day).alias(DAY)
-        )
-        for frame, path in ((text, self.rows_path), (header, self.manifest_path)):
-            frame.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(DAY).parquet(path)
+        """Stores the base of a day; the same day again replaces only that day, also by one without rows."""
+        version = uuid.uuid4().hex
+        text = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns], F.lit(version).alias(VERSION))
+        header = self.spark.range(1).select(F.array(*[F.lit(c) for c in df.columns]).alias("fields"), F.lit(version).alias("version"))
+        for frame, path in ((text, self.rows_path), (header.coalesce(1), self.manifest_path)):
+            frame.write.mode("overwrite").parquet(f"{path}/{DAY}={day}")
+
+    def _listed(self) -> dict[str, tuple[list[str], str]]:
+        manifest = read_or_none(self.spark, self.manifest_path, _MANIFEST)
+        rows = [] if manifest is None else manifest.collect()
+        return {r[DAY]: (list(r["fields"]), r["version"] or "") for r in sorted(rows, key=lambda r: r[DAY])}
 
     def headers(self) -> dict[str, list[str]]:
         """Header of each day, in date order."""
-        try:
-            manifest = self.spark.read.parquet(self.manifest_path)
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" in str(e):
-                return {}
-            raise
-        rows = manifest.select(F.col(DAY).cast("string").alias("d"), "fields").collect()
-        return {r["d"]: list(r["fields"]) for r in sorted(rows, key=lambda r: r["d"])}
+        return {d: fields for d, (fields, _) in self._listed().items()}
+
+    def versions(self) -> dict[str, str]:
+        """What a day is known by until it is stored again, in date order."""
+        return {d: version for d, (_, version) in self._listed().items()}
 
     def days(self) -> list[str]:
         return list(self.headers())
@@ -56,19 +76,24 @@ class SnapshotStore:
 
     def at(self, day: str) -> DataFrame:
         """The rows of one day under the header it had; only its partition is read."""
-        header = self.headers()[day]
-        rows = self.spark.read.parquet(f"{self.rows_path}/{DAY}={day}")
-        return rows.select(*[F.col(f"`{c}`") for c in header])
+        rows, headers = self.history([day])
+        return rows.select(*[F.col(f"`{c}`") for c in headers[day]])
 
     def previous_or_current(self, current: str) -> DataFrame:
         return self.at(self.previous(current) or current)
 
-    def history(self) -> tuple[DataFrame, dict[str, list[str]]]:
-        """All days in one frame, and their headers."""
-        headers = self.headers()
+    def history(self, days: Sequence[str] | None = None) -> tuple[DataFrame, dict[str, list[str]]]:
+        """The wanted days (all by default) in one frame, and their headers; only their partitions are read."""
+        listed = self._listed()
+        listed = listed if days is None else {d: listed[d] for d in sorted(days)}
+        headers = {d: fields for d, (fields, _) in listed.items()}
         fields = list(dict.fromkeys(f for h in headers.values() for f in h))
-        schema = ", ".join(f"`{f}` string" for f in fields) + f", {DAY} string"
-        return self.spark.read.schema(schema).parquet(self.rows_path), headers
+        schema = ", ".join(f"`{f}` string" for f in fields) + f", {VERSION} string, {DAY} string"
+        rows = self.spark.read.schema(schema).parquet(self.rows_path).where(F.col(DAY).isin(list(listed)))
+        version = F.create_map(*[F.lit(x) for d, (_, v) in listed.items() for x in (d, v)])[F.col(DAY)]
+        broken = F.raise_error(F.concat(F.lit("snapshot not stored completely, store it again: "), F.col(DAY)))
+        whole = F.when(F.coalesce(F.col(VERSION), F.lit("")) == version, F.lit(True)).otherwise(broken.cast("boolean"))
+        return rows.where(whole).select(*[F.col(f"`{f}`") for f in fields], DAY), headers
 
 
 def merge(frames: dict[str, DataFrame]) -> tuple[DataFrame, dict[str, list[str]]]:
