@@ -620,6 +620,7 @@ FROM (SELECT *, CASE WHEN k % 5 = 1 THEN (('20' || right(year(d)::VARCHAR, 2)) |
 coalesce(vlr_repasse, 0)::{DEC} AS vlr_repasse, dias_ate_publicacao::DOUBLE AS dias_ate_publicacao, pos_72, ano, len({PENDING_LIST}) AS docs_suspensiva_qtd FROM e WHERE k % 97 <> 1""",
     }
     out["diff_report"] = _report(out["diff_summary"])
+    out["enrich_split"] = out["enrich"]
     return out
 
 

@@ -190,6 +190,11 @@ def enrich(spark, sf):
     return contract_base.enrich(T.sources(spark, sf), CFG)
 
 
+def enrich_split(spark, sf):
+    """``enrich`` with every key of more than three rows, among the contracts or in a source, cut over several tasks."""
+    return contract_base.enrich(T.sources(spark, sf), CFG, 3)
+
+
 def doc_union(spark, sf):
     src = T.sources(spark, sf)
     return contract_base.doc_union(src["sda"], src["sdn"])
@@ -538,7 +543,7 @@ def queries() -> dict[str, Query]:
     named = [
         flagship, base_filter, weekday_count, doc_type, pending_docs, situation_flags, display_status,
         pending_by_month, progress_band, work_flags, due_by_cutoff, tolerant_join,
-        tolerant_join_empty, tolerant_join_null_keys, infer_types, plain_join, enrich, doc_union,
+        tolerant_join_empty, tolerant_join_null_keys, infer_types, plain_join, enrich, enrich_split, doc_union,
         first_match, membership_flag, doc_kpis, freshness, match_snapshots, key_diff, row_labels, key_check,
         restrict_previous, first_events, breakdown, domain_order, group_totals, kpi, kpi_delta, tender_kpis,
         works_kpis, tender_flow, suspension_cascade, doc_pending_counts, geo_breakdown, diff_history, daily_log, change_view,

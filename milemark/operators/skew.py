@@ -62,20 +62,78 @@ def own_key(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn(key, F.coalesce(F.col(key), stand_in))
 
 
-def spread_left(df: DataFrame, key: str, hot: DataFrame | None, salt: str) -> DataFrame:
-    """Left side of a chain of joins on one text key: hot keys get different salts, missing ones stand-ins."""
+def hot_grid(
+    left: DataFrame, sources: Mapping[str, tuple[DataFrame, str | None]], key: str, rows_per_split: int = ROWS_PER_SPLIT
+) -> DataFrame:
+    """How a chain of joins on ``key`` is cut: ``hot_key, splits`` of the left rows, ``parts`` of the rows of ``owner``.
+
+    The owner of a hot key is the source with the most rows for it, counted by ``hot_text`` where a source's second
+    element names a column whose text has to be equal as well. Exact; at most a row for each ``rows_per_split`` rows.
+    """
+    ways = []
+    for tag, (df, text) in sources.items():
+        said = F.lit(None).cast("string") if text is None else F.col(text)
+        counts = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("hot_key"), said.alias("hot_text")).agg(F.count("*").alias("n"))
+        ways.append(counts.where(F.col("n") > rows_per_split).withColumn("owner", F.lit(tag)))
+    every = reduce(DataFrame.unionByName, ways)
+    most = every.groupBy("hot_key").agg(F.max(F.struct("n", "owner", "hot_text")).alias("m")).select(
+        "hot_key", "m.owner", "m.hot_text", F.ceil(F.col("m.n") / rows_per_split).cast("int").alias("parts")
+    )
+    both = hot_keys(left, key, rows_per_split).join(most, "hot_key", "full")
+    one = lambda c: F.coalesce(F.col(c), F.lit(1)).alias(c)
+    return both.select("hot_key", one("splits"), one("parts"), "owner", "hot_text")
+
+
+def _with_grid(df: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    renamed = hot.select(*[F.col(c).alias(f"_g_{c}") for c in ("hot_key", "splits", "parts", "owner", "hot_text")])
+    joined = df.join(F.broadcast(renamed), F.col(key) == F.col("_g_hot_key"), "left")
+    one = {c: F.coalesce(F.col(c), F.lit(1)) for c in ("_g_splits", "_g_parts")}
+    return joined.withColumns(one)
+
+
+def _cut(text: Column) -> Column:
+    """Whether a row's key is cut by parts: also its text is the hot one, where that matters."""
+    return F.col("_g_owner").isNotNull() & (F.col("_g_hot_text").isNull() | F.coalesce(text == F.col("_g_hot_text"), F.lit(False)))
+
+
+_GRID = ["_g_hot_key", "_g_splits", "_g_parts", "_g_owner", "_g_hot_text"]
+
+
+def spread_left(df: DataFrame, key: str, hot: DataFrame | None, salt: str, text: Column | None = None) -> DataFrame:
+    """Left side of a chain of joins on one text key: a hot key's rows get different salts, missing keys stand-ins.
+
+    Where the key is hot in a source, a row is repeated for each part of the source's rows; ``_owner`` names the source
+    then, and ``matched`` drops the copies that meet none of them.
+    """
     columns = _hashable(df)
-    split = _with_splits(own_key(df, key), key, hot, "_splits")
-    return split.withColumn(salt, _pick(columns, F.col("_splits"))).drop("_splits")
+    own = own_key(df, key)
+    if hot is None:
+        return own.withColumns({salt: F.lit(0), "_owner": F.lit(None).cast("string")})
+    split = _with_grid(own, key, hot).withColumn("_a", _pick(columns, F.col("_g_splits")))
+    cut = _cut(F.lit(None).cast("string") if text is None else text)
+    split = split.withColumn("_owner", F.when(cut, F.col("_g_owner")))
+    split = split.withColumn("_b", F.explode(F.sequence(F.lit(0), F.when(cut, F.col("_g_parts")).otherwise(1) - 1)))
+    return split.withColumn(salt, F.col("_a") * F.col("_g_parts") + F.col("_b")).drop("_a", "_b", *_GRID)
 
 
-def spread_right(df: DataFrame, key: str, hot: DataFrame | None, salt: str) -> DataFrame:
-    """Right side of the same joins: rows of hot keys are repeated once per salt."""
+def spread_right(df: DataFrame, key: str, hot: DataFrame | None, salt: str, tag: str = "", text: Column | None = None) -> DataFrame:
+    """A source of the same chain: its rows are dealt to the parts of the hot keys that it owns (``tag``) and repeated for
+    every other split."""
     known = df.where(F.col(key).isNotNull())
     if hot is None:
         return known.withColumn(salt, F.lit(0))
-    split = _with_splits(known, key, hot, "_splits")
-    return split.withColumn(salt, F.explode(F.sequence(F.lit(0), F.col("_splits") - 1))).drop("_splits")
+    columns = _hashable(df)
+    split = _with_grid(known, key, hot)
+    own = F.when(_cut(F.lit(None).cast("string") if text is None else text), _pick(columns, F.col("_g_parts"))).otherwise(0)
+    all_ = F.sequence(F.lit(0), F.col("_g_parts") - 1)
+    split = split.withColumn("_b", F.explode(F.when(F.coalesce(F.col("_g_owner") == tag, F.lit(False)), F.array(own)).otherwise(all_)))
+    split = split.withColumn("_a", F.explode(F.sequence(F.lit(0), F.col("_g_splits") - 1)))
+    return split.withColumn(salt, F.col("_a") * F.col("_g_parts") + F.col("_b")).drop("_a", "_b", *_GRID)
+
+
+def matched(joined: DataFrame, tag: str, found: Column) -> DataFrame:
+    """Without copies of a left row that met no row of the source its key is hot in: another copy is certain to."""
+    return joined.where(~F.coalesce(F.col("_owner") == tag, F.lit(False)) | found)
 
 
 def lookup_join(left: DataFrame, right: DataFrame, on: Mapping[str, str], rows_per_split: int | None = None) -> DataFrame:
@@ -91,7 +149,12 @@ def lookup_join(left: DataFrame, right: DataFrame, on: Mapping[str, str], rows_p
     lside = _with_splits(lside, "_h", hot, "_splits").withColumn("_salt", _pick(_hashable(left), F.col("_splits")))
     lside = lside.withColumn("_h", F.coalesce(F.col("_h"), _row_hash(_hashable(left)))).drop("_splits")
     known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on.values()])
-    rside = spread_right(right.where(known).withColumn("_rh", F.xxhash64(*on.values())), "_rh", hot, "_rsalt")
+    rside = right.where(known).withColumn("_rh", F.xxhash64(*on.values()))
+    if hot is None:
+        rside = rside.withColumn("_rsalt", F.lit(0))
+    else:
+        rside = _with_splits(rside, "_rh", hot, "_splits")
+        rside = rside.withColumn("_rsalt", F.explode(F.sequence(F.lit(0), F.col("_splits") - 1))).drop("_splits")
     cond = lside["_h"] == rside["_rh"]
     if hot is not None:
         cond = cond & (lside["_salt"] == rside["_rsalt"])

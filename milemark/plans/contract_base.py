@@ -32,6 +32,13 @@ _SACI = {
 }
 
 
+# The key column of each source that contracts meet, and those whose text has to be equal as well.
+SOURCE_KEYS = {
+    "pbi": "instrumento", "tdb": "cod_convenio_siafi", "tcon": "num_convenio", "s29": "instrumento", "sda": "instrumento", "sdn": "instrumento",
+}
+SAME_TEXT = ("tdb", "s29")
+
+
 def same_text(a: Column, b: Column) -> Column:
     """Text equality that stays a residual condition of the join.
 
@@ -44,31 +51,41 @@ def same_text(a: Column, b: Column) -> Column:
 def join_sources(sources: Mapping[str, DataFrame], cfg: C.Settings, rows_per_split: int | None = None) -> DataFrame:
     """Monitored contracts with the milestones and documents of the other sources.
 
-    All sources meet the contracts on (canonical key, salt): the contracts are exchanged
-    once for the whole chain, and missing keys are spread over many tasks. ``rows_per_split`` counts the
-    contracts' keys first (for stored tables) and spreads hot ones as well. Duplicate source keys multiply rows;
-    ``joins.check_keys`` tells afterwards.
+    All sources meet the contracts on (canonical key, salt): the contracts are exchanged once for the whole chain, and
+    missing keys are spread over many tasks. ``rows_per_split`` counts the keys of contracts and sources first (for
+    stored tables): a hot contract key is cut by its contracts and a hot source key by the rows of the source, the
+    other side repeated. Duplicate source keys multiply rows; ``joins.check_keys`` tells afterwards.
     """
     saci = sources["saci"]
     chosen = R.base_filter(F.col("txt_fonte"), F.col("dsc_fase_pac"), F.col("txt_sigla_secretaria"), cfg)
     base = saci.where(chosen).select(
         canonical_key(F.col("num_convenio")).alias("_key"), *[F.col(s).alias(n) for n, s in _SACI.items()]
     )
-    hot = skew.find_hot(base.select("_key"), "_key", rows_per_split)
-    out = skew.spread_left(base, "_key", hot, "_salt")
-
-    def side(df: DataFrame, key: str, tag: str, columns: Mapping[str, str]) -> DataFrame:
+    hot = None
+    if rows_per_split is not None:
+        keys = {
+            tag: (sources[tag].select(canonical_key(F.col(c)).alias("_key"), F.col(c).cast("string").alias("_text")), "_text" if tag in SAME_TEXT else None)
+            for tag, c in SOURCE_KEYS.items()
+        }
+        hot = skew.hot_grid(base.select("_key"), keys, "_key", rows_per_split)
+    out = skew.spread_left(base, "_key", hot, "_salt", F.col("num_convenio").cast("string"))
+
+    def side(tag: str, columns: Mapping[str, str]) -> DataFrame:
+        df, key = sources[tag], SOURCE_KEYS[tag]
         picked = df.select(
             canonical_key(F.col(key)).alias("_key"), F.col(key).cast("string").alias(f"_{tag}"),
             *[F.col(s).alias(n) for n, s in columns.items()],
         )
-        return skew.spread_right(picked, "_key", hot, "_salt")
+        return skew.spread_right(picked, "_key", hot, "_salt", tag, F.col(f"_{tag}"))
 
-    def attach(left: DataFrame, right: DataFrame, text_of: str | None = None) -> DataFrame:
+    def attach(left: DataFrame, right: DataFrame, tag: str) -> DataFrame:
         on = (left["_key"] == right["_key"]) & (left["_salt"] == right["_salt"])
-        if text_of is not None:
-            on = on & same_text(left["num_convenio"], right[text_of])
-        return left.join(right, on, "left").drop(right["_key"]).drop(right["_salt"])
+        if tag in SAME_TEXT:
+            on = on & same_text(left["num_convenio"], right[f"_{tag}"])
+        joined = left.join(right, on, "left")
+        if hot is not None:
+            joined = skew.matched(joined, tag, right["_key"].isNotNull())
+        return joined.drop(right["_key"]).drop(right["_salt"])
 
     # One row a canonical key: the events of each written form of it, of which there are a few.
     event = {"dt_pub_licitacao": "dte_publicacao_licitacao", "dt_homolog_licitacao": "dte_homologacao_licitacao"}
@@ -76,24 +93,24 @@ def join_sources(sources: Mapping[str, DataFrame], cfg: C.Settings, rows_per_spl
     events = events.groupBy("_key").agg(F.collect_list(F.struct(*[F.col(s).alias(n) for n, s in event.items()])).alias("_events"))
     docs = {n: c for n, c in C.DOC_SOURCE_COLUMNS.items()}
     nine = {n: c for n, c in docs.items() if n != "doc_trabalho_social"}
-    out = attach(out, side(sources["pbi"], "instrumento", "pbi", {
+    out = attach(out, side("pbi", {
         "situacao_suspensiva": "situacao_da_analise_suspensiva",
         "dt_vencimento_suspensiva": "vencimento_da_suspensiva",
-    }))
-    out = attach(out, side(sources["tdb"], "cod_convenio_siafi", "tdb", {
+    }), "pbi")
+    out = attach(out, side("tdb", {
         "dt_lae": "dte_primeira_data_lae", "dt_vrpl": "dte_vrpl", "dt_aio": "dte_aio",
-    }), "_tdb")
+    }), "tdb")
     # Joined once; publication and homologation are then unfolded on their own, as two sources would match.
-    out = attach(out, skew.spread_right(events, "_key", hot, "_salt"))
+    out = attach(out, skew.spread_right(events, "_key", hot, "_salt"), "licitacao")
     for name in event:
         out = out.withColumn(name, F.explode_outer(F.col("_events").getField(name)))
     out = out.drop("_events")
-    out = attach(out, side(sources["tcon"], "num_convenio", "tcon", {"dt_retirada_suspensiva": "dte_retirada_suspensiva"}))
-    out = attach(out, side(sources["s29"], "instrumento", "s29", {
+    out = attach(out, side("tcon", {"dt_retirada_suspensiva": "dte_retirada_suspensiva"}), "tcon")
+    out = attach(out, side("s29", {
         "perspectiva_de_retirada_da_suspensiva": "pespectiva_de_retirada_da_suspensiva",
-    }), "_s29")
-    out = attach(out, side(sources["sda"], "instrumento", "sda", {f"a_{n}": c for n, c in docs.items()}))
-    out = attach(out, side(sources["sdn"], "instrumento", "sdn", {f"b_{n}": c for n, c in nine.items()}))
+    }), "s29")
+    out = attach(out, side("sda", {f"a_{n}": c for n, c in docs.items()}), "sda")
+    out = attach(out, side("sdn", {f"b_{n}": c for n, c in nine.items()}), "sdn")
     return out.select(
         *_SACI, "situacao_suspensiva", "dt_vencimento_suspensiva", "dt_retirada_suspensiva", "dt_lae",
         "dt_pub_licitacao", "dt_homolog_licitacao", "dt_vrpl", "dt_aio", "perspectiva_de_retirada_da_suspensiva",

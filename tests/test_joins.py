@@ -94,11 +94,46 @@ def test_lookup_and_semi_join_with_hot_and_null_keys(spark):
 
 def test_exact_copies_of_a_hot_row_are_spread(spark):
     copies = spark.range(4000).select(F.lit("x").alias("a"), F.lit(1).alias("v")).repartition(8)
-    hot = skew.find_hot(copies, "a", 500)
+    hot = skew.hot_grid(copies, {"none": (copies.limit(0), None)}, "a", 500)
     salts = skew.spread_left(copies, "a", hot, "s").groupBy("s").count().collect()
     assert len(salts) > 1 and sum(r["count"] for r in salts) == 4000
 
 
+def test_key_hot_in_a_source_of_a_chain(spark):
+    """Few left rows, very many of one source: both are dealt out, and the chain gives what plain joins give."""
+    left = spark.createDataFrame([(i, k) for i, k in enumerate(["7", "7", "7", "8", "9", None, ""])], "i int, k string")
+    many = spark.range(1000).select(F.lit("7").alias("k"), F.col("id").alias("m")).repartition(4)
+    many = many.union(spark.createDataFrame([("8", -1), ("x", -2), (None, -3)], "k string, m long"))
+    texts = spark.createDataFrame([("7", "u", j) for j in range(90)] + [("7", "v", 7), ("8", "v", 8), ("9", "u", 9)], "k string, t string, n int")
+    few = spark.createDataFrame([("7", "p"), ("7", "q"), ("9", "r")], "k string, w string")
+    left = left.withColumn("said", F.when(F.col("i") % 2 == 0, "u").otherwise("v"))
+    said = F.col("said")
+
+    def chain(hot):
+        out = skew.spread_left(left, "k", hot, "salt", said)
+        for tag, df, text in (("few", few, None), ("many", many, None), ("texts", texts, F.col("t"))):
+            right = skew.spread_right(df.withColumnRenamed("k", "rk"), "rk", hot, "rsalt", tag, text)
+            on = (F.col("k") == F.col("rk")) & (F.col("salt") == F.col("rsalt"))
+            if text is not None:
+                on = on & (F.col("said") == F.col("t"))
+            out = skew.matched(out.join(right, on, "left"), tag, F.col("rk").isNotNull()).drop("rk", "rsalt")
+        return out
+
+    columns = ["i", "said", "w", "m", "t", "n"]
+    want = Counter(map(tuple, chain(None).select(*columns).collect()))
+    assert sum(want.values()) > 90_000
+    for limit in (50, 60, 2000):
+        grid = skew.hot_grid(left, {"many": (many, None), "texts": (texts, "t"), "few": (few, None)}, "k", limit)
+        assert Counter(map(tuple, chain(grid).select(*columns).collect())) == want
+    # Without the other hot source the one with a text of its own is the owner.
+    grid = skew.hot_grid(left, {"texts": (texts, "t"), "few": (few, None)}, "k", 20)
+    assert [tuple(r) for r in grid.collect()] == [("7", 1, 5, "texts", "u")]
+    assert Counter(map(tuple, chain(grid).select(*columns).collect())) == want
+    grid = skew.hot_grid(left, {"many": (many, None)}, "k", 50)
+    dealt = skew.spread_right(many, "k", grid, "salt", "many").groupBy("k", "salt").count().collect()
+    assert len(dealt) > 15 and max(r["count"] for r in dealt) < 120
+
+
 def every_join(left, right):
     """Each public join over the two: (a, i) and (b, j), text keys."""
     lookup = right.groupBy("b").agg(F.min("j").alias("j"))
