@@ -603,6 +603,8 @@ count(DISTINCT operacao) FILTER (tipo = 'Novo') AS entered, count(DISTINCT opera
         "tender_filter": f"WITH {PANEL} SELECT cod_tci, dt_pub_licitacao, status_regra_casa_civil FROM panel WHERE situacao = 'Contratado - Normal' AND dt_pub_licitacao IS NOT NULL AND status_regra_casa_civil = 'Pendente'",
         "final_filter": f"WITH {DOCPANEL} SELECT cod_tci, status_inicio_obra FROM docs WHERE ano IN ('1996', '1997') AND situacao = 'Contratado - Normal' AND dt_pub_licitacao IS NOT NULL AND status_inicio_obra = 'Iniciada no prazo' AND list_contains({PENDING_LIST}, 'Titularidade')",
         "table_page": f"WITH {PANEL} SELECT cod_tci, secretaria, modalidade, fase_atual, dt_assinatura FROM panel WHERE fase_atual = 'HOMOLOGACAO' AND secretaria = 'BUILDING' AND modalidade ILIKE '%low%' ORDER BY dt_assinatura DESC NULLS LAST, cod_tci LIMIT 10 OFFSET 10",
+        "deep_page": f"WITH {PANEL} SELECT cod_tci, secretaria, modalidade, fase_atual, dt_assinatura FROM panel ORDER BY dt_assinatura DESC NULLS LAST, cod_tci NULLS FIRST LIMIT 25 OFFSET 500",
+        "next_page": f"WITH {PANEL} SELECT cod_tci, secretaria, modalidade, fase_atual, dt_assinatura FROM panel WHERE dt_assinatura < DATE '1997-01-01' OR dt_assinatura IS NULL OR (dt_assinatura = DATE '1997-01-01' AND cod_tci IS NOT NULL) ORDER BY dt_assinatura DESC NULLS LAST, cod_tci NULLS FIRST LIMIT 25",
         "scoped_rows": f"WITH {PANEL} SELECT cod_tci, dt_vencimento_suspensiva FROM panel WHERE {PENDING} AND secretaria = 'BUILDING'",
         "filter_options": f"WITH {PANEL} SELECT coalesce(strftime(dt_vencimento_suspensiva, '%m/%Y'), '—') AS texto, min(dt_vencimento_suspensiva) AS ordem FROM panel GROUP BY 1",
         "topk_other": f"""WITH {PANEL}, g AS (SELECT {_blank_label('municipio')} AS label, count(*) AS qtd FROM panel WHERE uf = 'NATION_7' AND regiao = 'ASIA' GROUP BY 1),
@@ -620,7 +622,8 @@ FROM (SELECT *, CASE WHEN k % 5 = 1 THEN (('20' || right(year(d)::VARCHAR, 2)) |
 coalesce(vlr_repasse, 0)::{DEC} AS vlr_repasse, dias_ate_publicacao::DOUBLE AS dias_ate_publicacao, pos_72, ano, len({PENDING_LIST}) AS docs_suspensiva_qtd FROM e WHERE k % 97 <> 1""",
     }
     out["diff_report"] = _report(out["diff_summary"])
-    out["enrich_split"] = out["enrich"]
+    # Other ways to the same rows.
+    out |= {other: out[name] for other, name in (("enrich_split", "enrich"), ("bucketed_diff", "diff_detail"), ("bucketed_match", "match_snapshots"))}
     return out
 
 

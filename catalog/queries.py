@@ -29,6 +29,7 @@ from milemark.operators import joins as J
 from milemark.plans import contract_base, panel
 from milemark.plans import selection as S
 from milemark.sources import files, naming
+from milemark.sources.buckets import BucketedSnapshots
 from milemark.sources.changelog import ChangeLog
 from milemark.sources.store import SnapshotStore
 
@@ -342,6 +343,22 @@ def diff_detail(spark, sf):
     return D.diff_detail(T.snapshot(spark, sf, 1), T.snapshot(spark, sf, 2))
 
 
+def _bucketed(spark, sf):
+    """The first two snapshots as they lie in a store with four buckets."""
+    store = BucketedSnapshots(spark, T.scratch(spark), 4)
+    for k in (1, 2):
+        store.write(T.snapshot(spark, sf, k), T.SNAPSHOTS[k - 1])
+    return [store.at(day) for day in T.SNAPSHOTS[:2]]
+
+
+def bucketed_diff(spark, sf):
+    return D.diff_detail(*_bucketed(spark, sf))
+
+
+def bucketed_match(spark, sf):
+    return J.match_snapshots(*_bucketed(spark, sf), C.CONTRACT_DIFF.key_candidates)
+
+
 def status_counters(spark, sf):
     return A.status_counters(diff_detail(spark, sf))
 
@@ -471,6 +488,19 @@ def table_page(spark, sf):
     return E.table_page(T.panel(spark, sf), PAGE, PAGE_COLUMNS)
 
 
+DEEP = E.TableQuery(sort=[("dt_assinatura", False), ("cod_tci", True)], page=21, size=25)
+
+
+def deep_page(spark, sf):
+    """A page far down in all monitored contracts; ranges of a hundred rows, as on a table of millions."""
+    return E.deep_page(T.panel(spark, sf), DEEP, PAGE_COLUMNS, rows_at_once=100)
+
+
+def next_page(spark, sf):
+    """The page behind the last contract of a day."""
+    return E.next_page(T.panel(spark, sf), DEEP, PAGE_COLUMNS, (dt.date(1997, 1, 1), None))
+
+
 def scoped_rows(spark, sf):
     visible = T.panel(spark, sf).where(F.col("secretaria") == "BUILDING")
     return E.scoped_rows(_pending(spark, sf), visible, [], ["cod_tci"]).select("cod_tci", "dt_vencimento_suspensiva")
@@ -546,11 +576,11 @@ def queries() -> dict[str, Query]:
         tolerant_join_empty, tolerant_join_null_keys, infer_types, plain_join, enrich, enrich_split, doc_union,
         first_match, membership_flag, doc_kpis, freshness, match_snapshots, key_diff, row_labels, key_check,
         restrict_previous, first_events, breakdown, domain_order, group_totals, kpi, kpi_delta, tender_kpis,
-        works_kpis, tender_flow, suspension_cascade, doc_pending_counts, geo_breakdown, diff_history, daily_log, change_view,
+        works_kpis, tender_flow, suspension_cascade, doc_pending_counts, geo_breakdown, diff_history, daily_log, bucketed_diff, bucketed_match, change_view,
         change_kpis, change_events, diff_detail, status_counters, diff_summary, diff_report, first_run_summary, legacy_diff,
         legacy_change_view, legacy_change_kpis, legacy_summary, works_overview, execution_kpis, stoppage_kpis,
         column_profile, width_profile, snapshot_date, facets, sanitize, text_search, cross_filter, geo_filter,
-        cascade_filter, tender_filter, final_filter, table_page, scoped_rows, filter_options, topk_other, group_topk,
+        cascade_filter, tender_filter, final_filter, table_page, deep_page, next_page, scoped_rows, filter_options, topk_other, group_topk,
         reason_topk, clean_text, parse_values, region_lookup, canonical_names, panel_rows,
     ]
     out = {f.__name__: f for f in named}

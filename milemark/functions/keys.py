@@ -12,6 +12,9 @@ from milemark.functions.text import blank_to_null
 NUMERIC_TEXT = r"^[0-9]+(\.[0-9]+)?\z"
 _NUMERIC_PARTS = r"^0*([0-9]+?)(?:\.([0-9]*?)0*)?\z"
 
+# The column of a stored snapshot that holds its record key.
+KEY = "_chave"
+
 
 def canonical_key(c: Column) -> Column:
     """Equal exactly when two keys are equal as text or as plain decimal numbers.

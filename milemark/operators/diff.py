@@ -13,12 +13,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from milemark import config as C
-from milemark.functions.keys import record_key
+from milemark.functions.keys import KEY, record_key
 from milemark.functions.text import br_date, br_number, label_map, norm, parse_date, strip_sql
 from milemark.operators import joins
 from milemark.sources.naming import canonical_name, canonicalize
 
-KEY = "_chave"
 ENTERED, EXITED, CHANGED = 1, 2, 3
 
 # How the detail and the cumulative log name the three kinds of change.
@@ -39,8 +38,8 @@ LEGACY_LOG_COLUMNS = [
 
 
 def prepare(df: DataFrame, spec: C.DiffSpec) -> DataFrame:
-    """Record key from the original header, then canonical names."""
-    keyed = df.withColumn(KEY, record_key(df, spec.key_candidates))
+    """Record key from the original header, unless the rows carry it already, then canonical names."""
+    keyed = df if KEY in df.columns else df.withColumn(KEY, record_key(df, spec.key_candidates))
     if spec.skip_blank_keys:
         keyed = keyed.where(F.col(KEY).isNotNull())
     return canonicalize(keyed)
@@ -129,10 +128,13 @@ def _identity(row: str, other: str, names: Sequence[str], spec: C.DiffSpec) -> l
     return [F.expr(e) for e in [*out, *[f"{at(row, source)} as {name}" for name, source in spec.carried]]]
 
 
-def _unique(df: DataFrame, spec: C.DiffSpec, values: Column) -> DataFrame:
-    """Key and values; the check for repeated keys shares the exchange of the join that follows."""
+def _unique(df: DataFrame, spec: C.DiffSpec, values: Column, stored: bool = False) -> DataFrame:
+    """Key and values; the check for repeated keys shares the exchange of the join that follows.
+
+    Rows ``stored`` with their key have one, and the key stays as it lies, so that nothing is exchanged.
+    """
     missing = f"raise_error('snapshot row without a key ({', '.join(spec.key_candidates)})')"
-    keyed = df.select(F.expr(f"coalesce({KEY}, {missing})").alias(KEY), values)
+    keyed = df.select(KEY if stored else F.expr(f"coalesce({KEY}, {missing})").alias(KEY), values)
     counted = keyed.withColumn("_n", F.count("*").over(Window.partitionBy(KEY)))
     once = f"case when _n > 1 then raise_error(concat('duplicated snapshot key: ', {KEY})) else true end"
     return counted.where(F.expr(once)).drop("_n")
@@ -141,13 +143,14 @@ def _unique(df: DataFrame, spec: C.DiffSpec, values: Column) -> DataFrame:
 def diff_pair(previous: DataFrame, current: DataFrame, spec: C.DiffSpec = C.CONTRACT_DIFF) -> DataFrame:
     """Events between two snapshots: secao, pos, record identity, category, nature, field, values.
 
-    A missing or repeated key in either fails when the plan runs, as in ``diff_history``.
+    A missing or repeated key in either fails when the plan runs, as in ``diff_history``. Days of ``BucketedSnapshots`` with
+    as many buckets meet without an exchange.
     """
     prev, cur = prepare(previous, spec), prepare(current, spec)
-    fields = comparable_fields(cur.columns, prev.columns, spec)
+    fields = [f for f in comparable_fields(cur.columns, prev.columns, spec) if f != KEY]
     names = _needed(spec, fields)
-    p = _unique(prev, spec, _values(prev, names).alias("p"))
-    c = _unique(cur, spec, _values(cur, names).alias("c"))
+    p = _unique(prev, spec, _values(prev, names).alias("p"), KEY in previous.columns)
+    c = _unique(cur, spec, _values(cur, names).alias("c"), KEY in current.columns)
     both = c.join(p, KEY, "full")
     events = f"""case when p is null then array({_one_sided(ENTERED, "c", names, spec)})
         when c is null then array({_one_sided(EXITED, "p", names, spec)}) else {_FIELD_EVENTS} end"""

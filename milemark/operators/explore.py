@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -165,6 +166,90 @@ def table_page(df: DataFrame, query: TableQuery, columns: Sequence[str], shown:
     return rows.orderBy(*order).offset((query.page - 1) * query.size).limit(query.size).select(*columns)
 
 
+# Rows that one task may skip and sort to cut out a page, and ranges into which the order is cut at a time.
+ROWS_PER_PAGE_TASK = 100_000
+RANGES = 32
+
+
+def _after(sort: Sequence[tuple[str, bool]], values: Sequence, equal: bool = False) -> Column:
+    """Whether a row stands after the given sort values (or with ``equal`` at them); null comes first upward, last downward."""
+    out = F.lit(equal)
+    for (c, up), v in reversed(list(zip(sort, values, strict=True))):
+        if v is None:
+            beyond = F.col(c).isNotNull() if up else F.lit(False)
+        elif up:
+            beyond = F.coalesce(F.col(c) > F.lit(v), F.lit(False))
+        else:
+            beyond = F.coalesce(F.col(c) < F.lit(v), F.lit(True))
+        out = beyond | (F.col(c).eqNullSafe(F.lit(v)) & out)
+    return out
+
+
+def _place(sort: Sequence[tuple[str, bool]]):
+    """The same order for values on the driver."""
+
+    def compare(a: Sequence, b: Sequence) -> int:
+        for (_, up), x, y in zip(sort, a, b, strict=True):
+            if x != y:
+                less = x is None or (y is not None and x < y)
+                return -1 if less == up else 1
+        return 0
+
+    return functools.cmp_to_key(compare)
+
+
+def deep_page(
+    df: DataFrame, query: TableQuery, columns: Sequence[str], shown: Mapping[str, Column] | None = None,
+    rows_at_once: int = ROWS_PER_PAGE_TASK,
+) -> DataFrame:
+    """``table_page`` for pages far down: no task sorts or skips more than ``rows_at_once`` rows, but for rows that are
+    equal in all sort values.
+
+    A hashed sample of the sort values cuts the order into ranges, the ranges are counted, and the one in which the page
+    begins (with those it reaches into) is cut on until it holds few rows. ``df`` is read for each cut, its other columns
+    for the page alone.
+    """
+    if query.size not in PAGE_SIZES or not query.sort:
+        raise ValueError(f"a deep page needs a sort order and one of {PAGE_SIZES} as its size")
+    sort, skip, place = list(query.sort), (query.page - 1) * query.size, _place(query.sort)
+    keys = [c for c, _ in sort]
+    rows = table_rows(df, query, columns, shown)
+    low, left, total = None, rows, None
+    while skip > min(rows_at_once, 10 * query.size):
+        total = left.count() if total is None else total
+        if total <= rows_at_once:
+            break
+        # About as many values whatever the number of rows; which they are decides how well the cut is balanced only.
+        asked = F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) * float(total) <= float(RANGES * 64) * (1 << 30)
+        some = sorted({tuple(r) for r in left.where(asked).select(*keys).distinct().limit(RANGES * 256).collect()}, key=place)
+        bounds = [b for b in some[:: max(1, len(some) // RANGES)] if low is None or place(low) < place(b)]
+        which = sum((_after(sort, b, True).cast("int") for b in bounds), F.lit(0))
+        counts = dict(left.groupBy(which.alias("r")).agg(F.count("*").alias("n")).collect())
+        sizes = [counts.get(r, 0) for r in range(len(bounds) + 1)]
+        first, before = 0, 0
+        while first < len(bounds) and before + sizes[first] <= skip:
+            before, first = before + sizes[first], first + 1
+        last, held = first, sizes[first]
+        while last < len(bounds) and before + held < skip + query.size:
+            last, held = last + 1, held + sizes[last + 1]
+        if held == total:
+            break  # rows that are equal in all sort values
+        left = left if first == 0 else left.where(_after(sort, low := bounds[first - 1], True))
+        left = left if last == len(bounds) else left.where(~_after(sort, bounds[last], True))
+        skip, total = skip - before, held
+    order = [F.col(c).asc_nulls_first() if up else F.col(c).desc_nulls_last() for c, up in sort]
+    return left.orderBy(*order).offset(skip).limit(query.size).select(*columns)
+
+
+def next_page(
+    df: DataFrame, query: TableQuery, columns: Sequence[str], last: Sequence, shown: Mapping[str, Column] | None = None
+) -> DataFrame:
+    """The page behind a row with the sort values ``last``, which must be unique: nothing before it is sorted."""
+    order = [F.col(c).asc_nulls_first() if up else F.col(c).desc_nulls_last() for c, up in query.sort]
+    rows = table_rows(df, query, columns, shown).where(_after(query.sort, last))
+    return rows.orderBy(*order).limit(query.size).select(*columns)
+
+
 def filter_options(df: DataFrame, column: str, shown: Column) -> DataFrame:
     """Distinct displayed texts of a column with the raw value they are ordered by."""
     return (

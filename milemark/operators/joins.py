@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from milemark.functions.keys import canonical_key, record_key
+from milemark.functions.keys import KEY, canonical_key, record_key
 from milemark.functions.text import blank_to_null, norm
 from milemark.operators import skew
 
@@ -69,7 +69,9 @@ def restrict_to(source: DataFrame, source_key: str, keys: DataFrame, key: str, t
 def _single_keys(df: DataFrame, candidates: Sequence[str], mark: str) -> DataFrame:
     """Each record key once, with a mark; a missing or repeated key fails when the plan runs."""
     missing = f"raise_error('snapshot row without a key ({', '.join(candidates)})')"
-    keys = df.select(F.coalesce(record_key(df, candidates), F.expr(missing)).alias("chave")).groupBy("chave").count()
+    # A key that was stored with its row is there and stays as it lies: days in equal buckets are not exchanged.
+    key = F.col(KEY) if KEY in df.columns else F.coalesce(record_key(df, candidates), F.expr(missing))
+    keys = df.select(key.alias("chave")).groupBy("chave").count()
     once = "case when count > 1 then raise_error(concat('duplicated snapshot key: ', chave)) else true end"
     return keys.select("chave", F.expr(once).alias(mark))
 

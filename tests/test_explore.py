@@ -164,3 +164,32 @@ def test_selection_defaults_keep_every_row(spark):
     assert df.where(S.top_match(sel) & S.chart_match(sel) & S.geo_match(sel) & S.final_match(sel, cfg)).count() == 1
     assert S.drill_dim(C.Selection(secretaria=["A"])) == "modalidade" and S.drill_dim(sel) == "secretaria"
     assert panel.SEARCH_COLUMNS == ["num_convenio", "cod_tci", "proponente"]
+
+
+@pytest.mark.parametrize("sort", [[("a", True), ("b", False), ("i", True)], [("b", False), ("a", False), ("i", False)], [("i", True)]])
+def test_deep_pages(spark, sort):
+    """Every page as the whole order gives it, with nulls and many equal values, and the page behind its last row."""
+    rows = [(i, None if i % 7 == 0 else i * 37 % 11, None if i % 5 == 0 else "x" if i % 3 else f"t{i % 40}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "i int, a int, b string").repartition(4)
+    order = [F.col(c).asc_nulls_first() if up else F.col(c).desc_nulls_last() for c, up in sort]
+    want = [tuple(r) for r in df.orderBy(*order).select("i", "a", "b").collect()]
+    for page in (1, 3, 57, 100, 199, 200, 201):
+        query = E.TableQuery(sort=sort, page=page, size=10)
+        got = [tuple(r) for r in E.deep_page(df, query, ["i", "a", "b"], rows_at_once=60).collect()]
+        assert got == want[10 * page - 10 : 10 * page]
+        if page == 57:
+            last = [dict(zip("iab", got[-1], strict=True))[c] for c, _ in sort]
+            assert [tuple(r) for r in E.next_page(df, query, ["i", "a", "b"], last).collect()] == want[570:580]
+
+
+def test_deep_page_sorts_few_rows(spark, monkeypatch):
+    """Of 20,000 rows the page is cut out of some hundreds; equal sort values can't be cut and still give a page."""
+    df = spark.range(20_000).select(F.col("id").alias("i"), (F.col("id") * 7919 % 20_011).alias("a"), F.lit(1).alias("b"))
+    query = E.TableQuery(sort=[("a", True)], page=1500, size=10)
+    page = E.deep_page(df, query, ["i", "a", "b"], rows_at_once=300)
+    want = sorted(k * 7919 % 20_011 for k in range(20_000))[14_990:15_000]
+    assert [r["a"] for r in page.collect()] == want
+    skipped = int(page._jdf.queryExecution().optimizedPlan().toString().split("Offset ")[1].split()[0])
+    assert skipped < 2_000
+    same = E.deep_page(df, E.TableQuery(sort=[("b", True)], page=1500, size=10), ["i", "b"], rows_at_once=300)
+    assert same.count() == 10
