@@ -25,6 +25,15 @@ class Settings:
     publication_days: int = 60
     homologation_days: int = 120
     start_weekdays: int = 10
+    # Days left up to which a deadline is near, and a suspension's due date is in its middle range.
+    near_days: int = 30
+    middle_days: int = 90
+    # Days from LAE to the two projected dates.
+    projections: tuple[int, int] = (120, 300)
+    # Value bands: (below, name), the last one without a limit.
+    value_bands: tuple[tuple[int | None, str], ...] = (
+        (1_000_000, "ATE 1 MI"), (5_000_000, "1 A 5 MI"), (10_000_000, "5 A 10 MI"), (None, "ACIMA DE 10 MI"),
+    )
     fonte: str = "OGU"
     fase: str = "NOVO PAC - Seleção"
     secretaria_excluida: str = "SNH"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,14 +46,10 @@ def phase(inicio: Column, aio: Column, vrpl: Column, hom: Column, pub: Column, l
     return F.coalesce(*[F.when(d.isNotNull(), F.lit(name)) for d, name in steps], F.lit("SEM ANDAMENTO"))
 
 
-def value_band(vlr: Column) -> Column:
+def value_band(vlr: Column, bands: Sequence[tuple[int | None, str]] = C.Settings.value_bands) -> Column:
     """A missing value falls in the last band."""
-    return (
-        F.when(vlr < 1_000_000, "ATE 1 MI")
-        .when(vlr < 5_000_000, "1 A 5 MI")
-        .when(vlr < 10_000_000, "5 A 10 MI")
-        .otherwise("ACIMA DE 10 MI")
-    )
+    *limited, (_, last) = bands
+    return F.coalesce(*[F.when(vlr < below, name) for below, name in limited], F.lit(last))
 
 
 def exempt(assin: Column, exempt_before: dt.date) -> Column:
@@ -86,20 +83,20 @@ def cutoff_status(sit: Column, pub: Column, hom: Column, inicio: Column, cutoff:
     return F.when(cancelled(sit), "Fora do escopo").when(in_time, "Cumpriu o prazo").otherwise("Pendente")
 
 
-def _deadline_status(done: Column, deadline: Column, as_of: dt.date) -> Column:
-    left = F.datediff(deadline, F.lit(as_of))
+def _deadline_status(done: Column, deadline: Column, cfg: C.Settings) -> Column:
+    left = F.datediff(deadline, F.lit(cfg.as_of))
     return (
         F.when(done <= deadline, "Concluída no prazo")
         .when(done.isNotNull(), "Concluída em atraso")
         .when(left < 0, "Vencida")
-        .when(left <= 30, "Próximos 30 dias")
+        .when(left <= cfg.near_days, "Próximos 30 dias")
         .otherwise("No prazo")
     )
 
 
 def publication_status(assin: Column, lae: Column, sit: Column, pub: Column, deadline: Column, cfg: C.Settings) -> Column:
     not_due = exempt(assin, cfg.exempt_before) | lae.isNull() | cancelled(sit)
-    return F.when(~not_due, _deadline_status(pub, deadline, cfg.as_of))
+    return F.when(~not_due, _deadline_status(pub, deadline, cfg))
 
 
 def homologation_status(assin: Column, sit: Column, pub: Column, hom: Column, deadline: Column, cfg: C.Settings) -> Column:
@@ -108,7 +105,7 @@ def homologation_status(assin: Column, sit: Column, pub: Column, hom: Column, de
     not_due = pub.isNull() | cancelled(sit)
     return F.when(
         ~exempt(assin, cfg.exempt_before),
-        F.when(inconsistent, "Inconsistência de base").when(~not_due, _deadline_status(hom, deadline, cfg.as_of)),
+        F.when(inconsistent, "Inconsistência de base").when(~not_due, _deadline_status(hom, deadline, cfg)),
     )
 
 
@@ -128,13 +125,13 @@ def works_start_status(aio: Column, sit: Column, inicio: Column, deadline: Colum
     return F.when(aio.isNotNull() & ~cancelled(sit), status)
 
 
-def suspension_urgency(ret: Column, sit: Column, venc: Column, as_of: dt.date) -> Column:
-    left = F.datediff(venc, F.lit(as_of))
+def suspension_urgency(ret: Column, sit: Column, venc: Column, cfg: C.Settings) -> Column:
+    left = F.datediff(venc, F.lit(cfg.as_of))
     level = (
         F.when(venc.isNull(), "Sem data")
         .when(left < 0, "Vencida")
-        .when(left <= 30, "Próximos 30 dias")
-        .when(left <= 90, "31–90 dias")
+        .when(left <= cfg.near_days, "Próximos 30 dias")
+        .when(left <= cfg.middle_days, "31–90 dias")
         .otherwise("Mais de 90 dias")
     )
     return F.when(ret.isNull() & ~cancelled(sit), level)
@@ -236,8 +233,8 @@ def with_contract_rules(df: DataFrame, cfg: C.Settings) -> DataFrame:
     deadlines = df.withColumns(
         {
             "prazo_pub_licitacao": publication_deadline(lae, assin, cfg),
-            "dt_lae_mais_60": lae_plus(lae, 120),
-            "dt_lae_mais_60_mais_120": lae_plus(lae, 300),
+            "dt_lae_mais_60": lae_plus(lae, cfg.projections[0]),
+            "dt_lae_mais_60_mais_120": lae_plus(lae, cfg.projections[1]),
             "prazo_homolog_120d": homologation_window(pub, assin, cfg),
             "prazo_inicio_obra": works_start_deadline(aio, cfg),
             "data_limite_licitacao_casa_civil": F.lit(cfg.fixed_cutoff),
@@ -255,12 +252,12 @@ def with_contract_rules(df: DataFrame, cfg: C.Settings) -> DataFrame:
             "dias_homologacao_ate_vrpl": F.datediff(vrpl, hom),
             "dias_vrpl_ate_aio": F.datediff(aio, vrpl),
             "dias_aio_ate_inicio_obra": F.datediff(inicio, aio),
-            "faixa_repasse": value_band(c("vlr_repasse")),
+            "faixa_repasse": value_band(c("vlr_repasse"), cfg.value_bands),
             "status_regra_casa_civil": cutoff_status(sit, pub, hom, inicio, cfg.fixed_cutoff),
             "status_pub_licitacao": publication_status(assin, lae, sit, pub, c("prazo_pub_licitacao"), cfg),
             "status_homolog_licitacao": homologation_status(assin, sit, pub, hom, c("prazo_homolog_licitacao"), cfg),
             "status_inicio_obra": works_start_status(aio, sit, inicio, c("prazo_inicio_obra"), cfg),
-            "urgencia_suspensiva": suspension_urgency(ret, sit, venc, cfg.as_of),
+            "urgencia_suspensiva": suspension_urgency(ret, sit, venc, cfg),
             "motivo_suspensiva_retirada_dmp": withdrawn_reason(sit, analysis, aio, inicio),
             "pos_72": era(assin, cfg.exempt_before),
             "ano": signature_year(assin),

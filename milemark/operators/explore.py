@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import cmp_to_key, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from milemark import config as C
 from milemark.functions.text import label_or, squish
-from milemark.operators import skew
 from milemark.plans import selection as S
 
 # Fixed value: page sizes offered by the table.
@@ -125,10 +124,9 @@ def scoped_rows(pending: DataFrame, visible: DataFrame | None, months: Sequence[
     """Rows of the month chart: those visible in the table unless months are chosen."""
     if months or visible is None:
         return pending
-    # One text per key combination, nulls included, so that blank keys find each other.
-    row_key = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}).alias("_key")
-    marked = pending.select("*", row_key)
-    return skew.semi_join(marked, visible.select(row_key), {"_key": "_key"}).select(*pending.columns)
+    shown = visible.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).distinct()
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]  # blank keys find each other
+    return pending.join(shown, reduce(lambda a, b: a & b, same), "left_semi")
 
 
 @dataclass(frozen=True)
@@ -195,7 +193,7 @@ def _place(sort: Sequence[tuple[str, bool]]):
                 return -1 if less == up else 1
         return 0
 
-    return functools.cmp_to_key(compare)
+    return cmp_to_key(compare)
 
 
 def deep_page(

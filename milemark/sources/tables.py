@@ -62,24 +62,21 @@ class LoadSpec:
 def load_many(
     spark: SparkSession, specs: Sequence[LoadSpec], mode: str = "replace", loaded_at: dt.datetime | None = None
 ) -> dict[str, str]:
-    """Loads every target; a source that feeds several is read once. Returns the failures.
+    """Loads every target; returns the failures.
 
-    A target that fails is reported and the others go on.
+    A source that feeds several targets is looked into once and scanned for each, with the columns it asks for; nothing
+    is cached. A target that fails is reported and the others go on.
     """
     loaded_at = loaded_at or dt.datetime.now()
-    uses = {s.source: sum(o.source == s.source for o in specs) for s in specs}
     frames: dict[str, DataFrame] = {}
     failures: dict[str, str] = {}
     for spec in specs:
         try:
             if spec.source not in frames:
-                df = files.read_any(spark, spec.source)
-                frames[spec.source] = df.persist() if uses[spec.source] > 1 else df
+                frames[spec.source] = files.read_any(spark, spec.source)
             df = frames[spec.source]
             load_table(prepare(spec.pick(df) if spec.pick else df, loaded_at), spec.table, mode)
         except Exception as e:  # noqa: BLE001 - one bad source must not stop the batch
             log.warning("load of %s failed: %s", spec.table, e)
             failures[spec.table] = str(e)
-    for df in frames.values():
-        df.unpersist()
     return failures

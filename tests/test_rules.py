@@ -122,3 +122,14 @@ def test_progress_bands(spark):
     df = spark.createDataFrame([(v,) for v in values], "p double")
     got = [r[0] for r in df.select(R.progress_band(F.col("p"))).collect()]
     assert got == ["Sem dado", "0%", "0%", "1–25%", "1–25%", "26–50%", "26–50%", "51–75%", "76–99%", "76–99%", "100%", "100%"]
+
+
+def test_days_and_bands_are_settings(spark):
+    """Other day counts and bands change the rules that name them."""
+    cfg = C.Settings(
+        as_of=D(2026, 6, 10), near_days=5, middle_days=6, projections=(1, 2), value_bands=((10, "low"), (None, "high")),
+    )
+    row = dict.fromkeys(NAMES) | {"dt_vencimento_suspensiva": D(2026, 6, 16), "dt_lae": D(2026, 6, 1), "vlr_repasse": 10, "situacao": "x"}
+    got = R.with_contract_rules(spark.createDataFrame([tuple(row.values())], COLUMNS), cfg).first()
+    assert got.urgencia_suspensiva == "31–90 dias" and got.faixa_repasse == "high"
+    assert (got.dt_lae_mais_60, got.dt_lae_mais_60_mais_120) == (D(2026, 6, 2), D(2026, 6, 3))
