@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -129,7 +130,7 @@ def test_days_and_bands_are_settings(spark):
     cfg = C.Settings(
         as_of=D(2026, 6, 10), near_days=5, middle_days=6, projections=(1, 2), value_bands=((10, "low"), (None, "high")),
     )
-    row = dict.fromkeys(NAMES) | {"dt_vencimento_suspensiva": D(2026, 6, 16), "dt_lae": D(2026, 6, 1), "vlr_repasse": 10, "situacao": "x"}
+    row = dict.fromkeys(NAMES) | {"dt_vencimento_suspensiva": D(2026, 6, 16), "dt_lae": D(2026, 6, 1), "vlr_repasse": Decimal(10), "situacao": "x"}
     got = R.with_contract_rules(spark.createDataFrame([tuple(row.values())], COLUMNS), cfg).first()
     assert got.urgencia_suspensiva == "31–90 dias" and got.faixa_repasse == "high"
     assert (got.dt_lae_mais_60, got.dt_lae_mais_60_mais_120) == (D(2026, 6, 2), D(2026, 6, 3))
