@@ -279,6 +279,15 @@ HISTORY = (
 )
 
 
+def _runs() -> str:
+    """Runs of unchanged days: a row begins one unless the day before has the record with the same text."""
+    whole = lambda i: "concat_ws(chr(1), " + ", ".join(h if h in _header(i) else "''" for h in _header(4)) + ")"
+    days = " UNION ALL ".join(f"SELECT chave, {i} AS o, {whole(i)} AS t FROM s{i}" for i in (1, 2, 3, 4))
+    return f"""days AS ({days}),
+begun AS (SELECT *, coalesce(lag(o) OVER w = o - 1 AND lag(t) OVER w = t, false) AS same FROM days WINDOW w AS (PARTITION BY chave ORDER BY o)),
+runs AS (SELECT chave, o, sum((NOT same)::INT) OVER (PARTITION BY chave ORDER BY o) AS run FROM begun)"""
+
+
 def _case(c: str, labels: dict[str, str], default: str) -> str:
     return f"CASE {c} " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in labels.items()) + f" ELSE {default} END"
 
@@ -548,6 +557,14 @@ array_to_string((SELECT list(ch ORDER BY ch) FROM (SELECT ch FROM g WHERE n > 1
         }),
         "doc_pending_counts": f"WITH {DOCPANEL} SELECT doc, count(*) AS qtd FROM (SELECT unnest({PENDING_LIST}) AS doc FROM docs) GROUP BY doc",
         "geo_breakdown": f"WITH {PANEL} SELECT {_blank_label('municipio')} AS label, count(*) AS qtd FROM panel GROUP BY 1",
+        "validity_runs": f"WITH {_snapshots([1, 2, 3, 4])}, {_runs()} SELECT chave, ['1998-11-01', '1998-11-02', '1998-11-16', '1998-11-17'][min(o)] AS desde, ['1998-11-01', '1998-11-02', '1998-11-16', '1998-11-17'][max(o)] AS ate FROM runs GROUP BY chave, run",
+        "base_as_of": f"WITH {_snapshots([2])} SELECT {', '.join(_header(2))} FROM s2",
+        "factored_keys": f"""WITH {SOURCES}, l AS (SELECT {key('num_convenio')} AS k, count(*) AS n FROM saci WHERE num_convenio IS NOT NULL GROUP BY 1),
+r AS (SELECT {key('nc')} AS k, count(*) AS n FROM licit GROUP BY 1)
+SELECT if(c[1] = 'N', c[2:]::DECIMAL(30,6)::BIGINT::VARCHAR, c[2:]) AS chave, a AS linhas_esquerda, b AS linhas_direita, a * greatest(b, 1) AS linhas
+FROM (SELECT coalesce(l.k, r.k) AS c, coalesce(l.n, 0) AS a, coalesce(r.n, 0) AS b FROM l FULL JOIN r ON l.k = r.k)""",
+        "factored_totals": f"WITH {SOURCES} SELECT s.uf, count(*) AS linhas, sum(s.vlr_repasse) AS vlr_repasse FROM saci s LEFT JOIN licit p ON {key('s.num_convenio')} = {key('p.nc')} GROUP BY 1",
+        "factored_rows": f"WITH {SOURCES} SELECT s.cod_tci, s.num_convenio, p.nc AS instrumento, p.pub AS dte_publicacao_licitacao FROM saci s LEFT JOIN licit p ON {key('s.num_convenio')} = {key('p.nc')}",
         "diff_history": f"WITH {HISTORY} SELECT * FROM hist",
         "daily_log": f"WITH {HISTORY} SELECT * FROM hist",
         "change_view": f"WITH {VIEW} SELECT * FROM view",
@@ -623,7 +640,7 @@ coalesce(vlr_repasse, 0)::{DEC} AS vlr_repasse, dias_ate_publicacao::DOUBLE AS d
     }
     out["diff_report"] = _report(out["diff_summary"])
     # Other ways to the same rows.
-    out |= {other: out[name] for other, name in (("enrich_split", "enrich"), ("bucketed_diff", "diff_detail"), ("bucketed_match", "match_snapshots"))}
+    out |= {other: out[name] for other, name in (("enrich_split", "enrich"), ("bucketed_diff", "diff_detail"), ("bucketed_match", "match_snapshots"), ("digest_diff", "diff_detail"))}
     return out
 
 

@@ -26,12 +26,15 @@ from milemark.operators import aggregates as A
 from milemark.operators import diff as D
 from milemark.operators import explore as E
 from milemark.operators import joins as J
+from milemark.operators.factored import FactoredJoin
 from milemark.plans import contract_base, panel
 from milemark.plans import selection as S
 from milemark.sources import files, naming
 from milemark.sources.buckets import BucketedSnapshots
 from milemark.sources.changelog import ChangeLog
+from milemark.sources.digests import DigestedSnapshots
 from milemark.sources.store import SnapshotStore
+from milemark.sources.validity import ValidityStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 CFG = T.SETTINGS
@@ -155,6 +158,27 @@ def tolerant_join_null_keys(spark, sf):
     return J.tolerant_join(left, right, "num_convenio", "instrumento", blank_is_missing=True)
 
 
+def _factored(spark, sf):
+    src = T.sources(spark, sf)
+    right = src["licitacao"].select(F.col("num_convenio").alias("instrumento"), "dte_publicacao_licitacao")
+    return FactoredJoin(src["saci"].select("cod_tci", "num_convenio", F.col("txt_uf").alias("uf"), "vlr_repasse"), right, "num_convenio", "instrumento")
+
+
+def factored_keys(spark, sf):
+    """Keys of contracts and tender rows with the rows of either side and of their join."""
+    return _factored(spark, sf).keys().select("linhas_esquerda", "linhas_direita", "linhas", F.regexp_replace("chave", r"^.:|\.$", "").alias("chave"))
+
+
+def factored_totals(spark, sf):
+    """Rows and value of the joined contracts by state, without the joined rows."""
+    return _factored(spark, sf).totals(["uf"], {"vlr_repasse": F.col("vlr_repasse")})
+
+
+def factored_rows(spark, sf):
+    """The joined rows, with keys of more than three rows cut."""
+    return _factored(spark, sf).unfold(3).select("cod_tci", "num_convenio", "instrumento", "dte_publicacao_licitacao")
+
+
 def infer_types(spark, sf):
     """Types found for text columns whose deciding values come late, one row a column."""
     k, d = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
@@ -359,6 +383,36 @@ def bucketed_match(spark, sf):
     return J.match_snapshots(*_bucketed(spark, sf), C.CONTRACT_DIFF.key_candidates)
 
 
+def digest_diff(spark, sf):
+    """The first two snapshots in 16 parts; only parts that differ are read."""
+    store = DigestedSnapshots(spark, T.scratch(spark), 16)
+    for k in (1, 2):
+        store.write(T.snapshot(spark, sf, k), T.SNAPSHOTS[k - 1])
+    return D.diff_detail(*store.pair(*T.SNAPSHOTS[:2]))
+
+
+def _validity(spark, sf):
+    """Two days taken over, two added; the third is stored twice, at first with the rows of the first day."""
+    store = ValidityStore(spark, T.scratch(spark))
+    rows, headers = T.history(spark, sf)
+    first = T.SNAPSHOTS[:2]
+    store.build(rows.where(F.col("snapshot_date").isin(first)), {d: headers[d] for d in first})
+    for k, day in ((1, 3), (3, 3), (4, 4)):
+        store.extend(T.snapshot(spark, sf, k), T.SNAPSHOTS[day - 1])
+    return store
+
+
+def validity_runs(spark, sf):
+    """Runs of days on which a contract did not change."""
+    return _validity(spark, sf).intervals().select(F.col("_chave").alias("chave"), "desde", "ate")
+
+
+def base_as_of(spark, sf):
+    """The base of the second day, out of the runs of four."""
+    base = _validity(spark, sf).at(T.SNAPSHOTS[1])
+    return base.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in base.columns])
+
+
 def status_counters(spark, sf):
     return A.status_counters(diff_detail(spark, sf))
 
@@ -577,6 +631,7 @@ def queries() -> dict[str, Query]:
         first_match, membership_flag, doc_kpis, freshness, match_snapshots, key_diff, row_labels, key_check,
         restrict_previous, first_events, breakdown, domain_order, group_totals, kpi, kpi_delta, tender_kpis,
         works_kpis, tender_flow, suspension_cascade, doc_pending_counts, geo_breakdown, diff_history, daily_log, bucketed_diff, bucketed_match, change_view,
+        digest_diff, validity_runs, base_as_of, factored_keys, factored_totals, factored_rows,
         change_kpis, change_events, diff_detail, status_counters, diff_summary, diff_report, first_run_summary, legacy_diff,
         legacy_change_view, legacy_change_kpis, legacy_summary, works_overview, execution_kpis, stoppage_kpis,
         column_profile, width_profile, snapshot_date, facets, sanitize, text_search, cross_filter, geo_filter,
