@@ -25,48 +25,73 @@ def hashed_lines(text: str | None) -> list[tuple[int, int, int]]:
     return out
 
 
-def windows(lines: list[tuple[int, int, int]], least: int = MIN_WORDS) -> Iterator[tuple[int, int, int, int, list[int], list[int]]]:
-    """The windows of a text: from each line on as few lines as have ``least`` words together.
-
-    A run of so many words holds the whole window of its first line, so two copies of it have that window and its
-    minimum in common whatever surrounds them: the winnowing guarantee, counted in words. ``after`` and ``before`` are
-    hashes of the lines around it, nearest first, as long as they have fewer words than a window: a longer repeated
-    neighbourhood has windows of its own.
-
-    Gives first line, lines, minimum, hash of the content, ``before`` and ``after``, in this order.
+def fingerprints(lines: list[tuple[int, int, int]], least: int = MIN_WORDS) -> Iterator[tuple[int, int, list[int], list[tuple]]]:
+    """The places of a text that are the minimum of some window, each once: winnowing, counted in words.
+
+    A window has as few lines from its first on as have ``least`` words together; its fingerprint is its smallest line
+    hash, the last of equal ones. Two copies of a run of so many words have its windows, and so their minima, in common
+    whatever surrounds them. Gives hash of the line, index of the first line kept with it, hashes of these lines, and the
+    windows that chose the place: first line and length, counted among the lines kept, and how many lines around it are
+    wanted for extending a match, fewer than a window has on each side: a longer repeated neighbourhood has windows of
+    its own.
     """
-    end, words = 0, 0
     hashes = [h for _, h, _ in lines]
+    end, words, chosen, at_once = 0, 0, -1, []
     for at, (_, _, own) in enumerate(lines):
+        seen = end
         while end < len(lines) and words < least:
             words += lines[end][2]
             end += 1
         if words < least:
             break
-        inside = hashes[at:end]
-        content = xxhash.xxh64_intdigest(b"".join(h.to_bytes(8, "little", signed=True) for h in inside)) - (1 << 63)
-        before, after = _near(lines, range(at - 1, -1, -1), least), _near(lines, range(end, len(lines)), least)
-        yield at, end - at, min(inside), content, before, after
+        place = chosen if chosen >= at else at
+        for k in range(seen if chosen >= at else at, end):
+            if hashes[k] <= hashes[place]:
+                place = k
+        if place != chosen and at_once:
+            yield _kept(hashes, chosen, at_once)
+            at_once = []
+        chosen = place
+        left, right = _near(lines, range(at - 1, -1, -1), least), _near(lines, range(end, len(lines)), least)
+        at_once.append((at, end - at, left, right))
         words -= own
+    if at_once:
+        yield _kept(hashes, chosen, at_once)
+
 
+def _kept(hashes: list[int], chosen: int, wanted: list[tuple[int, int, int, int]]) -> tuple[int, int, list[int], list[tuple]]:
+    first = min(at - left for at, _, left, _ in wanted)
+    last = max(at + size + right for at, size, _, right in wanted)
+    return hashes[chosen], first, hashes[first:last], [(at - first, size, left, right) for at, size, left, right in wanted]
 
-def _near(lines: list[tuple[int, int, int]], order: range, least: int) -> list[int]:
-    out, words = [], 0
-    for k in order:
+
+def _near(lines: list[tuple[int, int, int]], order: range, least: int) -> int:
+    words = 0
+    for n, k in enumerate(order):
         words += lines[k][2]
         if words >= least:
-            break
-        out.append(lines[k][1])
-    return out
+            return n
+    return len(order)
 
 
-_WINDOW = {"at": pa.int32(), "size": pa.int32(), "minimum": pa.int64(), "content": pa.int64(),
-           "before": pa.list_(pa.int64()), "after": pa.list_(pa.int64())}
-_WINDOW_DDL = "at int, size int, minimum bigint, content bigint, before array<bigint>, after array<bigint>"
-# Windows that go out together: a text of very many short lines is not held as a whole.
+_PLACE = pa.struct([("at", pa.int32()), ("size", pa.int32()), ("left", pa.int32()), ("right", pa.int32())])
+_FINGERPRINT = {"minimum": pa.int64(), "first": pa.int32(), "lines": pa.list_(pa.int64()), "windows": pa.list_(_PLACE)}
+_FINGERPRINT_DDL = "minimum bigint, first int, lines array<bigint>, windows array<struct<at:int,size:int,left:int,right:int>>"
+# Fingerprints that go out together: a text of very many short lines is not held as a whole.
 ROWS_AT_ONCE = 4096
 
 
+def _windows(found: DataFrame) -> DataFrame:
+    """The windows of the given fingerprints, with the hash of their content and the lines around, nearest first."""
+    each = found.select("doc_id", "_h", "minimum", "first", "lines", F.explode("windows").alias("w"))
+    part = lambda start, n: F.slice("lines", start, n)
+    at, size = F.col("w.at"), F.col("w.size")
+    return each.select(
+        "doc_id", "_h", (F.col("first") + at).alias("at"), size.alias("size"), "minimum", F.xxhash64(part(at + 1, size)).alias("content"),
+        F.reverse(part(at - F.col("w.left") + 1, F.col("w.left"))).alias("before"), part(at + size + 1, F.col("w.right")).alias("after"),
+    )
+
+
 def _agreeing(own: str, other: str) -> Column:
     """How many elements two arrays have in common from their start on."""
     same = F.zip_with(own, other, lambda a, b: F.coalesce(a == b, F.lit(False)))
@@ -78,20 +103,22 @@ def repeats(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """``doc_id, _h`` (the text's hash) and ``cuts``: runs of lines (first, last, counted among lines with words) that an
     earlier text, or an earlier place of the same text, has as well.
 
-    Windows are joined with their first occurrence, one row for each window that occurs again; the match is extended
-    over the lines around. Texts are in the order of ``doc_id`` (null first), then of their hash.
+    Only fingerprints are stored, with the lines around; one whose hash stands at no other place goes no further. Places
+    with equal hashes are not paired with each other: the windows that chose them are joined with the first occurrence of
+    the same content, one row for each window that occurs again, and the match is extended over the lines around. Texts
+    are in the order of ``doc_id`` (null first), then of their hash.
     """
 
     def flat(rows: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
-        types = {"doc_id": id_type, "_h": pa.int64(), **_WINDOW}
+        types = {"doc_id": id_type, "_h": pa.int64(), **_FINGERPRINT}
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types.values())], names=list(types))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, kind = [], batch.column("doc_id").type
             for doc_id, h, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "_h", "text")), strict=True):
-                for window in windows(hashed_lines(text), least):
-                    rows.append((doc_id, h, *window))
+                for place in fingerprints(hashed_lines(text), least):
+                    rows.append((doc_id, h, *place))
                     if len(rows) >= ROWS_AT_ONCE:
                         yield flat(rows, kind)
                         rows = []
@@ -99,14 +126,16 @@ def repeats(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
 
     asked = docs.select("doc_id", F.xxhash64("text").alias("_h"), "text")
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    found = common.stored(asked.mapInArrow(work, f"doc_id {id_type}, _h bigint, {_WINDOW_DDL}"))
+    places = common.stored(asked.mapInArrow(work, f"doc_id {id_type}, _h bigint, {_FINGERPRINT_DDL}"))
+    again = common.stored(places.groupBy("minimum").agg(F.count("*").alias("n")).where("n > 1").select("minimum"))
+    found = common.stored(_windows(places.join(again.hint("merge"), "minimum", "left_semi")))
     key, place = ["minimum", "content"], F.struct("doc_id", "_h", "at")
     first = found.groupBy(key).agg(F.min(place).alias("f"), F.count("*").alias("n")).where("n > 1")
     first = common.stored(first.drop("n"))
     # The lines around the first occurrences, fetched once a window; then both sides of the large join lie stored, so
     # that adaptive execution can cut the partition of a window that very many texts have.
-    again = found.withColumn("f", place).join(first, [*key, "f"], "left_semi").dropDuplicates(key)
-    first = common.stored(again.select(*key, "f", F.col("before").alias("fb"), F.col("after").alias("fa")))
+    around = found.withColumn("f", place).join(first, [*key, "f"], "left_semi").dropDuplicates(key)
+    first = common.stored(around.select(*key, "f", F.col("before").alias("fb"), F.col("after").alias("fa")))
     later = found.join(first, key).where(place > F.col("f"))
     run = F.struct(
         (F.col("at") - _agreeing("before", "fb")).alias("first"),
