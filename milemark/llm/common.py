@@ -61,6 +61,22 @@ def sample_by_group(df: DataFrame, group: str, key: str, n: int) -> DataFrame:
     return near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).drop("_n", "_of")
 
 
+def spread(text: str | Column, seed: str | Column, chars: int, part: int) -> Column:
+    """The whole text if it has at most ``chars`` characters, else as many parts of ``part`` characters as make them up.
+
+    The parts come from all over the text: ``seed`` and a part's number decide which, the same on every run. They keep
+    their order and have a line break between them. Null stays null.
+    """
+    text = F.col(text) if isinstance(text, str) else text
+    last = (F.ceil(F.length(text) / part) - 1).cast("int")
+    drawn = F.transform(
+        F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda k: F.struct(F.xxhash64(seed, k).alias("h"), k.alias("k"))
+    )
+    chosen = F.array_sort(F.transform(F.slice(F.array_sort(drawn), 1, chars // part), lambda d: d["k"]))
+    parts = F.transform(chosen, lambda k: F.substring(text, k * part + 1, F.lit(part)))
+    return F.when(F.length(text) > chars, F.array_join(parts, "\n")).otherwise(text)
+
+
 def ascii_words(text: str | None) -> list[bytes]:
     """The words of a text as UTF-8, A-Z in lower case."""
     return [] if text is None else text.encode("utf-8", "surrogatepass").lower().split()

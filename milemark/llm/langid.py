@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from milemark.llm import common
 
 UNDETERMINED = "und"
-# A dictionary is fitted on at most this many documents of a language and this many characters of each.
-SAMPLE_DOCS, SAMPLE_CHARS = 96, 3000
+# A dictionary is fitted on at most this many different texts of a language and this many characters of each; of a
+# longer text on parts of SAMPLE_PART characters from all over it.
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_PART = 96, 3000, 500
 DICTIONARY_BYTES = 128 << 10
 LEVEL = 5
 # A text is encoded in parts, so that its own beginning doesn't become the dictionary of its end.
@@ -41,17 +42,19 @@ def plain(text: str) -> bytes:
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
     """Dictionaries from a bounded sample of each language, chosen by the text's hash and the same on every run.
 
-    Rows with a null language or text teach nothing.
+    Rows with a null language or text teach nothing. A text that a language has several times counts once.
     """
     some = labelled.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(
-        F.col(lang_col).cast("string").alias("lang"), F.substring(text_col, 1, SAMPLE_CHARS).alias("text"),
-        F.xxhash64(text_col).alias("h"),
+        F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h")
     )
-    picked = common.sample_by_group(some, "lang", "h", SAMPLE_DOCS)
+    # Hashes first: texts are read for the sample only, and copies are one before any of them is ranked.
+    chosen = common.stored(common.sample_by_group(some.select("lang", "h").distinct(), "lang", "h", SAMPLE_DOCS))
+    chosen = F.broadcast(chosen) if chosen.count() <= 1_000_000 else chosen  # two short columns
+    parts = some.join(chosen, ["lang", "h"]).withColumn("text", common.spread("text", "h", SAMPLE_CHARS, SAMPLE_PART))
+    picked = parts.groupBy("lang", "h").agg(F.min("text").alias("text"))
     texts: dict[str, list[str]] = {}
-    for row in picked.orderBy("lang", "h", "text").collect():
-        if row["text"] not in texts.setdefault(row["lang"], []):
-            texts[row["lang"]].append(row["text"])
+    for row in picked.orderBy("lang", "h").collect():
+        texts.setdefault(row["lang"], []).append(row["text"])
     ranked = sorted(texts, key=lambda lang: (-len(texts[lang]), lang))
     # The last bytes are the cheapest to point at; all dictionaries get the same size, or size would decide.
     joined = {lang: plain(" ".join(texts[lang])) for lang in ranked}

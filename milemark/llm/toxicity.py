@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from milemark.llm import common
 from milemark.llm.langid import fold
 
-# The network is trained on at most this many labelled documents of each class and this many characters of each.
-SAMPLE_DOCS, SAMPLE_CHARS = 1200, 50_000
+# The network is trained on at most this many labelled documents of each class and this many characters of each; of a
+# longer text on parts of SAMPLE_PART characters from all over it.
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_PART = 1200, 50_000, 2000
 # Words of a window and from one window's start to the next: every word is in a window, windows overlap.
 WINDOW, STRIDE = 32, 24
 # Bytes of a word's piece, and characters that neighbouring pieces share.
@@ -345,7 +346,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     asked = common.stored(known.drop("text").join(said, "doc_id").distinct())
     chosen = common.sample_by_group(asked, "toxic", "h", SAMPLE_DOCS)
     chosen = F.broadcast(chosen.select("doc_id", "h", "toxic"))  # at most SAMPLE_DOCS rows of each class
-    picked = known.join(chosen, ["doc_id", "h"]).withColumn("text", F.substring("text", 1, SAMPLE_CHARS))
+    picked = known.join(chosen, ["doc_id", "h"]).withColumn("text", common.spread("text", "h", SAMPLE_CHARS, SAMPLE_PART))
     rows = picked.dropDuplicates(["doc_id", "h"]).orderBy("toxic", "h").collect()
     return train([r["text"] for r in rows], [int(r["toxic"] > 0) for r in rows])
 
