@@ -610,6 +610,8 @@ count(DISTINCT operacao) FILTER (tipo = 'Novo') AS entered, count(DISTINCT opera
         "SELECT faceta, opcao AS escolha FROM ch a WHERE picked AND EXISTS (SELECT 1 FROM ch b WHERE b.faceta = a.faceta AND NOT b.picked)",
         "text_search": f"WITH {PANEL} SELECT cod_tci, proponente FROM panel WHERE "
         + " AND ".join("(" + " OR ".join(f"regexp_matches({c}, '(?i)(^|[^\\p{{L}}-]){t}')" for c in ("num_convenio", "cod_tci", "proponente")) + ")" for t in ("prefeitura", "12")),
+        "indexed_search_updated": f"WITH {_snapshots([1, 2])} SELECT num_convenio_saci, txt_tomador_saci, fase_atual_calc FROM s2 WHERE "
+        + " AND ".join("(" + " OR ".join(f"regexp_matches(coalesce({c}, ''), '(?i)(^|[^\\p{{L}}-]){t}')" for c in ("num_convenio_saci", "txt_tomador_saci", "fase_atual_calc")) + ")" for t in ("prefeitura", "homolog")),
         "cross_filter": f"WITH {PANEL}, b AS (SELECT * FROM panel WHERE secretaria = 'BUILDING') "
         + " UNION ALL ".join(
             f"SELECT {q(g)} AS grafico, {g} AS grupo, count(*) AS qtd, coalesce(sum(vlr_repasse), 0)::{DEC} AS vlr FROM b WHERE {g} IS NOT NULL AND {w} GROUP BY {g}"
@@ -640,7 +642,7 @@ coalesce(vlr_repasse, 0)::{DEC} AS vlr_repasse, dias_ate_publicacao::DOUBLE AS d
     }
     out["diff_report"] = _report(out["diff_summary"])
     # Other ways to the same rows.
-    out |= {other: out[name] for other, name in (("enrich_split", "enrich"), ("bucketed_diff", "diff_detail"), ("bucketed_match", "match_snapshots"), ("digest_diff", "diff_detail"))}
+    out |= {other: out[name] for other, name in (("enrich_split", "enrich"), ("bucketed_diff", "diff_detail"), ("bucketed_match", "match_snapshots"), ("digest_diff", "diff_detail"), ("indexed_search", "text_search"))}
     return out
 
 

@@ -34,6 +34,7 @@ from milemark.sources.buckets import BucketedSnapshots
 from milemark.sources.changelog import ChangeLog
 from milemark.sources.digests import DigestedSnapshots
 from milemark.sources.store import SnapshotStore
+from milemark.sources.textindex import TextIndex, logged_keys
 from milemark.sources.validity import ValidityStore
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -497,6 +498,31 @@ def text_search(spark, sf):
     return E.text_search(T.panel(spark, sf), panel.SEARCH_COLUMNS, "PREFEITURA 12").select("cod_tci", "proponente")
 
 
+def indexed_search(spark, sf):
+    """The same through an inverted table."""
+    rows = T.panel(spark, sf)
+    index = TextIndex(spark, T.scratch(spark), panel.SEARCH_COLUMNS, ["cod_tci", "num_convenio"], rows_per_part=20_000)
+    index.build(rows)
+    return index.search(rows, "PREFEITURA 12").select("cod_tci", "proponente")
+
+
+INDEXED = ["num_convenio_saci", "txt_tomador_saci", "fase_atual_calc"]
+
+
+def indexed_search_updated(spark, sf):
+    """An inverted table of the first day, brought to the second by the change log."""
+    root = T.scratch(spark)
+    store = SnapshotStore(spark, f"{root}/store")
+    log = ChangeLog(store, f"{root}/log")
+    index = TextIndex(spark, f"{root}/index", INDEXED, rows_per_part=20_000)
+    for k in (1, 2):
+        store.write(T.snapshot(spark, sf, k), T.SNAPSHOTS[k - 1])
+    index.build(store.at(T.SNAPSHOTS[0]))
+    log.update()
+    index.update(store.at(T.SNAPSHOTS[1]), logged_keys(log.events()))
+    return index.search(store.at(T.SNAPSHOTS[1]), "prefeitura homolog").select(*INDEXED)
+
+
 CROSS = C.Selection(situacao=C.NORMAL, secretaria=["BUILDING"], drill="5-LOW")
 
 
@@ -634,7 +660,7 @@ def queries() -> dict[str, Query]:
         digest_diff, validity_runs, base_as_of, factored_keys, factored_totals, factored_rows,
         change_kpis, change_events, diff_detail, status_counters, diff_summary, diff_report, first_run_summary, legacy_diff,
         legacy_change_view, legacy_change_kpis, legacy_summary, works_overview, execution_kpis, stoppage_kpis,
-        column_profile, width_profile, snapshot_date, facets, sanitize, text_search, cross_filter, geo_filter,
+        column_profile, width_profile, snapshot_date, facets, sanitize, text_search, indexed_search, indexed_search_updated, cross_filter, geo_filter,
         cascade_filter, tender_filter, final_filter, table_page, deep_page, next_page, scoped_rows, filter_options, topk_other, group_topk,
         reason_topk, clean_text, parse_values, region_lookup, canonical_names, panel_rows,
     ]
