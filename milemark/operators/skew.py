@@ -1,9 +1,11 @@
 """Equi-joins that keep hot and missing keys from landing in one task.
 
 Rows without a key get a stand-in of their own that no other side can hold, so they spread like any others. Both sides
-of a join are plain exchanges on one column, which adaptive execution cuts at a hot key. Chains of joins on one key it
-cannot cut; for them, or without adaptive execution, ``rows_per_split`` counts the keys first and salts the hot ones.
-The result never depends on it.
+of a join are plain exchanges on one column, which adaptive execution cuts at a hot key. It looks at the size of the sides
+only, not of what they give: a few thousand blank keys on both sides are small and multiply to millions of rows. Blank keys
+are therefore always dealt out, the left rows over ``BLANK_PARTS`` parts and the right rows repeated for each. Chains of joins
+on one key cannot be cut by adaptive execution; for them, or without it, ``rows_per_split`` counts the keys first and salts
+the hot ones. The result never depends on it.
 """
 
 from __future__ import annotations
@@ -16,6 +18,12 @@ from pyspark.sql import functions as F
 
 # Where keys are counted, a key is split into about this many rows per task.
 ROWS_PER_SPLIT = 1_000_000
+# From this limit on a list of hot keys is short whatever the input and is broadcast: a row for each so many rows at most.
+BROADCAST_FROM = 100_000
+# Pieces of a side of a key that is hot on both sides: its rows are repeated for the pieces of the other one.
+GRID_PIECES = 32
+# Parts over which the rows with a blank key are dealt where keys are not counted.
+BLANK_PARTS = 128
 
 
 def hot_keys(df: DataFrame, key: str, rows_per_split: int = ROWS_PER_SPLIT) -> DataFrame:
@@ -34,12 +42,17 @@ def find_hot(df: DataFrame, key: str, rows_per_split: int | None = ROWS_PER_SPLI
     return None if rows_per_split is None else hot_keys(df, key, rows_per_split)
 
 
-def _with_splits(df: DataFrame, key: str, hot: DataFrame | None, out: str) -> DataFrame:
+def _listed(hot: DataFrame, rows_per_split: int) -> DataFrame:
+    """A list of hot keys as it is joined: broadcast where the limit keeps it short, else as its size turns out."""
+    # A row for each rows_per_split rows of the input at most: 100,000 for 100 billion rows and a limit of a million.
+    return F.broadcast(hot) if rows_per_split >= BROADCAST_FROM else hot
+
+
+def _with_splits(df: DataFrame, key: str, hot: DataFrame | None, out: str, rows_per_split: int = ROWS_PER_SPLIT) -> DataFrame:
     if hot is None:
         return df.withColumn(out, F.lit(1))
     renamed = hot.select(F.col("hot_key").alias("_hot"), F.col("splits").alias("_n"))
-    # A row for each rows_per_split rows of the input at most: 100,000 for 100 billion rows.
-    joined = df.join(F.broadcast(renamed), F.col(key) == F.col("_hot"), "left")
+    joined = df.join(_listed(renamed, rows_per_split), F.col(key) == F.col("_hot"), "left")
     return joined.withColumn(out, F.coalesce(F.col("_n"), F.lit(1))).drop("_hot", "_n")
 
 
@@ -56,6 +69,25 @@ def _pick(columns: list[str], n: Column) -> Column:
     return F.when(n > 1, F.pmod(_row_hash(columns), n).cast("int")).otherwise(F.lit(0))
 
 
+def _blank(key: str) -> Column:
+    """Whether a canonical key is that of a blank text."""
+    return F.coalesce(F.col(key).rlike(r"^t:\s*\z"), F.lit(False))
+
+
+def _every_part(key: str) -> Column:
+    """The parts that a right row is needed in: all for a blank key, else one."""
+    return F.explode(F.when(_blank(key), F.sequence(F.lit(0), F.lit(BLANK_PARTS - 1))).otherwise(F.array(F.lit(0))))
+
+
+def _one_part(columns: list[str], key: str) -> Column:
+    return F.when(_blank(key), F.pmod(_row_hash(columns), F.lit(BLANK_PARTS)).cast("int")).otherwise(F.lit(0))
+
+
+def _in_part(key: str, part: str) -> Column:
+    """A blank key with its part before it, so that it stays one column; keys must not begin with ``b:``."""
+    return F.when(_blank(key), F.concat(F.lit("b:"), F.col(part).cast("string"), F.lit(":"), F.col(key))).otherwise(F.col(key))
+
+
 def own_key(df: DataFrame, key: str) -> DataFrame:
     """A text key with nulls replaced by stand-ins that differ from row to row; keys must not begin with ``x:``."""
     stand_in = F.concat(F.lit("x:"), _row_hash(_hashable(df)).cast("string"))
@@ -80,13 +112,19 @@ def hot_grid(
         "hot_key", "m.owner", "m.hot_text", F.ceil(F.col("m.n") / rows_per_split).cast("int").alias("parts")
     )
     both = hot_keys(left, key, rows_per_split).join(most, "hot_key", "full")
-    one = lambda c: F.coalesce(F.col(c), F.lit(1)).alias(c)
-    return both.select("hot_key", one("splits"), one("parts"), "owner", "hot_text")
+    s, p = (F.coalesce(F.col(c), F.lit(1)) for c in ("splits", "parts"))
+    splits, parts = _bounded(s, p).alias("splits"), _bounded(p, s).alias("parts")
+    return both.select("hot_key", splits, parts, "owner", "hot_text")
+
+
+def _bounded(own: Column, other: Column) -> Column:
+    """Pieces of one side: where the other is cut as well, no more than keep the repeated rows few."""
+    return F.when(other > 1, F.least(own, F.lit(GRID_PIECES))).otherwise(own)
 
 
-def _with_grid(df: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+def _with_grid(df: DataFrame, key: str, hot: DataFrame, rows_per_split: int) -> DataFrame:
     renamed = hot.select(*[F.col(c).alias(f"_g_{c}") for c in ("hot_key", "splits", "parts", "owner", "hot_text")])
-    joined = df.join(F.broadcast(renamed), F.col(key) == F.col("_g_hot_key"), "left")
+    joined = df.join(_listed(renamed, rows_per_split), F.col(key) == F.col("_g_hot_key"), "left")
     one = {c: F.coalesce(F.col(c), F.lit(1)) for c in ("_g_splits", "_g_parts")}
     return joined.withColumns(one)
 
@@ -99,8 +137,11 @@ def _cut(text: Column) -> Column:
 _GRID = ["_g_hot_key", "_g_splits", "_g_parts", "_g_owner", "_g_hot_text"]
 
 
-def spread_left(df: DataFrame, key: str, hot: DataFrame | None, salt: str, text: Column | None = None) -> DataFrame:
+def spread_left(
+    df: DataFrame, key: str, hot: DataFrame | None, salt: str, text: Column | None = None, rows_per_split: int = ROWS_PER_SPLIT
+) -> DataFrame:
     """Left side of a chain of joins on one text key: a hot key's rows get different salts, missing keys stand-ins.
+    Without a list of hot keys those are the blank ones.
 
     Where the key is hot in a source, a row is repeated for each part of the source's rows; ``_owner`` names the source
     then, and ``matched`` drops the copies that meet none of them.
@@ -108,22 +149,25 @@ def spread_left(df: DataFrame, key: str, hot: DataFrame | None, salt: str, text:
     columns = _hashable(df)
     own = own_key(df, key)
     if hot is None:
-        return own.withColumns({salt: F.lit(0), "_owner": F.lit(None).cast("string")})
-    split = _with_grid(own, key, hot).withColumn("_a", _pick(columns, F.col("_g_splits")))
+        return own.withColumns({salt: _one_part(columns, key), "_owner": F.lit(None).cast("string")})
+    split = _with_grid(own, key, hot, rows_per_split).withColumn("_a", _pick(columns, F.col("_g_splits")))
     cut = _cut(F.lit(None).cast("string") if text is None else text)
     split = split.withColumn("_owner", F.when(cut, F.col("_g_owner")))
     split = split.withColumn("_b", F.explode(F.sequence(F.lit(0), F.when(cut, F.col("_g_parts")).otherwise(1) - 1)))
     return split.withColumn(salt, F.col("_a") * F.col("_g_parts") + F.col("_b")).drop("_a", "_b", *_GRID)
 
 
-def spread_right(df: DataFrame, key: str, hot: DataFrame | None, salt: str, tag: str = "", text: Column | None = None) -> DataFrame:
+def spread_right(
+    df: DataFrame, key: str, hot: DataFrame | None, salt: str, tag: str = "", text: Column | None = None,
+    rows_per_split: int = ROWS_PER_SPLIT,
+) -> DataFrame:
     """A source of the same chain: its rows are dealt to the parts of the hot keys that it owns (``tag``) and repeated for
     every other split."""
     known = df.where(F.col(key).isNotNull())
     if hot is None:
-        return known.withColumn(salt, F.lit(0))
+        return known.withColumn(salt, _every_part(key))
     columns = _hashable(df)
-    split = _with_grid(known, key, hot)
+    split = _with_grid(known, key, hot, rows_per_split)
     own = F.when(_cut(F.lit(None).cast("string") if text is None else text), _pick(columns, F.col("_g_parts"))).otherwise(0)
     all_ = F.sequence(F.lit(0), F.col("_g_parts") - 1)
     split = split.withColumn("_b", F.explode(F.when(F.coalesce(F.col("_g_owner") == tag, F.lit(False)), F.array(own)).otherwise(all_)))
@@ -146,14 +190,15 @@ def lookup_join(left: DataFrame, right: DataFrame, on: Mapping[str, str], rows_p
     complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on])
     lside = left.withColumn("_h", F.when(complete, F.xxhash64(*on)))
     hot = find_hot(lside.select("_h"), "_h", rows_per_split)
-    lside = _with_splits(lside, "_h", hot, "_splits").withColumn("_salt", _pick(_hashable(left), F.col("_splits")))
+    limit = rows_per_split or ROWS_PER_SPLIT
+    lside = _with_splits(lside, "_h", hot, "_splits", limit).withColumn("_salt", _pick(_hashable(left), F.col("_splits")))
     lside = lside.withColumn("_h", F.coalesce(F.col("_h"), _row_hash(_hashable(left)))).drop("_splits")
     known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on.values()])
     rside = right.where(known).withColumn("_rh", F.xxhash64(*on.values()))
     if hot is None:
         rside = rside.withColumn("_rsalt", F.lit(0))
     else:
-        rside = _with_splits(rside, "_rh", hot, "_splits")
+        rside = _with_splits(rside, "_rh", hot, "_splits", limit)
         rside = rside.withColumn("_rsalt", F.explode(F.sequence(F.lit(0), F.col("_splits") - 1))).drop("_splits")
     cond = lside["_h"] == rside["_rh"]
     if hot is not None:
@@ -191,14 +236,20 @@ def skew_join(
     kept = left.withColumn("_own", F.col(left_key))
     lside = own_key(kept, left_key)
     if rows_per_split is None:
-        joined = lside.join(right, lside[left_key] == right[right_key], how)
+        lside = lside.withColumn("_la", _one_part(_hashable(left), left_key)).withColumn(left_key, _in_part(left_key, "_la"))
+        # The right key may be shown too and is not changed.
+        rside = right.withColumn("_ra", _every_part(right_key)).withColumn("_rpart", _in_part(right_key, "_ra"))
+        joined = lside.join(rside, lside[left_key] == rside["_rpart"], how)
         return joined.withColumn(left_key, F.col("_own")).select(*lcols, *rcols)
 
-    lside = _with_splits(_with_splits(lside, left_key, hot_l, "_ls"), left_key, hot_r, "_rs")
-    lside = lside.withColumn("_la", _pick(_hashable(left), F.col("_ls"))).withColumn(
+    def with_pieces(df: DataFrame, key: str, l: str, r: str) -> DataFrame:
+        both = _with_splits(_with_splits(df, key, hot_l, "_sl", rows_per_split), key, hot_r, "_sr", rows_per_split)
+        return both.withColumns({l: _bounded(F.col("_sl"), F.col("_sr")), r: _bounded(F.col("_sr"), F.col("_sl"))}).drop("_sl", "_sr")
+
+    lside = with_pieces(lside, left_key, "_ls", "_rs").withColumn("_la", _pick(_hashable(left), F.col("_ls"))).withColumn(
         "_lb", F.explode(F.sequence(F.lit(0), F.col("_rs") - 1))
     )
-    rside = _with_splits(_with_splits(right, right_key, hot_l, "_ls"), right_key, hot_r, "_rs2")
+    rside = with_pieces(right, right_key, "_ls", "_rs2")
     rside = (
         rside.withColumn("_rb", _pick(_hashable(right), F.col("_rs2")))
         .withColumn("_ra", F.explode(F.sequence(F.lit(0), F.col("_ls") - 1)))

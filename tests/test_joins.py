@@ -229,3 +229,29 @@ def test_restrict_previous_blank_equals_null(spark):
     prev = spark.createDataFrame([("", "a", 1), (None, "b", 2), ("3", "c", 3)], "num_convenio string, cod_tci string, v int")
     cur = spark.createDataFrame([(None, "a"), ("", "b"), ("3", "x")], "num_convenio string, cod_tci string")
     assert sorted(r.v for r in J.restrict_previous(prev, cur).collect()) == [1, 2]
+
+
+def test_blank_keys_are_dealt_out_without_counting(spark):
+    left = spark.range(2000).select("id", F.lit("").alias("a"))
+    right = spark.createDataFrame([("", 1), ("", 2), ("7", 3)], "b string, v int")
+    joined = J.tolerant_join(left, right, "a", "b")
+    assert joined.count() == 4000 and joined.where("a = b").select("id", "v").distinct().count() == 4000
+    keyed = left.select("id", F.lit("t:").alias("k"))
+    dealt = skew.spread_left(keyed, "k", None, "s").groupBy("s").count().collect()
+    assert len(dealt) == skew.BLANK_PARTS and max(r["count"] for r in dealt) < 60
+    sides = spark.createDataFrame([("t:", 1), ("n:7.", 2), (None, 3)], "k string, v int")
+    assert skew.spread_right(sides, "k", None, "s").count() == skew.BLANK_PARTS + 1
+
+
+def test_a_key_hot_on_both_sides_has_a_bounded_grid(spark):
+    rows = spark.range(600).select(F.lit("t:").alias("k"))
+    grid = skew.hot_grid(rows, {"s": (rows, None)}, "k", 3).collect()
+    assert [(r["splits"], r["parts"]) for r in grid] == [(skew.GRID_PIECES, skew.GRID_PIECES)]
+    alone = skew.hot_grid(rows, {"s": (rows.limit(0), None)}, "k", 3).collect()
+    assert [(r["splits"], r["parts"]) for r in alone] == [(200, 1)]
+
+
+def test_a_long_list_of_hot_keys_is_not_broadcast(spark):
+    rows = spark.range(100).select(F.col("id").cast("string").alias("k"))
+    plan = lambda n: skew._with_splits(rows, "k", skew.hot_keys(rows, "k", n), "s", n)._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan(10**6) and "strategy=broadcast" not in plan(3)
