@@ -52,7 +52,7 @@ def join_sources(sources: Mapping[str, DataFrame], cfg: C.Settings, rows_per_spl
     """Monitored contracts with the milestones and documents of the other sources.
 
     All sources meet the contracts on (canonical key, salt): the contracts are exchanged once for the whole chain, and
-    missing keys are spread over many tasks. ``rows_per_split`` counts the keys of contracts and sources first (for
+    missing and blank keys are spread over many tasks. ``rows_per_split`` counts the keys of contracts and sources first (for
     stored tables): a hot contract key is cut by its contracts and a hot source key by the rows of the source, the
     other side repeated. Duplicate source keys multiply rows; ``joins.check_keys`` tells afterwards.
     """
@@ -68,7 +68,8 @@ def join_sources(sources: Mapping[str, DataFrame], cfg: C.Settings, rows_per_spl
             for tag, c in SOURCE_KEYS.items()
         }
         hot = skew.hot_grid(base.select("_key"), keys, "_key", rows_per_split)
-    out = skew.spread_left(base, "_key", hot, "_salt", F.col("num_convenio").cast("string"))
+    limit = rows_per_split or skew.ROWS_PER_SPLIT
+    out = skew.spread_left(base, "_key", hot, "_salt", F.col("num_convenio").cast("string"), limit)
 
     def side(tag: str, columns: Mapping[str, str]) -> DataFrame:
         df, key = sources[tag], SOURCE_KEYS[tag]
@@ -76,7 +77,7 @@ def join_sources(sources: Mapping[str, DataFrame], cfg: C.Settings, rows_per_spl
             canonical_key(F.col(key)).alias("_key"), F.col(key).cast("string").alias(f"_{tag}"),
             *[F.col(s).alias(n) for n, s in columns.items()],
         )
-        return skew.spread_right(picked, "_key", hot, "_salt", tag, F.col(f"_{tag}"))
+        return skew.spread_right(picked, "_key", hot, "_salt", tag, F.col(f"_{tag}"), limit)
 
     def attach(left: DataFrame, right: DataFrame, tag: str) -> DataFrame:
         on = (left["_key"] == right["_key"]) & (left["_salt"] == right["_salt"])
@@ -93,15 +94,11 @@ def join_sources(sources: Mapping[str, DataFrame], cfg: C.Settings, rows_per_spl
     events = events.groupBy("_key").agg(F.collect_list(F.struct(*[F.col(s).alias(n) for n, s in event.items()])).alias("_events"))
     docs = {n: c for n, c in C.DOC_SOURCE_COLUMNS.items()}
     nine = {n: c for n, c in docs.items() if n != "doc_trabalho_social"}
-    out = attach(out, side("pbi", {
-        "situacao_suspensiva": "situacao_da_analise_suspensiva",
-        "dt_vencimento_suspensiva": "vencimento_da_suspensiva",
-    }), "pbi")
     out = attach(out, side("tdb", {
         "dt_lae": "dte_primeira_data_lae", "dt_vrpl": "dte_vrpl", "dt_aio": "dte_aio",
     }), "tdb")
     # Joined once; publication and homologation are then unfolded on their own, as two sources would match.
-    out = attach(out, skew.spread_right(events, "_key", hot, "_salt"), "licitacao")
+    out = attach(out, skew.spread_right(events, "_key", hot, "_salt", rows_per_split=limit), "licitacao")
     for name in event:
         out = out.withColumn(name, F.explode_outer(F.col("_events").getField(name)))
     out = out.drop("_events")
@@ -111,6 +108,11 @@ def join_sources(sources: Mapping[str, DataFrame], cfg: C.Settings, rows_per_spl
     }), "s29")
     out = attach(out, side("sda", {f"a_{n}": c for n, c in docs.items()}), "sda")
     out = attach(out, side("sdn", {f"b_{n}": c for n, c in nine.items()}), "sdn")
+    # Last: of the sources with blank keys, which multiply contracts without a number, it is the one that matches them.
+    out = attach(out, side("pbi", {
+        "situacao_suspensiva": "situacao_da_analise_suspensiva",
+        "dt_vencimento_suspensiva": "vencimento_da_suspensiva",
+    }), "pbi")
     return out.select(
         *_SACI, "situacao_suspensiva", "dt_vencimento_suspensiva", "dt_retirada_suspensiva", "dt_lae",
         "dt_pub_licitacao", "dt_homolog_licitacao", "dt_vrpl", "dt_aio", "perspectiva_de_retirada_da_suspensiva",
