@@ -12,12 +12,14 @@ from milemark.functions.keys import KEY, record_key
 from milemark.sources.store import DAY, read_or_none
 
 BUCKET_BYTES = 128 << 20
+# Rows that one task sorts when a day is stored or two days meet; the wide base takes some 2 KB a row there.
+BUCKET_ROWS = 250_000
 _MANIFEST = f"fields array<string>, buckets int, location string, {DAY} string"
 
 
-def bucket_count(input_bytes: int, per_bucket: int = BUCKET_BYTES) -> int:
-    """Buckets for a day of so many bytes: a power of two, so that stores of different size can still be joined."""
-    return 1 << (max(1, -(-input_bytes // per_bucket)) - 1).bit_length()
+def bucket_count(size: int, per_bucket: int = BUCKET_BYTES) -> int:
+    """Buckets for a day of so many bytes (or rows, with rows ``per_bucket``): a power of two, so that stores of different size can still be joined."""
+    return 1 << (max(1, -(-size // per_bucket)) - 1).bit_length()
 
 
 class BucketedSnapshots:
@@ -26,10 +28,16 @@ class BucketedSnapshots:
     ``path/manifest`` names the place, header and number of buckets of every day and is written last; a day that is
     stored again gets a new place, so that readers see the old or the new one. The tables are registered in the
     session's catalog when they are read first, so a new session needs the path only.
+
+    A day has ``buckets`` buckets, or more where they would hold over ``rows_per_bucket`` rows: a power of two, for which
+    its rows are counted first. Days with other numbers of buckets meet with an exchange.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int, spec: C.DiffSpec = C.CONTRACT_DIFF):
+    def __init__(
+        self, spark: SparkSession, path: str, buckets: int, spec: C.DiffSpec = C.CONTRACT_DIFF, rows_per_bucket: int = BUCKET_ROWS
+    ):
         self.spark, self.path, self.buckets, self.spec = spark, path, buckets, spec
+        self.rows_per_bucket = rows_per_bucket
 
     def write(self, df: DataFrame, day: str) -> None:
         """Stores a day as text with its record key; a row without one fails the write, repeated keys the comparison."""
@@ -38,12 +46,14 @@ class BucketedSnapshots:
         if self.spec.skip_blank_keys:
             keyed = keyed.where(F.col(KEY).isNotNull())
         text = keyed.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns], F.coalesce(KEY, missing).alias(KEY))
+        # Only the columns of the key are read for the count.
+        buckets = max(self.buckets, bucket_count(keyed.select(KEY).count(), self.rows_per_bucket))
         version = uuid.uuid4().hex
         location = f"{self.path}/rows/{day}/{version}"
         # Dealt out as the buckets are: every task writes one file of one bucket.
-        rows = text.repartition(self.buckets, KEY).write.bucketBy(self.buckets, KEY).sortBy(KEY)
+        rows = text.repartition(buckets, KEY).write.bucketBy(buckets, KEY).sortBy(KEY)
         rows.option("path", location).saveAsTable(_table(location))
-        listed = self.spark.createDataFrame([(df.columns, self.buckets, location)], _MANIFEST.rsplit(",", 1)[0])
+        listed = self.spark.createDataFrame([(df.columns, buckets, location)], _MANIFEST.rsplit(",", 1)[0])
         listed.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/{DAY}={day}")
 
     def _listed(self) -> dict:

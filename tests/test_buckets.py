@@ -73,3 +73,14 @@ def test_bad_keys(spark, tmp_path):
 def test_buckets_follow_the_size():
     mb = 1 << 20
     assert [bucket_count(n * mb, 128 * mb) for n in (0, 1, 128, 129, 256, 257, 10**6)] == [1, 1, 1, 2, 2, 4, 8192]
+
+
+def test_buckets_grow_with_the_rows(spark, tmp_path):
+    store = BucketedSnapshots(spark, str(tmp_path / "s"), 2, rows_per_bucket=50)
+    for k, name in ((1, "2026-01-01"), (2, "2026-01-02")):
+        store.write(day(spark, k), name)
+    a, b = store.at("2026-01-01"), store.at("2026-01-02")
+    sizes = a.groupBy(F.input_file_name()).count().collect()
+    assert len(sizes) == 8 and max(r["count"] for r in sizes) < 70
+    found = D.diff_pair(a, b)
+    assert rows_of(found) == rows_of(D.diff_pair(day(spark, 1), day(spark, 2))) and "Exchange" not in plan(found)
