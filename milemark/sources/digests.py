@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from milemark import config as C
@@ -33,17 +33,22 @@ class DigestedSnapshots:
         self.rows_path, self.digests_path, self.manifest_path = f"{path}/rows", f"{path}/digests", f"{path}/manifest"
 
     def write(self, df: DataFrame, day: str) -> None:
-        """Stores a day as text: one exchange, in which the keys are checked too, and an aggregate of what was written."""
+        """Stores a day as text where its rows lie: only its keys, read off what was written, are exchanged to check them.
+
+        Every task writes a file for each part that it has rows of. A missing or repeated key fails before the day is listed.
+        """
         missing = F.raise_error(F.lit(f"snapshot row without a key ({', '.join(self.spec.key_candidates)})"))
         keyed = df.withColumn(KEY, record_key(df, self.spec.key_candidates))
         if self.spec.skip_blank_keys:
             keyed = keyed.where(F.col(KEY).isNotNull())
         text = keyed.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns], F.coalesce(KEY, missing).alias(KEY))
-        dealt = text.withColumn(PART, F.pmod(F.xxhash64(KEY), F.lit(self.parts)).cast("int")).repartition(self.parts, PART)
-        counted = dealt.withColumn("_n", F.count("*").over(Window.partitionBy(PART, KEY)))
-        once = f"case when _n > 1 then raise_error(concat('duplicated snapshot key: ', {KEY})) else true end"
+        dealt = text.withColumn(PART, F.pmod(F.xxhash64(KEY), F.lit(self.parts)).cast("int"))
         version = uuid.uuid4().hex
-        counted.where(F.expr(once)).drop("_n").write.partitionBy(PART).parquet(f"{self.rows_path}/{version}")
+        dealt.write.partitionBy(PART).parquet(f"{self.rows_path}/{version}")
+        counted = self._rows(version, []).groupBy(KEY).agg(F.count("*").alias("_n"))
+        # One condition on both, or the failing half would be pushed below the count.
+        repeated = f"case when _n > 1 then raise_error(concat('duplicated snapshot key: ', {KEY})) else false end"
+        counted.where(F.expr(repeated)).count()
         self._digests(version, df.columns).write.parquet(f"{self.digests_path}/{version}")
         listed = self.spark.createDataFrame([(df.columns, self.parts, version)], _MANIFEST.rsplit(",", 1)[0])
         listed.coalesce(1).write.mode("overwrite").parquet(f"{self.manifest_path}/{DAY}={day}")

@@ -108,3 +108,14 @@ def test_bad_keys_are_refused_when_stored(spark, tmp_path):
     with pytest.raises(PySparkException, match="without a key"):
         store.write(one.withColumns({"num_convenio_saci": F.lit(" "), "cod_tci_saci": F.lit(None).cast("string")}), A)
     assert store.days() == []
+
+
+def test_whole_rows_are_not_exchanged_when_stored(spark, tmp_path):
+    store = DigestedSnapshots(spark, str(tmp_path / "s"), 4)
+    day = base(spark, 400).repartition(3)
+    store.write(day, A)
+    part = F.pmod(F.xxhash64("num_convenio_saci"), F.lit(4)).cast("int").alias("p")
+    held = day.select(F.spark_partition_id().alias("task"), part).distinct().count()
+    files = [f for v in (tmp_path / "s" / "rows").iterdir() for f in v.rglob("*.parquet")]
+    # A file for each part of each task: the rows were written where they lay.
+    assert len(files) == held > 4 and rows_of(store.at(A).drop("_chave")) == rows_of(day)
