@@ -91,14 +91,15 @@ def join_sources(sources: Mapping[str, DataFrame], cfg: C.Settings, rows_per_spl
     # One row a canonical key: the events of each written form of it, of which there are a few.
     event = {"dt_pub_licitacao": "dte_publicacao_licitacao", "dt_homolog_licitacao": "dte_homologacao_licitacao"}
     events = aggregates.first_events(sources["licitacao"]).withColumn("_key", canonical_key(F.col("num_convenio")))
-    events = events.groupBy("_key").agg(F.collect_list(F.struct(*[F.col(s).alias(n) for n, s in event.items()])).alias("_events"))
+    # Dealt out before they are grouped, so that the exchange of the grouping is that of the join.
+    events = skew.spread_right(events, "_key", hot, "_salt", rows_per_split=limit).groupBy("_key", "_salt").agg(F.collect_list(F.struct(*[F.col(s).alias(n) for n, s in event.items()])).alias("_events"))
     docs = {n: c for n, c in C.DOC_SOURCE_COLUMNS.items()}
     nine = {n: c for n, c in docs.items() if n != "doc_trabalho_social"}
     out = attach(out, side("tdb", {
         "dt_lae": "dte_primeira_data_lae", "dt_vrpl": "dte_vrpl", "dt_aio": "dte_aio",
     }), "tdb")
     # Joined once; publication and homologation are then unfolded on their own, as two sources would match.
-    out = attach(out, skew.spread_right(events, "_key", hot, "_salt", rows_per_split=limit), "licitacao")
+    out = attach(out, events, "licitacao")
     for name in event:
         out = out.withColumn(name, F.explode_outer(F.col("_events").getField(name)))
     out = out.drop("_events")
