@@ -16,6 +16,9 @@ from milemark.sources.store import read_or_none
 WORD, RECORD, PART, STEP = "palavra", "registro", "parte", "passo"
 # Characters of a word that are stored; a longer term is looked up by as many and then compared in the texts.
 WIDTH = 40
+# Parts of a run at most, unless one would hold more than a full part's words. Each is a task, a folder and a file, and each
+# task before the exchange writes to all of them.
+MOST_PARTS, FULL_PART = 256, 5_000_000
 # Where a term may begin (not after a letter or a hyphen) and what follows there up to white space, which no term holds.
 _SPACE = r"\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 _BEGINNING = rf"(?<![\p{{L}}-])(?=([^{_SPACE}]{{1,{WIDTH}}}))"
@@ -39,6 +42,12 @@ def beginnings(columns: Sequence[str]) -> Column:
     return F.array_distinct(F.transform(F.concat(*found), folded))
 
 
+def part_count(words: int, rows_per_part: int) -> int:
+    """Parts for so many words: of ``rows_per_part``, or of more where these would be over ``MOST_PARTS``."""
+    parts = lambda n: max(1, -(-words // n))
+    return min(parts(rows_per_part), max(MOST_PARTS, parts(FULL_PART)))
+
+
 def logged_keys(events: DataFrame, spec: C.DiffSpec = C.CONTRACT_DIFF) -> DataFrame:
     """Keys of the records that a change log names, as ``TextIndex.update`` takes them."""
     shown = (spec.key_output, *(["cod_saci"] if spec.code_field else []))
@@ -48,6 +57,7 @@ def logged_keys(events: DataFrame, spec: C.DiffSpec = C.CONTRACT_DIFF) -> DataFr
 class TextIndex:
     """``path/words`` holds (beginning of a word, record) sorted by word, in parts; ``path/spans`` the first and last word
     of each part, ``path/touched`` the records of each update and ``path/manifest`` the updates in their order.
+    ``path/found`` keeps the words of each run as they were found, before they are sorted.
 
     A search reads the parts whose span meets a term, as row groups that hold it, and compares the texts of the records
     found, so it gives the rows of ``explore.text_search``. A frequent word lies in as many parts as its records fill.
@@ -58,12 +68,12 @@ class TextIndex:
 
     def __init__(
         self, spark: SparkSession, path: str, columns: Sequence[str],
-        candidates: Sequence[str] = C.CONTRACT_DIFF.key_candidates, rows_per_part: int = 5_000_000,
+        candidates: Sequence[str] = C.CONTRACT_DIFF.key_candidates, rows_per_part: int = FULL_PART,
     ):
         self.spark, self.columns, self.candidates = spark, list(columns), tuple(candidates)
         self.rows_per_part = rows_per_part
         self.words_path, self.spans_path = f"{path}/words", f"{path}/spans"
-        self.touched_path, self.manifest_path = f"{path}/touched", f"{path}/manifest"
+        self.touched_path, self.manifest_path, self.found_path = f"{path}/touched", f"{path}/manifest", f"{path}/found"
 
     def _steps(self) -> dict[int, str]:
         manifest = read_or_none(self.spark, self.manifest_path, _MANIFEST)
@@ -73,7 +83,7 @@ class TextIndex:
         return F.coalesce(record_key(df, self.candidates), F.lit(""))
 
     def build(self, df: DataFrame) -> None:
-        """Indexes a whole table: one pass that counts, one that writes, with an exchange by ranges of words."""
+        """Indexes a whole table: one pass that finds its words, one that writes them, with an exchange by ranges of words."""
         if self._steps():
             raise ValueError("the index already holds words; build in a new folder")
         self._add(df.select(self._key(df).alias(RECORD), *[F.col(f"`{c}`") for c in self.columns]), uuid.uuid4().hex, 0)
@@ -95,8 +105,11 @@ class TextIndex:
         self._add(rows.join(touched, RECORD, "left_semi"), run, step)
 
     def _add(self, rows: DataFrame, run: str, step: int) -> None:
-        words = rows.select(RECORD, F.explode(beginnings([c for c in rows.columns if c != RECORD])).alias(WORD))
-        parts = max(1, -(-words.count() // self.rows_per_part))
+        # Written once: the count, the sample that gives the ranges and the exchange would each find the words again.
+        found = rows.select(RECORD, F.explode(beginnings([c for c in rows.columns if c != RECORD])).alias(WORD))
+        found.write.parquet(f"{self.found_path}/{run}")
+        words = self.spark.read.schema(f"{RECORD} string, {WORD} string").parquet(f"{self.found_path}/{run}")
+        parts = part_count(words.count(), self.rows_per_part)
         dealt = words.repartitionByRange(parts, WORD, RECORD).withColumn(PART, F.spark_partition_id())
         # The part comes first, or the writer would sort by it again and lose the order of words.
         ordered = dealt.withColumn(STEP, F.lit(step)).sortWithinPartitions(PART, WORD, RECORD)
@@ -111,7 +124,7 @@ class TextIndex:
     def entries(self, term: str) -> DataFrame:
         """Stored words that begin like the term, with record and step, void ones too; only parts that may hold some are read.
 
-        The parts' numbers come to the driver; there is one for each ``rows_per_part`` words.
+        The parts' numbers come to the driver; there are as many as ``part_count`` gives for each run.
         """
         schema = f"{WORD} string, {RECORD} string, {STEP} int"
         runs = list(self._steps().values())

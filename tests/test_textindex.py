@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from milemark.operators import explore
+from milemark.sources import textindex
 from milemark.operators.diff import diff_history
 from milemark.sources.store import merge
 from milemark.sources.textindex import TextIndex, folded, logged_keys
@@ -115,3 +116,19 @@ def test_fold_is_at_least_as_wide_as_the_search(spark):
     alike = pairs.where(F.expr("c rlike concat('(?iu)^', d, '$')"))
     assert alike.count() > 5000
     assert alike.where(F.col("f") != folded(F.col("d"))).count() == 0
+
+
+def test_parts_are_bounded(spark, tmp_path, monkeypatch):
+    """Small parts grow where they would be too many, and none beyond a full one; the rows found are the same."""
+    monkeypatch.setattr(textindex, "MOST_PARTS", 6)
+    df = table(spark, TEXTS * 20).coalesce(1).cache()
+    index = TextIndex(spark, str(tmp_path), ["a", "b"], rows_per_part=10)
+    index.build(df)
+    words = spark.read.parquet(f"{index.words_path}/*")
+    assert words.count() > 2000 and 3 <= words.select("parte").distinct().count() <= 6
+    # The words are found once; the sample and the exchange read what was written.
+    staged = spark.read.parquet(f"{index.found_path}/*")
+    assert staged.count() == words.count()
+    for query in ("sao", "12", "straße", "w" * 60 + "f"):
+        assert found(index.search(df, query)) == found(explore.text_search(df, ["a", "b"], query)), query
+    assert textindex.part_count(10**12, 20_000) == 10**12 // textindex.FULL_PART and textindex.part_count(0, 9) == 1
