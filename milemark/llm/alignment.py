@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import os
 
 import numpy as np
@@ -81,6 +82,40 @@ def align(a: list[int], b: list[int]) -> tuple[list[tuple[int, int, int, int]],
     return runs, left, right
 
 
+class Table:
+    """The bytes of a vocabulary's tokens, one after the other."""
+
+    def __init__(self, pieces: list[bytes]):
+        self._bytes = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+        self._sizes = np.array([len(p) for p in pieces], dtype=np.int64)
+        self._starts = np.cumsum(self._sizes) - self._sizes
+
+    def ends(self, ids: np.ndarray, whole: np.ndarray) -> np.ndarray | None:
+        """Where each token ends in a text of these bytes; None if the tokens are not these bytes."""
+        sizes = self._sizes[ids]
+        ends = np.cumsum(sizes)
+        if len(ids) == 0 or ends[-1] != len(whole):
+            return None
+        at = np.repeat(self._starts[ids] - ends + sizes, sizes) + np.arange(len(whole))
+        return ends if np.array_equal(self._bytes[at], whole) else None
+
+
+class Words(dict):
+    """Ids of words by B, encoded once and kept; long ones are not kept."""
+
+    def __init__(self, model):
+        super().__init__()
+        self._model = model
+
+    def __missing__(self, word: str) -> list[int]:
+        ids = self._model.encode(word, num_threads=1)
+        if len(word) <= 64:
+            if len(self) >= tokens.CACHE:
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class Pair:
     """Both tokenizers with the bytes of their tokens; one for each worker process."""
 
@@ -99,61 +134,43 @@ class Pair:
         pieces = [self._b.id_to_piece(k) for k in range(self._b.get_piece_size())]
         # No piece spans the start of a word: then a text may be encoded word by word.
         self._by_word = not any(SPACE in p.lstrip(SPACE) for p in pieces)
-        self._words: dict[str, list[int]] = {}
+        self._words = Words(self._b)
         self.b_bytes = [
             bytes([int(p[3:5], 16)]) if self._b.is_byte(k) else p.replace(SPACE, " ").encode() for k, p in enumerate(pieces)
         ]
-        self.a_sizes, self.b_sizes = (np.array([len(x) for x in table]) for table in (self.a_bytes, self.b_bytes))
+        self._a_table, self._b_table = Table(self.a_bytes), Table(self.b_bytes)
         many = range(max(len(self.a_bytes), len(self.b_bytes)))
         # An id and what follows it: within a side, between the sides, after a group.
-        self.within, self.between, self.after = ([f"{k}{mark}" for k in many] for mark in ",|;")
+        self.said = [f"{k}{mark}" for k in range(max(len(self.a_bytes), len(self.b_bytes))) for mark in ",|;"]
 
     def _b_ids(self, text: str) -> list[int]:
         """Ids by B, equal to those of the whole text: cut before every space, if none follows another or ends the text."""
         parts = text.split(" ") if self._by_word else [""]
         if "" in parts:
             return self._b.encode(text, num_threads=1)
-        words, out = self._words, []
-        for part in parts:
-            ids = words.get(part)
-            if ids is None:
-                ids = self._b.encode(part, num_threads=1)
-                if len(part) <= 64:
-                    if len(words) >= tokens.CACHE:
-                        words.clear()
-                    words[part] = ids
-            out += ids
-        return out
-
-    def encode(self, text: str | None) -> tuple[list[int], list[int]]:
-        """Ids of a text by A (of a space and the text) and by B; none where the tokens' bytes do not give it back."""
+        return list(itertools.chain.from_iterable(map(self._words.__getitem__, parts)))
+
+    def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+        """Ids of a text by A (of a space and the text) and by B, and where their tokens end; none where the tokens' bytes
+        do not give it back."""
         if not text:
-            return [], []
-        a = np.frombuffer(self._a.encode(" " + text), dtype="<u4").tolist()
-        b = self._b_ids(text)
-        whole = (" " + text).encode("utf-8", "surrogatepass")
-        same = b"".join(map(self.a_bytes.__getitem__, a)) == whole == b"".join(map(self.b_bytes.__getitem__, b))
-        return (a, b) if same else ([], [])
-
-    def groups_text(self, runs: list[tuple[int, int, int, int]], a: list[int], b: list[int]) -> str:
-        """``a1,a2|b1;a3|b2,b3``: the ids of each group."""
-        within, between, after = self.within, self.between, self.after
-        out = []
-        for i, j, n, m in runs:
-            if m:
-                out += [within[k] for k in a[i : i + n - 1]]
-                out.append(between[a[i + n - 1]])
-                out += [within[k] for k in b[j : j + m - 1]]
-                out.append(after[b[j + m - 1]])
-            elif n == 1:
-                out.append(between[a[i]])
-                out.append(after[b[j]])
-            else:
-                both = [""] * (2 * n)
-                both[::2] = map(between.__getitem__, a[i : i + n])
-                both[1::2] = map(after.__getitem__, b[j : j + n])
-                out += both
-        return "".join(out)[:-1]
+            return None
+        ids = np.frombuffer(self._a.encode(" " + text), dtype="<u4").astype(np.int64)
+        others = np.array(self._b_ids(text), dtype=np.int64)
+        whole = np.frombuffer((" " + text).encode("utf-8", "surrogatepass"), dtype=np.uint8)
+        a_ends, b_ends = self._a_table.ends(ids, whole), self._b_table.ends(others, whole)
+        return None if a_ends is None or b_ends is None else (ids, others, a_ends, b_ends)
+
+    def groups_text(self, ids: np.ndarray, others: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray) -> str:
+        """``a1,a2|b1;a3|b2,b3``: the ids of each group, of which the marked tokens are the last of their side."""
+        a_after, b_after = np.flatnonzero(a_ends) + 1, np.flatnonzero(b_ends) + 1
+        out = np.empty(len(ids) + len(others), dtype=np.int64)
+        # A token of A comes after those of B in the groups before its own, one of B after those of A up to its own.
+        group = np.cumsum(a_ends) - a_ends
+        out[np.arange(len(ids)) + np.concatenate([[0], b_after])[group]] = ids * 3 + a_ends
+        group = np.cumsum(b_ends) - b_ends
+        out[np.arange(len(others)) + a_after[group]] = others * 3 + 2 * b_ends
+        return "".join(map(self.said.__getitem__, out.tolist()))[:-1]
 
 
 def byte_letters() -> dict[str, int]:
@@ -170,21 +187,25 @@ def pair(a_path: str | None = None, rank_path: str | None = None, b_path: str |
 
 
 def _one(text: str | None, two: Pair) -> tuple:
-    a, b = two.encode(text)
-    if not a:
+    found = two.encode(text)
+    if found is None:
         return 0, 0, 0, 0, "", np.empty(0, np.int64), np.empty(0, np.int32)
-    ids, others = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
-    runs, left, right = align(np.cumsum(two.a_sizes[ids]).tolist(), np.cumsum(two.b_sizes[others]).tolist())
-    start, other, n, m = np.array(runs).T
+    ids, others, a_at, b_at = found
+    runs, left, right = align(a_at.tolist(), b_at.tolist())
+    start, other, n, m = np.fromiter(itertools.chain.from_iterable(runs), np.int64, 4 * len(runs)).reshape(-1, 4).T
     lone = m == 0
     n_groups = int(n[lone].sum() + (~lone).sum())
     # The links of one-to-one runs: each run's tokens, counted on from its start.
     step = np.arange(n[lone].sum()) - np.repeat(np.cumsum(n[lone]) - n[lone], n[lone])
-    one_to_one = ids[np.repeat(start[lone], n[lone]) + step] * B_IDS + others[np.repeat(other[lone], n[lone]) + step]
+    mine, theirs = np.repeat(start[lone], n[lone]) + step, np.repeat(other[lone], n[lone]) + step
+    one_to_one = ids[mine] * B_IDS + others[theirs]
     codes = np.concatenate([one_to_one, ids[left] * B_IDS + others[right]]) if left else one_to_one
     pairs, times = np.unique(codes, return_counts=True)
-    said = hashlib.sha256(two.groups_text(runs, a, b).encode()).hexdigest()
-    return len(a), len(b), n_groups, len(codes), said, pairs, times.astype(np.int32)
+    a_ends, b_ends = np.zeros(len(ids), np.int64), np.zeros(len(others), np.int64)
+    a_ends[mine] = b_ends[theirs] = 1
+    a_ends[(start + n - 1)[~lone]] = b_ends[(other + m - 1)[~lone]] = 1
+    said = hashlib.sha256(two.groups_text(ids, others, a_ends, b_ends).encode()).hexdigest()
+    return len(ids), len(others), n_groups, len(codes), said, pairs, times.astype(np.int32)
 
 
 FIELDS = {

@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -116,5 +117,19 @@ def test_words_alone_and_together(plain):
         assert two._b_ids(text) == plain[1].encode(text)
 
 
+def test_token_bytes_and_group_text():
+    """Ends only where the bytes are the text's; groups written from marks of last tokens."""
+    table = alignment.Table([b"a", b"", b"bc", "é".encode()])
+    data = lambda x: np.frombuffer(x.encode(), dtype=np.uint8)
+    ids = np.array([0, 2, 1, 3])
+    assert table.ends(ids, data("abcé")).tolist() == [1, 3, 3, 5]
+    assert table.ends(ids, data("abde")) is None and table.ends(ids, data("abc")) is None
+    assert table.ends(ids[:0], data("")) is None
+    marks = lambda *x: np.array(x, dtype=np.int64)
+    text = alignment.pair().groups_text(marks(1, 2, 3, 4), marks(5, 6, 7), marks(0, 1, 1, 1), marks(1, 1, 1))
+    assert text == "1,2|5;3|6;4|7"
+    assert alignment.pair().groups_text(marks(1, 2), marks(5, 6, 7), marks(1, 1), marks(1, 0, 1)) == "1|5;2|6,7"
+
+
 def test_empty_table(spark):
     assert alignment.align_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
