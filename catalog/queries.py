@@ -395,11 +395,11 @@ def digest_diff(spark, sf):
 def _validity(spark, sf):
     """Two days taken over, two added; the third is stored twice, at first with the rows of the first day."""
     store = ValidityStore(spark, T.scratch(spark))
-    rows, headers = T.history(spark, sf)
-    first = T.SNAPSHOTS[:2]
-    store.build(rows.where(F.col("snapshot_date").isin(first)), {d: headers[d] for d in first})
+    contracts = T.stored_contracts(spark, sf)
+    rows, headers = T.history(spark, sf, (1, 2), contracts)
+    store.build(rows, headers)
     for k, day in ((1, 3), (3, 3), (4, 4)):
-        store.extend(T.snapshot(spark, sf, k), T.SNAPSHOTS[day - 1])
+        store.extend(T.snapshot(spark, sf, k, contracts), T.SNAPSHOTS[day - 1])
     return store
 
 

@@ -6,6 +6,7 @@ import dataclasses
 import datetime as dt
 import tempfile
 import uuid
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -237,10 +238,17 @@ SNAPSHOT_COLUMNS = [n for n in C.BASE_COLUMNS if n not in ("cod_saci", "cod_ibge
 SNAPSHOT_AS_OF = [dt.date(1998, 11, 1), dt.date(1998, 11, 2), dt.date(1998, 11, 16), dt.date(1998, 11, 16)]
 
 
-def _snapshot_rows(spark: SparkSession, sf_dir: str, ords: list[int]) -> DataFrame:
+def stored_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The monitored contracts, joined once and stored: for queries that make several snapshots of them."""
+    found, path = selected(spark, sf_dir), scratch(spark)
+    found.write.parquet(path)
+    return spark.read.schema(found.schema).parquet(path)
+
+
+def _snapshot_rows(contracts: DataFrame, ords: list[int]) -> DataFrame:
     """The wanted snapshots of the monitored contracts by ``ord``, every column as text."""
     k, o = F.col("k"), F.col("ord")
-    base = with_docs(selected(spark, sf_dir)).withColumn("ord", F.explode(F.array(*[F.lit(i) for i in ords])))
+    base = with_docs(contracts).withColumn("ord", F.explode(F.array(*[F.lit(i) for i in ords])))
     kept = base.where(F.when(o == 1, k % 89 != 1).otherwise(k % 97 != 1))
     first = o == 1
     venc, vlr = F.col("dt_vencimento_suspensiva"), F.col("vlr_repasse")
@@ -262,15 +270,24 @@ def _header(ord_: int) -> list[str]:
     return [C.BASE_COLUMNS[n] for n in SNAPSHOT_COLUMNS if ord_ >= 3 or n != "tipo_doc_suspensiva"]
 
 
-def snapshot(spark: SparkSession, sf_dir: str, ord_: int) -> DataFrame:
-    return _snapshot_rows(spark, sf_dir, [ord_]).select(*_header(ord_))
+def snapshot(spark: SparkSession, sf_dir: str, ord_: int, contracts: DataFrame | None = None) -> DataFrame:
+    """One snapshot, of ``stored_contracts`` if given."""
+    return _snapshot_rows(selected(spark, sf_dir) if contracts is None else contracts, [ord_]).select(*_header(ord_))
+
 
+def history(
+    spark: SparkSession, sf_dir: str, ords: Sequence[int] = (1, 2, 3, 4), contracts: DataFrame | None = None
+) -> tuple[DataFrame, dict[str, list[str]]]:
+    """All snapshots (or some) in one frame with ``snapshot_date``, and the header of each.
 
-def history(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, list[str]]]:
-    """All snapshots in one frame with ``snapshot_date``, and the header of each."""
+    Stored contracts are read for each snapshot, as rules for a day that is a literal are far cheaper.
+    """
+    if contracts is not None:
+        dated = [snapshot(spark, sf_dir, o, contracts).withColumn("snapshot_date", F.lit(SNAPSHOTS[o - 1])) for o in ords]
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dated), {SNAPSHOTS[o - 1]: _header(o) for o in ords}
     day = F.element_at(F.array(*[F.lit(d) for d in SNAPSHOTS]), F.col("ord"))
-    rows = _snapshot_rows(spark, sf_dir, [1, 2, 3, 4]).withColumn("snapshot_date", day).drop("ord")
-    return rows, {d: _header(i + 1) for i, d in enumerate(SNAPSHOTS)}
+    rows = _snapshot_rows(selected(spark, sf_dir), list(ords))
+    return rows.withColumn("snapshot_date", day).drop("ord"), {SNAPSHOTS[o - 1]: _header(o) for o in ords}
 
 
 def works(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,15 +5,17 @@ from __future__ import annotations
 import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from milemark import config as C
 from milemark.functions.keys import KEY, record_key
+from milemark.sources import marks
+from milemark.sources.marks import ROW
 from milemark.sources.store import DAY, read_or_none
 
 SINCE, UNTIL = "desde", "ate"
-_CLOSED = "_fechado"
+_CLOSED, _DIGEST = "_fechado", "_resumo"
 _MANIFEST = f"fields array<string>, run string, {DAY} string"
 
 
@@ -31,7 +33,15 @@ def intervals(rows: DataFrame, days: Sequence[str], spec: C.DiffSpec = C.CONTRAC
     )
     if spec.skip_blank_keys:
         dated = dated.where(F.col(KEY).isNotNull())
-    own, w = F.struct(*[F.col(f"`{c}`") for c in fields]), Window.partitionBy(KEY).orderBy("_ord")
+    begins = _runs(dated, F.struct(*[F.col(f"`{c}`") for c in fields]))
+    return begins.select(
+        *[F.col(f"`{c}`") for c in fields], KEY, F.element_at(known, F.col("_ord")).alias(SINCE), F.element_at(known, F.col("_last")).alias(UNTIL)
+    )
+
+
+def _runs(dated: DataFrame, own: Column) -> DataFrame:
+    """Of rows by key and ``_ord`` those that begin a run of equal ``own``, with ``_last``, the day it ends on."""
+    w = Window.partitionBy(KEY).orderBy("_ord")
     seen = dated.select(
         "*", F.lag("_ord").over(w).alias("_before"), F.lag(own).over(w).alias("_old"),
         F.max("_ord").over(Window.partitionBy(KEY)).alias("_end"),
@@ -39,10 +49,7 @@ def intervals(rows: DataFrame, days: Sequence[str], spec: C.DiffSpec = C.CONTRAC
     repeated = F.raise_error(F.concat(F.lit("duplicated snapshot key: "), F.col(KEY))).cast("boolean")
     follows = F.coalesce(F.col("_before") == F.col("_ord") - 1, F.lit(False)) & own.eqNullSafe(F.col("_old"))
     begins = seen.where(F.when(F.col("_before") == F.col("_ord"), repeated).otherwise(~follows)).drop("_old")
-    last = F.coalesce(F.lead("_before").over(w), F.col("_end"))
-    return begins.select(
-        *[F.col(f"`{c}`") for c in fields], KEY, F.element_at(known, F.col("_ord")).alias(SINCE), F.element_at(known, last).alias(UNTIL)
-    )
+    return begins.withColumn("_last", F.coalesce(F.lead("_before").over(w), F.col("_end")))
 
 
 def _key(df: DataFrame, spec: C.DiffSpec):
@@ -55,6 +62,9 @@ class ValidityStore:
     """``path/begun`` holds a row for each record that entered or changed on a day, ``path/ended`` the key of each whose
     row ended before it, ``path/manifest`` the header of every day and the run that wrote it.
 
+    New rows are stored as they lie (``path/staged``, replaced by the next ones); only keys and digests of rows (128 bits
+    of SHA-256) are exchanged to be compared, and the rows that began or ended are found by their place.
+
     Both only grow, by what changed on a day, however large the base is. The manifest is written last; what it does not
     list, left by a run that was stopped or by an earlier version of the last day, is not read.
     """
@@ -63,6 +73,7 @@ class ValidityStore:
         self.spark, self.spec = spark, spec
         self.begun_path, self.ended_path = f"{path}/begun", f"{path}/ended"
         self.moved_path, self.manifest_path = f"{path}/moved", f"{path}/manifest"
+        self.staged_path = f"{path}/staged"
 
     def _listed(self) -> dict:
         manifest = read_or_none(self.spark, self.manifest_path, _MANIFEST)
@@ -81,60 +92,73 @@ class ValidityStore:
         if self.days():
             raise ValueError("the store already holds days; build in a new folder")
         run, days = uuid.uuid4().hex, sorted(headers)
-        begun = intervals(rows, days, self.spec)
-        begun.write.parquet(f"{self.begun_path}/run={run}")
-        # The ends are read off what was written; only three of its columns.
+        staged, fields = self._stage(rows.withColumnRenamed(DAY, SINCE), F.col(SINCE).cast("string")), [c for c in rows.columns if c != DAY]
+        known = F.array(*[F.lit(d) for d in days])
+        slim = staged.select(KEY, F.array_position(known, F.col(SINCE)).cast("int").alias("_ord"), _DIGEST, ROW)
+        begins = _runs(slim, F.col(_DIGEST)).select(KEY, F.element_at(known, F.col("_ord")).alias(SINCE), F.element_at(known, F.col("_last")).alias(UNTIL), ROW)
+        moved = self._moved(begins, run)
+        self._begin(marks.picked(staged, moved), fields, run)
         after = F.create_map(*[F.lit(x) for pair in zip(days, days[1:]) for x in pair]) if len(days) > 1 else None
-        ends = self.spark.read.schema(f"{KEY} string, {SINCE} string, {UNTIL} string").parquet(f"{self.begun_path}/run={run}")
         closed = F.lit(None).cast("string") if after is None else after[F.col(UNTIL)]
-        ends.where(F.col(UNTIL) < days[-1]).withColumn(_CLOSED, closed).write.parquet(f"{self.ended_path}/run={run}")
+        moved.where(F.col(UNTIL) < days[-1]).withColumn(_CLOSED, closed).write.parquet(f"{self.ended_path}/run={run}")
         self._list({d: headers[d] for d in days}, run)
 
+    def _stage(self, df: DataFrame, since: Column) -> DataFrame:
+        """Rows as text with their key, first day, digest and number, stored as they lie and read back."""
+        fields = [c for c in df.columns if c != SINCE]
+        texts = {c: F.col(f"`{c}`").cast("string") for c in fields}
+        keyed = df.select(*[t.alias(c) for c, t in texts.items()], _key(df, self.spec).alias(KEY), since.alias(SINCE))
+        if self.spec.skip_blank_keys:
+            keyed = keyed.where(F.col(KEY).isNotNull())
+        whole = marks.numbered(keyed.withColumn(_DIGEST, marks.digest({c: F.col(f"`{c}`") for c in fields})))
+        whole.write.mode("overwrite").parquet(self.staged_path)
+        return self.spark.read.schema(whole.schema).parquet(self.staged_path)
+
+    def _moved(self, df: DataFrame, run: str) -> DataFrame:
+        path = f"{self.moved_path}/run={run}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def _begin(self, staged: DataFrame, fields: Sequence[str], run: str) -> None:
+        begun = staged.select(*[F.col(f"`{c}`") for c in fields], KEY, SINCE, _DIGEST, ROW)
+        begun.write.parquet(f"{self.begun_path}/run={run}")
+
     def extend(self, df: DataFrame, day: str) -> None:
         """Adds the day after the last one, or puts other rows in the place of the last one.
 
-        A day before the last would change the runs of all days after it and is refused. One exchange of the new rows and
-        of the base before them.
+        A day before the last would change the runs of all days after it and is refused. One exchange of the keys and
+        digests of the new rows and of the base before them.
         """
         listed = self._listed()
         before = [d for d in listed if d < day]
         if before != [d for d in listed if d != day]:
             raise ValueError(f"{day} is before {max(listed)}: days come in order")
-        fields = df.columns
-        keyed = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in fields], _key(df, self.spec).alias(KEY))
-        if self.spec.skip_blank_keys:
-            keyed = keyed.where(F.col(KEY).isNotNull())
+        run, fields, staged = uuid.uuid4().hex, df.columns, self._stage(df, F.lit(day))
         once = f"case when _n > 1 then raise_error(concat('duplicated snapshot key: ', {KEY})) else true end"
-        counted = keyed.withColumn("_n", F.count("*").over(Window.partitionBy(KEY))).where(F.expr(once))
-        run = uuid.uuid4().hex
-        if not before:
-            new = counted.drop("_n").withColumn(SINCE, F.lit(day))
-            new.write.parquet(f"{self.begun_path}/run={run}")
-            self._list({day: fields}, run)
-            return
-        # A field that only one of the two days has counts as null on the other.
-        old_fields = listed[before[-1]]["fields"]
-        names = list(dict.fromkeys([*fields, *old_fields]))
-        whole = lambda own: F.struct(*[(F.col(f"`{c}`") if c in own else F.lit(None).cast("string")).alias(c) for c in names])
-        old = self._valid(before[-1], listed).select(KEY, SINCE, whole(old_fields).alias("a"))
-        new = counted.select(KEY, whole(fields).alias("b"))
-        moved = old.join(new, KEY, "full").where(~F.col("a").eqNullSafe(F.col("b")))
-        begun = F.when(F.col("b").isNotNull(), F.lit("begun"))
-        ended = F.when(F.col("a").isNotNull(), F.lit("ended"))
-        both = moved.select(KEY, "b", F.col(SINCE), F.explode(F.array_compact(F.array(begun, ended))).alias("what"))
-        staged = f"{self.moved_path}/run={run}"
-        both.write.partitionBy("what").parquet(staged)
-        schema = both.select(KEY, SINCE, "b", "what").schema
-        typed = self.spark.read.schema(schema).parquet(staged)
-        entered = typed.where("what = 'begun'").select(*[F.col(f"b.`{c}`").alias(c) for c in fields], KEY, F.lit(day).alias(SINCE))
-        entered.write.parquet(f"{self.begun_path}/run={run}")
-        left = typed.where("what = 'ended'").select(KEY, SINCE, F.lit(before[-1]).alias(UNTIL), F.lit(day).alias(_CLOSED))
-        left.write.parquet(f"{self.ended_path}/run={run}")
+        slim = staged.select(KEY, F.col(_DIGEST).alias("b"), F.col(ROW).alias("_new"))
+        new = slim.withColumn("_n", F.count("*").over(Window.partitionBy(KEY))).where(F.expr(once)).drop("_n")
+        if before:
+            known = F.array(*[F.lit(d) for d in before])
+            bare = F.raise_error(F.lit("stored row without a digest: build the store in a new folder")).cast("binary")
+            old = self._valid(before[-1], listed).select(
+                KEY, F.array_position(known, F.col(SINCE)).cast("int").alias("_ord"), F.coalesce(_DIGEST, bare).alias("a"), F.col(ROW).alias("_old")
+            )
+            both = old.join(new, KEY, "full").where(~F.col("a").eqNullSafe(F.col("b"))).drop("a", "b")
+        else:
+            known = F.array(F.lit(day))
+            both = new.select(KEY, F.lit(None).cast("int").alias("_ord"), F.lit(None).cast("long").alias("_old"), "_new")
+        moved = self._moved(both, run)
+        self._begin(marks.picked(staged, moved.where(F.col("_new").isNotNull()).select(F.col("_new").alias(ROW))), fields, run)
+        if before:
+            left = moved.where(F.col("_old").isNotNull())
+            ends = left.select(KEY, F.element_at(known, F.col("_ord")).alias(SINCE), F.lit(before[-1]).alias(UNTIL), F.col("_old").alias(ROW), F.lit(day).alias(_CLOSED))
+            ends.write.parquet(f"{self.ended_path}/run={run}")
         self._list({day: fields}, run)
 
     def _read(self, path: str, columns: Sequence[str], when: str, listed: Mapping) -> DataFrame | None:
         """Rows of listed runs that were written for the day in column ``when`` by the run that the day has now."""
-        found = read_or_none(self.spark, path, ", ".join(f"`{c}` string" for c in [*columns, "run"]))
+        kinds = {_DIGEST: "binary", ROW: "long"}
+        found = read_or_none(self.spark, path, ", ".join(f"`{c}` {kinds.get(c, 'string')}" for c in [*columns, "run"]))
         if found is None or not listed:
             return None
         runs = F.create_map(*[F.lit(x) for d, r in listed.items() for x in (d, r["run"])])
@@ -144,9 +168,9 @@ class ValidityStore:
     def _valid(self, day: str, listed: Mapping) -> DataFrame:
         until = {d: r for d, r in listed.items() if d <= day}
         fields = list(dict.fromkeys(f for r in until.values() for f in r["fields"]))
-        begun = self._read(self.begun_path, [*fields, KEY, SINCE], SINCE, until)
-        ended = self._read(self.ended_path, [KEY, SINCE, _CLOSED], _CLOSED, until)
-        return begun if ended is None else begun.join(ended.select(KEY, SINCE), [KEY, SINCE], "left_anti")
+        begun = self._read(self.begun_path, [*fields, KEY, SINCE, _DIGEST, ROW], SINCE, until)
+        ended = self._read(self.ended_path, [SINCE, ROW, _CLOSED], _CLOSED, until)
+        return begun if ended is None else marks.picked(begun, ended, [SINCE], keep=False)
 
     def at(self, day: str) -> DataFrame:
         """The base of a stored day under the header it had: what had begun by then and not ended."""
