@@ -339,11 +339,12 @@ def daily_log(spark, sf):
     root = T.scratch(spark)
     store = SnapshotStore(spark, f"{root}/store")
     log = ChangeLog(store, f"{root}/log")
+    contracts = T.stored_contracts(spark, sf)
     for rows, day in ((1, 1), (3, 2), (4, 4)):
-        store.write(T.snapshot(spark, sf, rows), T.SNAPSHOTS[day - 1])
+        store.write(T.snapshot(spark, sf, rows, contracts), T.SNAPSHOTS[day - 1])
     log.update()
     for day in (3, 2):
-        store.write(T.snapshot(spark, sf, day), T.SNAPSHOTS[day - 1])
+        store.write(T.snapshot(spark, sf, day, contracts), T.SNAPSHOTS[day - 1])
         log.update()
     return log.events()
 

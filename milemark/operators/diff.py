@@ -16,6 +16,7 @@ from milemark import config as C
 from milemark.functions.keys import KEY, record_key
 from milemark.functions.text import br_date, br_number, label_map, norm, parse_date, strip_sql
 from milemark.operators import joins
+from milemark.sources.marks import digest
 from milemark.sources.naming import canonical_name, canonicalize
 
 ENTERED, EXITED, CHANGED = 1, 2, 3
@@ -193,20 +194,10 @@ def diff_history(
     """
     days = sorted(headers)
     prepared = _prepare_history(snapshots, headers, spec)
-    canon = {d: canonical_header(headers[d]) for d in days}
-    pairs = {d: comparable_fields(canon[d], canon[p], spec) for p, d in zip(days, days[1:])}
-    fields = list(dict.fromkeys(f for d in reversed(days[1:]) for f in pairs[d]))
+    pairs, fields = _compared(headers, spec)
     names = _needed(spec, fields)
-
-    day = "cast(snapshot_date as string)"
     known = ", ".join(f"'{d}'" for d in days)
-    # A row without a key fails before anything is shuffled.
-    missing = f"raise_error('snapshot row without a key ({', '.join(spec.key_candidates)})')"
-    rows = prepared.select(
-        F.expr(f"coalesce({KEY}, {missing})").alias(KEY),
-        F.expr(f"cast(array_position(array({known}), {day}) as int)").alias("ord"),
-        _values(prepared, names).alias("c"),
-    )
+    rows = prepared.select(*_placed(days, spec), _values(prepared, names).alias("c"))
     w = Window.partitionBy(KEY).orderBy("ord")
     seen = rows.select(
         KEY, "ord", "c",
@@ -243,11 +234,42 @@ def diff_history(
     )
 
 
+def _compared(headers: Mapping[str, Sequence[str]], spec: C.DiffSpec) -> tuple[dict[str, list[str]], list[str]]:
+    """The fields in which each day is compared with the one before, and all of them."""
+    days = sorted(headers)
+    canon = {d: canonical_header(headers[d]) for d in days}
+    pairs = {d: comparable_fields(canon[d], canon[p], spec) for p, d in zip(days, days[1:])}
+    return pairs, list(dict.fromkeys(f for d in reversed(days[1:]) for f in pairs[d]))
+
+
+def _placed(days: Sequence[str], spec: C.DiffSpec) -> list[Column]:
+    """Key and number of the day; a row without a key fails before anything is shuffled."""
+    known = ", ".join(f"'{d}'" for d in days)
+    missing = f"raise_error('snapshot row without a key ({', '.join(spec.key_candidates)})')"
+    day = f"cast(array_position(array({known}), cast(snapshot_date as string)) as int)"
+    return [F.expr(f"coalesce({KEY}, {missing})").alias(KEY), F.expr(day).alias("ord")]
+
+
+def record_digests(
+    snapshots: DataFrame, headers: Mapping[str, Sequence[str]], spec: C.DiffSpec, more: Sequence[str] = ()
+) -> DataFrame:
+    """Key, ``ord`` (number of the day), ``digest`` of all values that ``diff_history`` compares, and ``more``.
+
+    Equal digests of two days of a record: no field has changed.
+    """
+    prepared = _prepare_history(snapshots, headers, spec, more)
+    fields = [f for f in _compared(headers, spec)[1] if f not in spec.ignored]
+    values = {f: F.expr(f"coalesce(cast(`{f}` as string), '')") for f in fields if f in prepared.columns}
+    return prepared.select(*_placed(sorted(headers), spec), digest(values).alias("digest"), *more)
+
+
 def canonical_header(header: Sequence[str]) -> list[str]:
     return list(dict.fromkeys(canonical_name(h) for h in header))
 
 
-def _prepare_history(snapshots: DataFrame, headers: Mapping[str, Sequence[str]], spec: C.DiffSpec) -> DataFrame:
+def _prepare_history(
+    snapshots: DataFrame, headers: Mapping[str, Sequence[str]], spec: C.DiffSpec, more: Sequence[str] = ()
+) -> DataFrame:
     """``prepare`` for merged snapshots: each row takes a field from the column its own snapshot had."""
     keyed = snapshots.withColumn(KEY, record_key(snapshots, spec.key_candidates))
     if spec.skip_blank_keys:
@@ -268,7 +290,7 @@ def _prepare_history(snapshots: DataFrame, headers: Mapping[str, Sequence[str]],
                 ]
             )
         columns.append(value.alias(name))
-    return keyed.select(KEY, "snapshot_date", *columns)
+    return keyed.select(KEY, "snapshot_date", *columns, *more)
 
 
 def change_log(history: DataFrame) -> DataFrame:

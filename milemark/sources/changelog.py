@@ -8,14 +8,18 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from milemark import config as C
+from milemark.functions.keys import KEY
 from milemark.operators import diff
+from milemark.sources import marks, store
 from milemark.sources.store import SnapshotStore, read_or_none
 
 DAY = "data"
+# Days that are compared by digests first; their sets fit a number of 64 bits.
+DIGEST_DAYS = 62
 _MADE_FROM = "made_from array<string>, run string, data string"
 
 
@@ -29,6 +33,7 @@ class ChangeLog:
     def __init__(self, store: SnapshotStore, path: str, spec: C.DiffSpec = C.CONTRACT_DIFF):
         self.store, self.spec = store, spec
         self.events_path, self.manifest_path = f"{path}/events", f"{path}/manifest"
+        self.moved_path = f"{path}/moved"
 
     def _wanted(self) -> dict[str, list[str]]:
         """By day the snapshots that its events come from: (day before, its version, own version)."""
@@ -61,7 +66,7 @@ class ChangeLog:
                 groups.append([d])
         for group in groups:
             run = uuid.uuid4().hex
-            rows, headers = self.store.history([wanted[group[0]][0], *group])
+            rows, headers = self._moved([wanted[group[0]][0], *group])
             events = diff.diff_history(rows, headers, self.spec).withColumn("run", F.lit(run))
             dynamic = {"partitionOverwriteMode": "dynamic"}
             events.write.mode("overwrite").options(**dynamic).partitionBy(DAY).parquet(self.events_path)
@@ -70,6 +75,30 @@ class ChangeLog:
             made.write.mode("overwrite").options(**dynamic).partitionBy(DAY).parquet(self.manifest_path)
         return stale
 
+    def _moved(self, days: list[str]) -> tuple[DataFrame, dict[str, list[str]]]:
+        """The history of these days without the records that have one row with the same compared values on each of them,
+        which make no event.
+
+        Only keys and digests are exchanged to find them; the places of the others (``path/moved``, replaced by the next)
+        are brought to the rows. Days that were stored without places, or very many, are given whole.
+        """
+        rows, headers = self.store.history(days)
+        numbered, _ = self.store.numbered(days)
+        if len(days) > DIGEST_DAYS or numbered.where(F.col(marks.ROW).isNull()).limit(1).count():
+            return rows, headers
+        own = diff.record_digests(numbered, headers, self.spec, [marks.ROW])
+        # Days as a set of bits and rows counted: a repeated key stays, and is refused by the comparison.
+        w, every = Window.partitionBy(KEY), F.lit((1 << len(days) + 1) - 2)
+        seen = own.select(
+            "ord", marks.ROW, (F.count("*").over(w) == len(days)).alias("n"), F.expr("bit_or(shiftleft(1L, ord))").over(w).alias("days"),
+            (F.min("digest").over(w) == F.max("digest").over(w)).alias("same"),
+        )
+        day = F.element_at(F.array(*[F.lit(d) for d in sorted(days)]), F.col("ord")).alias(store.DAY)
+        moved = seen.where(~(F.col("n") & F.col("same") & (F.col("days") == every))).select(day, marks.ROW)
+        moved.write.mode("overwrite").parquet(self.moved_path)
+        places = self.store.spark.read.schema(moved.schema).parquet(self.moved_path)
+        return marks.picked(numbered, places, [store.DAY]).drop(marks.ROW), headers
+
     def events(self) -> DataFrame:
         """All events, as ``diff_history`` over the whole store gives them."""
         spark = self.store.spark

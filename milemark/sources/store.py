@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from milemark.sources import marks
+
 DAY = "snapshot_date"
 
 
@@ -44,7 +46,7 @@ class SnapshotStore:
     def write(self, df: DataFrame, day: str) -> None:
         """Stores the base of a day; the same day again replaces only that day, also by one without rows."""
         version = uuid.uuid4().hex
-        text = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns], F.lit(version).alias(VERSION))
+        text = marks.numbered(df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns], F.lit(version).alias(VERSION)))
         header = self.spark.range(1).select(F.array(*[F.lit(c) for c in df.columns]).alias("fields"), F.lit(version).alias("version"))
         for frame, path in ((text, self.rows_path), (header.coalesce(1), self.manifest_path)):
             frame.write.mode("overwrite").parquet(f"{path}/{DAY}={day}")
@@ -84,16 +86,21 @@ class SnapshotStore:
 
     def history(self, days: Sequence[str] | None = None) -> tuple[DataFrame, dict[str, list[str]]]:
         """The wanted days (all by default) in one frame, and their headers; only their partitions are read."""
+        rows, headers = self.numbered(days)
+        return rows.drop(marks.ROW), headers
+
+    def numbered(self, days: Sequence[str] | None = None) -> tuple[DataFrame, dict[str, list[str]]]:
+        """``history`` with the number that a row has within its day; null in days that were stored without."""
         listed = self._listed()
         listed = listed if days is None else {d: listed[d] for d in sorted(days)}
         headers = {d: fields for d, (fields, _) in listed.items()}
         fields = list(dict.fromkeys(f for h in headers.values() for f in h))
-        schema = ", ".join(f"`{f}` string" for f in fields) + f", {VERSION} string, {DAY} string"
+        schema = ", ".join(f"`{f}` string" for f in fields) + f", {VERSION} string, {marks.ROW} long, {DAY} string"
         rows = self.spark.read.schema(schema).parquet(self.rows_path).where(F.col(DAY).isin(list(listed)))
         version = F.create_map(*[F.lit(x) for d, (_, v) in listed.items() for x in (d, v)])[F.col(DAY)]
         broken = F.raise_error(F.concat(F.lit("snapshot not stored completely, store it again: "), F.col(DAY)))
         whole = F.when(F.coalesce(F.col(VERSION), F.lit("")) == version, F.lit(True)).otherwise(broken.cast("boolean"))
-        return rows.where(whole).select(*[F.col(f"`{f}`") for f in fields], DAY), headers
+        return rows.where(whole).select(*[F.col(f"`{f}`") for f in fields], marks.ROW, DAY), headers
 
 
 def merge(frames: dict[str, DataFrame]) -> tuple[DataFrame, dict[str, list[str]]]:

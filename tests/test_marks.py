@@ -1,11 +1,14 @@
 """Rows picked by their place, and stores that exchange keys in place of rows."""
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from milemark.operators import diff
 from milemark.sources import marks
+from milemark.sources.changelog import ChangeLog
 from milemark.sources.marks import ROW
-from milemark.sources.store import merge
+from milemark.sources.store import SnapshotStore, merge
 from milemark.sources.validity import ValidityStore
 
 
@@ -32,6 +35,8 @@ def test_digest(spark):
     both = {"a": F.col("a"), "bb": F.col("bb")}
     found = [bytes(r[0]) for r in df.select(marks.digest(both)).collect()]
     assert len(set(found)) == len(rows) and {len(f) for f in found} == {16}
+    malformed = spark.sql("select cast(x as string) a from values (X'ff'), (X'fe'), (X'fefe') t(x)")
+    assert malformed.select(marks.digest({"a": F.col("a")})).distinct().count() == 3
     alone = [bytes(r[0]) for r in df.where("bb is null").select(marks.digest({"a": F.col("a")})).collect()]
     assert alone == [f for f, r in zip(found, rows, strict=True) if r[1] is None]
 
@@ -51,3 +56,23 @@ def test_validity_exchanges_keys_only(spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert "SortMergeJoin" not in plan and not any("num_convenio" in line or "_chave" in line for line in exchanges)
+
+
+def test_log_compares_moved_records_only(spark, tmp_path):
+    """Records that are the same on all days are left where they lie; the log has the events of all days compared whole."""
+    store = SnapshotStore(spark, str(tmp_path / "store"))
+    log = ChangeLog(store, str(tmp_path / "log"))
+    days = ["2026-01-01", "2026-01-02", "2026-01-03"]
+    for k, d in enumerate(days):
+        changed = F.when(F.col("id") == k, "y").otherwise("x")
+        rows = spark.range(k == 1, 1000).select(F.col("id").cast("string").alias("num_convenio"), changed.alias("vlr_repasse"), F.lit("SP").alias("uf"))
+        store.write(rows, d)
+    assert sorted(r["num_convenio"] for r in log._moved(days)[0].collect()) == sorted(["0", "0", *["1", "2"] * 3])
+    log.update()
+    want = diff.diff_history(*store.history())
+    assert sorted(map(str, log.events().collect())) == sorted(map(str, want.collect())) != []
+    # A key that is repeated on one day and missing on another has as many rows as there are days.
+    store.write(rows.union(rows.where("num_convenio = '7'")), days[1])
+    store.write(rows.where("num_convenio <> '7'"), days[2])
+    with pytest.raises(PySparkException, match="duplicated snapshot key: 7"):
+        log.update()
