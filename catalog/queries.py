@@ -421,7 +421,8 @@ def status_counters(spark, sf):
 
 def diff_summary(spark, sf):
     dates = {"atual": T.SNAPSHOTS[1], "anterior": T.SNAPSHOTS[0], "primeiro": T.SNAPSHOTS[0]}
-    out = D.diff_summary(T.snapshot(spark, sf, 1), T.snapshot(spark, sf, 2), dates)
+    contracts = T.stored_contracts(spark, sf)
+    out = D.diff_summary(T.snapshot(spark, sf, 1, contracts), T.snapshot(spark, sf, 2, contracts), dates)
     return out.select("*", "resumo.*", "mudancas_status.*").drop("resumo", "mudancas_status")
 
 
