@@ -14,10 +14,14 @@ VOCABULARY = "byte_bpe_50k"
 SPECIAL = "<|endoftext|>"
 # Entries of a worker's cache before it is emptied: bounds memory, not what is encoded.
 CACHE = 400_000
-_UNSPLIT = re.compile(r" (?=\s|$)")
+UNSPLIT = re.compile(r" (?=\s|$)")
 _SPLIT = re.compile(r" (?=\S)")
 
 
+def _latin(text: str) -> bool:
+    return len(text) <= 2000 and (text.isascii() or max(text) < "ɐ")
+
+
 class Encoder(dict):
     """Ids of whole texts, equal to those of the library ``tokenizers`` without added tokens.
 
@@ -48,7 +52,7 @@ class Encoder(dict):
     def _part(self, text: str) -> bytes:
         if not text:
             return b""
-        if len(text) > 2000 or max(text) >= "ɐ":
+        if not _latin(text):
             return self._whole(text)
         return np.array(self._fast.encode_ordinary(text), dtype="<u4").tobytes()
 
@@ -63,10 +67,21 @@ class Encoder(dict):
     def encode(self, text: str) -> bytes:
         if SPECIAL in text and not self._ordinary:
             return self._whole(text)
-        first, *rest = _SPLIT.split(text) if _UNSPLIT.search(text) else text.split(" ")
+        first, *rest = _SPLIT.split(text) if UNSPLIT.search(text) else text.split(" ")
         # A text that begins with a space has an empty first part, and the next one keeps its space.
         return self._part(first) + b"".join([self[p] for p in rest])
 
+    def words(self, words: list[str]) -> tuple[list[str], np.ndarray]:
+        """Ids of words, each after a space, and the order they are in: short ones of Latin letters first, encoded together.
+
+        A word holds no space and no white space begins it. For an encoder that is ``ordinary``.
+        """
+        latin = [w for w in words if _latin(w)]
+        others = [] if len(latin) == len(words) else [w for w in words if not _latin(w)]
+        ids = self._fast.encode_ordinary(" " + " ".join(latin)) if latin else []
+        found = [np.array(ids, dtype="<u4").tobytes(), *(self._whole(" " + w) for w in others)]
+        return latin + others, np.frombuffer(b"".join(found), dtype="<u4").astype(np.int64)
+
     def decode(self, ids: bytes) -> str:
         """The text of ids that stand for ordinary text; the vocabulary covers all bytes, so it comes back whole."""
         return self._fast.decode_bytes(np.frombuffer(ids, dtype="<u4").tolist()).decode("utf-8", "surrogatepass")

@@ -131,5 +131,63 @@ def test_token_bytes_and_group_text():
     assert alignment.pair().groups_text(marks(1, 2), marks(5, 6, 7), marks(1, 1), marks(1, 0, 1)) == "1|5;2|6,7"
 
 
+def alone(text, plain):
+    """Ids and ends of one text by the libraries; None where the bytes do not give it back."""
+    letters = alignment.byte_letters()
+    if not text:
+        return None
+    enc, pieces = plain[0].encode(" " + text, add_special_tokens=False), plain[1].encode(text)
+    said = [plain[1].id_to_piece(k) for k in pieces]
+    sides = [bytes(letters[c] for c in t) for t in enc.tokens], [
+        bytes([int(p[3:5], 16)]) if plain[1].is_byte(k) else p.replace("▁", " ").encode() for k, p in zip(pieces, said, strict=True)
+    ]
+    if any(b"".join(side) != (" " + text).encode() for side in sides):
+        return None
+    return [enc.ids, pieces, *(np.cumsum([len(t) for t in side]).tolist() for side in sides)]
+
+
+def test_texts_together_and_alone(plain, monkeypatch):
+    """Also with words that are not given back, and with words forgotten between the parts."""
+    rng, two = random.Random(2), alignment.Pair(public_tokenizers.path(alignment.A_FILE), None, public_tokenizers.path(alignment.B_FILE))
+    letters = "ab é\n\t  ½你́<s>.ß😀 ▁ﬁ\x1c\u00a0Ａ"
+    words = ["word", "naïve", "日本語", "ﬁne", "a▁b", "x" * 2500, "end.\nNext", "don't", "4807", "é"]
+    texts = [None, "", *TEXTS]
+    texts += ["".join(rng.choice(letters) for _ in range(rng.randint(1, 12))) for _ in range(600)]
+    texts += [" ".join(rng.choice(words) for _ in range(rng.randint(1, 6))) for _ in range(300)]
+    rng.shuffle(texts)
+    want = [alone(t, plain) for t in texts]
+    assert 0 < sum(w is None for w in want) < len(want) / 2
+    for most in (400_000, 20):
+        monkeypatch.setattr(alignment.tokens, "CACHE", most)
+        parts = list(alignment.in_parts(texts, 3000))
+        assert [t for part in parts for t in part] == texts and len(parts) > 3
+        assert all(len(part) == 1 or sum(len(t or "") for t in part) <= 3000 for part in parts)
+        got = [found and [x.tolist() for x in found] for part in parts for found in two.encode(part)]
+        assert got == want
+
+
+def test_new_words_are_encoded_together():
+    """A tokenizer is called once for all words that are new in some texts, not for each word."""
+    two, calls = alignment.Pair(public_tokenizers.path(alignment.A_FILE), None, public_tokenizers.path(alignment.B_FILE)), []
+
+    class Counted:
+        def encode(self, what, **options):
+            calls.append(what)
+            return model.encode(what, **options)
+
+    model, two._b = two._b, Counted()
+    texts = [f"one two {k} three{k}" for k in range(50)]
+    first, second = two.encode(texts), two.encode(texts)
+    assert len(calls) == 1 and len(set(calls[0])) == len(calls[0]) == 102
+    assert all(np.array_equal(x, y) for f, s in zip(first, second, strict=True) for x, y in zip(f, s, strict=True))
+
+
+def test_long_tokens():
+    """Sizes that differ by 256, which no byte can tell apart."""
+    runs, left, right = alignment.align([300, 344, 350], [44, 344, 350])
+    assert runs == [(0, 0, 2, 2), (2, 2, 1, 0)] and list(zip(left, right, strict=True)) == [(0, 0), (0, 1), (1, 1)]
+    assert alignment.align([300, 600], [300, 600])[0] == [(0, 0, 2, 0)]
+
+
 def test_empty_table(spark):
     assert alignment.align_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
