@@ -11,6 +11,7 @@ import functools
 import hashlib
 import itertools
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,8 @@ from milemark.llm import common, tokens
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 SPACE = "▁"
+# Where both sides may be cut: before a lone space that a visible character follows.
+CUT = re.compile(r"(?<=[^ ]) (?=\S)")
 # An id pair as one number: the id of A times this, plus the id of B.
 B_IDS = 1 << 20
 # Id pairs that are broadcast at most; links of rarer pairs are joined by an exchange.
@@ -201,17 +204,15 @@ class Pair:
         # An id and what follows it: within a side, between the sides, after a group. All of one width, filled up with zeros.
         self.said = np.array([f"{k}{mark}" for k in range(max(len(self.a_bytes), len(self.b_bytes))) for mark in ",|;"], dtype="S")
 
-    def _parts(self, text: str) -> list[str] | None:
-        """The words of a text that both sides encode word by word: cut before every space, if no other white space
-        follows one and none ends the text."""
-        return text.split(" ") if self._by_word and not tokens.UNSPLIT.search(" " + text) else None
+    def _parts(self, text: str) -> list[str]:
+        """What both sides may encode one by one: words, with the white space around them that can't be cut off."""
+        if not self._by_word:
+            return [text]
+        return CUT.split(text) if tokens.UNSPLIT.search(" " + text) else text.split(" ")
 
     def _b_ids(self, text: str) -> list[int]:
-        """Ids by B, equal to those of the whole text, of its words where it has such."""
-        parts = self._parts(text)
-        if parts is None:
-            return self._b.encode(text, num_threads=1)
-        return list(itertools.chain.from_iterable(self._b.encode(parts, num_threads=1)))
+        """Ids by B, equal to those of the whole text, word by word."""
+        return list(itertools.chain.from_iterable(self._b.encode(self._parts(text), num_threads=1)))
 
     def _encode_words(self, words: list[str]) -> tuple[list[str], list[np.ndarray], list[np.ndarray], np.ndarray]:
         """Words in the order in which they were encoded, ids and numbers of ids by A (of a space and the word) and by B,
@@ -239,9 +240,9 @@ class Pair:
 
     def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None]:
         """Per text its ids by A (of a space and the text) and by B, and where their tokens end; None where the tokens'
-        bytes do not give it back. Words that are new among all texts are encoded together; a text that has none, or of
-        which a word is not given back, is encoded by itself."""
-        parts = [(text and self._parts(text)) or [] for text in texts]
+        bytes do not give it back. Words that are new among all texts are encoded together; a text of which a word is not
+        given back is encoded by itself."""
+        parts = [self._parts(text) if text else [] for text in texts]
         self._words.learn(set().union(*parts))
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         numbers = np.fromiter(map(self._words.__getitem__, itertools.chain.from_iterable(parts)), np.int64, sizes.sum())

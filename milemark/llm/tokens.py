@@ -72,12 +72,11 @@ class Encoder(dict):
         return self._part(first) + b"".join([self[p] for p in rest])
 
     def words(self, words: list[str]) -> tuple[list[str], np.ndarray]:
-        """Ids of words, each after a space, and the order they are in: short ones of Latin letters first, encoded together.
-
-        A word holds no space and no white space begins it. For an encoder that is ``ordinary``.
-        """
-        latin = [w for w in words if _latin(w)]
-        others = [] if len(latin) == len(words) else [w for w in words if not _latin(w)]
+        """Ids of words, each after a space, and the order they are in: short ones of Latin letters that no white space
+        begins come first and are encoded together. For an encoder that is ``ordinary``."""
+        together = lambda w: _latin(w) and not w[:1].isspace()
+        latin = [w for w in words if together(w)]
+        others = [] if len(latin) == len(words) else [w for w in words if not together(w)]
         ids = self._fast.encode_ordinary(" " + " ".join(latin)) if latin else []
         found = [np.array(ids, dtype="<u4").tobytes(), *(self._whole(" " + w) for w in others)]
         return latin + others, np.frombuffer(b"".join(found), dtype="<u4").astype(np.int64)

@@ -179,6 +179,7 @@ def test_new_words_are_encoded_together():
     texts = [f"one two {k} three{k}" for k in range(50)]
     first, second = two.encode(texts), two.encode(texts)
     assert len(calls) == 1 and len(set(calls[0])) == len(calls[0]) == 102
+    assert None not in two.encode([" one two", "one  two ", "two \n one"]) and sorted(calls[1]) == [" one", "one  two ", "two \n"]
     assert all(np.array_equal(x, y) for f, s in zip(first, second, strict=True) for x, y in zip(f, s, strict=True))
 
 
