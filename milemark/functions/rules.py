@@ -223,43 +223,64 @@ def work_flags(situacao_obra: Column) -> dict[str, Column]:
     }
 
 
+# Rules that look at the suspension's analysis or due date; the others do without the source of these.
+SUSPENSION_RULES = ["status_suspensiva", "fase_atual", "urgencia_suspensiva", "motivo_suspensiva_retirada_dmp"]
+
+
 def with_contract_rules(df: DataFrame, cfg: C.Settings) -> DataFrame:
     """Adds every derived contract column to a frame that has the milestone columns."""
+    return _with_deadlines(df, cfg).withColumns(_statuses(cfg))
+
+
+def with_milestone_rules(df: DataFrame, cfg: C.Settings) -> DataFrame:
+    """``with_contract_rules`` but for the ``SUSPENSION_RULES``, whose columns ``df`` need not have."""
+    return _with_deadlines(df, cfg).withColumns({n: rule for n, rule in _statuses(cfg).items() if n not in SUSPENSION_RULES})
+
+
+def with_suspension_rules(df: DataFrame, cfg: C.Settings) -> DataFrame:
+    """What ``with_milestone_rules`` has left out."""
+    return df.withColumns({n: rule for n, rule in _statuses(cfg).items() if n in SUSPENSION_RULES})
+
+
+def _with_deadlines(df: DataFrame, cfg: C.Settings) -> DataFrame:
     c = F.col
-    assin, venc, ret = c("dt_assinatura"), c("dt_vencimento_suspensiva"), c("dt_retirada_suspensiva")
-    lae, pub, hom = c("dt_lae"), c("dt_pub_licitacao"), c("dt_homolog_licitacao")
-    vrpl, aio, inicio = c("dt_vrpl"), c("dt_aio"), c("dt_inicio_obra")
-    sit, analysis = c("situacao"), c("situacao_suspensiva")
-    deadlines = df.withColumns(
+    assin, lae, pub = c("dt_assinatura"), c("dt_lae"), c("dt_pub_licitacao")
+    return df.withColumns(
         {
             "prazo_pub_licitacao": publication_deadline(lae, assin, cfg),
             "dt_lae_mais_60": lae_plus(lae, cfg.projections[0]),
             "dt_lae_mais_60_mais_120": lae_plus(lae, cfg.projections[1]),
             "prazo_homolog_120d": homologation_window(pub, assin, cfg),
-            "prazo_inicio_obra": works_start_deadline(aio, cfg),
+            "prazo_inicio_obra": works_start_deadline(c("dt_aio"), cfg),
             "data_limite_licitacao_casa_civil": F.lit(cfg.fixed_cutoff),
         }
     ).withColumn("prazo_homolog_licitacao", homologation_deadline(c("prazo_homolog_120d"), cfg))
-    return deadlines.withColumns(
-        {
-            "status_suspensiva": suspension_status(venc, ret),
-            "flag_publicacao_licitacao": presence_flag(pub),
-            "flag_homologacao_licitacao": presence_flag(hom),
-            "ultima_data_relevante": latest_milestone(inicio, aio, vrpl, hom, pub, lae),
-            "fase_atual": phase(inicio, aio, vrpl, hom, pub, lae, ret, venc),
-            "dias_ate_publicacao": F.datediff(pub, lae),
-            "dias_publicacao_ate_homologacao": F.datediff(hom, pub),
-            "dias_homologacao_ate_vrpl": F.datediff(vrpl, hom),
-            "dias_vrpl_ate_aio": F.datediff(aio, vrpl),
-            "dias_aio_ate_inicio_obra": F.datediff(inicio, aio),
-            "faixa_repasse": value_band(c("vlr_repasse"), cfg.value_bands),
-            "status_regra_casa_civil": cutoff_status(sit, pub, hom, inicio, cfg.fixed_cutoff),
-            "status_pub_licitacao": publication_status(assin, lae, sit, pub, c("prazo_pub_licitacao"), cfg),
-            "status_homolog_licitacao": homologation_status(assin, sit, pub, hom, c("prazo_homolog_licitacao"), cfg),
-            "status_inicio_obra": works_start_status(aio, sit, inicio, c("prazo_inicio_obra"), cfg),
-            "urgencia_suspensiva": suspension_urgency(ret, sit, venc, cfg),
-            "motivo_suspensiva_retirada_dmp": withdrawn_reason(sit, analysis, aio, inicio),
-            "pos_72": era(assin, cfg.exempt_before),
-            "ano": signature_year(assin),
-        }
-    )
+
+
+def _statuses(cfg: C.Settings) -> dict[str, Column]:
+    c = F.col
+    assin, venc, ret = c("dt_assinatura"), c("dt_vencimento_suspensiva"), c("dt_retirada_suspensiva")
+    lae, pub, hom = c("dt_lae"), c("dt_pub_licitacao"), c("dt_homolog_licitacao")
+    vrpl, aio, inicio = c("dt_vrpl"), c("dt_aio"), c("dt_inicio_obra")
+    sit, analysis = c("situacao"), c("situacao_suspensiva")
+    return {
+        "status_suspensiva": suspension_status(venc, ret),
+        "flag_publicacao_licitacao": presence_flag(pub),
+        "flag_homologacao_licitacao": presence_flag(hom),
+        "ultima_data_relevante": latest_milestone(inicio, aio, vrpl, hom, pub, lae),
+        "fase_atual": phase(inicio, aio, vrpl, hom, pub, lae, ret, venc),
+        "dias_ate_publicacao": F.datediff(pub, lae),
+        "dias_publicacao_ate_homologacao": F.datediff(hom, pub),
+        "dias_homologacao_ate_vrpl": F.datediff(vrpl, hom),
+        "dias_vrpl_ate_aio": F.datediff(aio, vrpl),
+        "dias_aio_ate_inicio_obra": F.datediff(inicio, aio),
+        "faixa_repasse": value_band(c("vlr_repasse"), cfg.value_bands),
+        "status_regra_casa_civil": cutoff_status(sit, pub, hom, inicio, cfg.fixed_cutoff),
+        "status_pub_licitacao": publication_status(assin, lae, sit, pub, c("prazo_pub_licitacao"), cfg),
+        "status_homolog_licitacao": homologation_status(assin, sit, pub, hom, c("prazo_homolog_licitacao"), cfg),
+        "status_inicio_obra": works_start_status(aio, sit, inicio, c("prazo_inicio_obra"), cfg),
+        "urgencia_suspensiva": suspension_urgency(ret, sit, venc, cfg),
+        "motivo_suspensiva_retirada_dmp": withdrawn_reason(sit, analysis, aio, inicio),
+        "pos_72": era(assin, cfg.exempt_before),
+        "ano": signature_year(assin),
+    }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,6 +56,17 @@ def join_sources(sources: Mapping[str, DataFrame], cfg: C.Settings, rows_per_spl
     stored tables): a hot contract key is cut by its contracts and a hot source key by the rows of the source, the
     other side repeated. Duplicate source keys multiply rows; ``joins.check_keys`` tells afterwards.
     """
+    return _joined(sources, cfg, rows_per_split, lambda df: df).select(
+        *_SACI, "situacao_suspensiva", "dt_vencimento_suspensiva", "dt_retirada_suspensiva", "dt_lae",
+        "dt_pub_licitacao", "dt_homolog_licitacao", "dt_vrpl", "dt_aio", "perspectiva_de_retirada_da_suspensiva",
+        *C.DOC_SOURCE_COLUMNS, "tipo_doc_suspensiva",
+    )
+
+
+def _joined(
+    sources: Mapping[str, DataFrame], cfg: C.Settings, rows_per_split: int | None, before_last: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """``join_sources`` with more columns; what ``before_last`` adds is made before the last source multiplies contracts."""
     saci = sources["saci"]
     chosen = R.base_filter(F.col("txt_fonte"), F.col("dsc_fase_pac"), F.col("txt_sigla_secretaria"), cfg)
     base = saci.where(chosen).select(
@@ -109,22 +120,23 @@ def join_sources(sources: Mapping[str, DataFrame], cfg: C.Settings, rows_per_spl
     }), "s29")
     out = attach(out, side("sda", {f"a_{n}": c for n, c in docs.items()}), "sda")
     out = attach(out, side("sdn", {f"b_{n}": c for n, c in nine.items()}), "sdn")
+    out = before_last(out.select(
+        *[c for c in out.columns if not c.startswith(("a_", "b_")) and c not in ("_sda", "_sdn")],
+        *[(F.coalesce(f"a_{n}", f"b_{n}") if n in nine else F.col(f"a_{n}")).alias(n) for n in docs],
+        R.doc_type(F.col("_sda").isNotNull(), F.col("_sdn").isNotNull()).alias("tipo_doc_suspensiva"),
+    ))
     # Last: of the sources with blank keys, which multiply contracts without a number, it is the one that matches them.
-    out = attach(out, side("pbi", {
+    return attach(out, side("pbi", {
         "situacao_suspensiva": "situacao_da_analise_suspensiva",
         "dt_vencimento_suspensiva": "vencimento_da_suspensiva",
     }), "pbi")
-    return out.select(
-        *_SACI, "situacao_suspensiva", "dt_vencimento_suspensiva", "dt_retirada_suspensiva", "dt_lae",
-        "dt_pub_licitacao", "dt_homolog_licitacao", "dt_vrpl", "dt_aio", "perspectiva_de_retirada_da_suspensiva",
-        *[(F.coalesce(f"a_{n}", f"b_{n}") if n in nine else F.col(f"a_{n}")).alias(n) for n in docs],
-        R.doc_type(F.col("_sda").isNotNull(), F.col("_sdn").isNotNull()).alias("tipo_doc_suspensiva"),
-    )
 
 
 def enrich(sources: Mapping[str, DataFrame], cfg: C.Settings, rows_per_split: int | None = None) -> DataFrame:
     """The wide base under its published column names."""
-    derived = R.with_contract_rules(join_sources(sources, cfg, rows_per_split), cfg)
+    # A contract without a number meets every blank row of the last source; its other rules are worked out once, before.
+    joined = _joined(sources, cfg, rows_per_split, lambda df: R.with_milestone_rules(df, cfg))
+    derived = R.with_suspension_rules(joined, cfg)
     return derived.withColumn("cod_saci", F.col("cod_tci")).select(
         *[F.col(n).alias(published) for n, published in C.BASE_COLUMNS.items()]
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from catalog import queries as Q
 from catalog import tables as T
 from milemark import config as C
+from milemark.functions import rules as R
 from milemark.operators import diff as D
 from milemark.plans import contract_base, daily, panel
 from milemark.sources import files
@@ -55,6 +56,25 @@ def test_enrich_is_the_same_however_keys_are_split(spark):
     assert rows(2) == rows(10**6)
 
 
+@pytest.mark.parametrize("rows_per_split", [None, 2])
+def test_rules_are_worked_out_before_contracts_are_multiplied(spark, rows_per_split):
+    src = T.sources(spark, SF)
+    df = contract_base.enrich(src, T.SETTINGS, rows_per_split)
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    try:
+        text = df._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    last, below = text.split("Join LeftOuter", 1)
+    # Of the rules, those of the suspension alone are in the projection over the last join.
+    once = ["Inconsistência de base", "Iniciada em atraso", "Cumpriu o prazo", "Concluída em atraso", C.DOC_NAO_APRESENTADOS]
+    assert not [t for t in once if t in last] and all(t in below for t in once)
+    assert "RETIRADA" in last and "31–90 dias" in last
+    wide = R.with_contract_rules(contract_base.join_sources(src, T.SETTINGS), T.SETTINGS).withColumn("cod_saci", F.col("cod_tci"))
+    wide = wide.select(*[F.col(n).alias(published) for n, published in C.BASE_COLUMNS.items()])
+    assert sorted(map(str, df.collect())) == sorted(map(str, wide.collect()))
+
+
 def test_rule_filters_reach_the_scan(spark):
     text = plan(T.read(spark, SF, "orders").where(F.col("o_orderstatus") == "F").select("o_orderkey"))
     assert "EqualTo(o_orderstatus,F)" in text and "ReadSchema: struct<o_orderkey:bigint,o_orderstatus:string>" in text
