@@ -16,7 +16,7 @@ from milemark import config as C
 from milemark.functions.keys import KEY, record_key
 from milemark.functions.text import br_date, br_number, label_map, norm, parse_date, strip_sql
 from milemark.operators import joins
-from milemark.sources.marks import digest
+from milemark.sources.marks import list_digest
 from milemark.sources.naming import canonical_name, canonicalize
 
 ENTERED, EXITED, CHANGED = 1, 2, 3
@@ -253,14 +253,23 @@ def _placed(days: Sequence[str], spec: C.DiffSpec) -> list[Column]:
 def record_digests(
     snapshots: DataFrame, headers: Mapping[str, Sequence[str]], spec: C.DiffSpec, more: Sequence[str] = ()
 ) -> DataFrame:
-    """Key, ``ord`` (number of the day), ``digest`` of all values that ``diff_history`` compares, and ``more``.
+    """Key, ``ord`` (number of the day), ``digest_0`` and so on, and ``more``.
 
-    Equal digests of two days of a record: no field has changed.
+    There is a digest for each list of fields that days are compared by, null on days that are not compared by it. Where each
+    of them is equal on all days of a record that have it, no field that ``diff_history`` compares has changed.
     """
+    days = sorted(headers)
     prepared = _prepare_history(snapshots, headers, spec, more)
-    fields = [f for f in _compared(headers, spec)[1] if f not in spec.ignored]
-    values = {f: F.expr(f"coalesce(cast(`{f}` as string), '')") for f in fields if f in prepared.columns}
-    return prepared.select(*_placed(sorted(headers), spec), digest(values).alias("digest"), *more)
+    by_list: dict[tuple[str, ...], set[int]] = {}
+    for d, fields in _compared(headers, spec)[0].items():
+        n = days.index(d)
+        by_list.setdefault(tuple(sorted(set(fields) - set(spec.ignored))), set()).update((n, n + 1))
+    key, ord_ = _placed(days, spec)
+    digests = []
+    for i, (fields, ords) in enumerate(by_list.items()):
+        own = list_digest(F.array(F.lit(""), *[F.expr(f"coalesce(cast(`{f}` as string), '')") for f in fields if f in prepared.columns]))
+        digests.append((own if len(ords) == len(days) else F.when(ord_.isin(sorted(ords)), own)).alias(f"digest_{i}"))
+    return prepared.select(key, ord_, *digests, *more)
 
 
 def canonical_header(header: Sequence[str]) -> list[str]:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import SparkSession
 
 # The rule projections are wide: their generated methods pass the size up to which the JVM
@@ -19,6 +22,23 @@ SETTINGS = {
 }
 
 
+# Bytes of a method up to which the JVM compiles it where JVM_OPTIONS are not given.
+COMPILED_BYTES = 8000
+
+
+@contextmanager
+def compiled(spark: SparkSession) -> Iterator[None]:
+    """For wide rows written here and now: a stage whose generated code would stay interpreted runs operator by operator,
+    whose expressions Spark cuts into small methods. Nothing else of the session is changed."""
+    key = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), COMPILED_BYTES)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 # What an exchange of the whole input would bring to one task.
 PARTITION_BYTES = 256 << 20
 

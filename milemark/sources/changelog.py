@@ -7,11 +7,13 @@ version, it was made from, so that only days whose pair has changed since are co
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from milemark import config as C
+from milemark import session
 from milemark.functions.keys import KEY
 from milemark.operators import diff
 from milemark.sources import marks, store
@@ -66,10 +68,11 @@ class ChangeLog:
                 groups.append([d])
         for group in groups:
             run = uuid.uuid4().hex
-            rows, headers = self._moved([wanted[group[0]][0], *group])
-            events = diff.diff_history(rows, headers, self.spec).withColumn("run", F.lit(run))
             dynamic = {"partitionOverwriteMode": "dynamic"}
-            events.write.mode("overwrite").options(**dynamic).partitionBy(DAY).parquet(self.events_path)
+            with session.compiled(self.store.spark):
+                rows, headers = self._moved([wanted[group[0]][0], *group])
+                events = diff.diff_history(rows, headers, self.spec).withColumn("run", F.lit(run))
+                events.write.mode("overwrite").options(**dynamic).partitionBy(DAY).parquet(self.events_path)
             listed = [(wanted[d], run, d) for d in group]
             made = self.store.spark.createDataFrame(listed, _MADE_FROM).coalesce(1)
             made.write.mode("overwrite").options(**dynamic).partitionBy(DAY).parquet(self.manifest_path)
@@ -89,9 +92,11 @@ class ChangeLog:
         own = diff.record_digests(numbered, headers, self.spec, [marks.ROW])
         # Days as a set of bits and rows counted: a repeated key stays, and is refused by the comparison.
         w, every = Window.partitionBy(KEY), F.lit((1 << len(days) + 1) - 2)
+        # A digest that no day of a record has says nothing of it.
+        alike = [F.coalesce(F.min(c).over(w) == F.max(c).over(w), F.lit(True)) for c in own.columns if c.startswith("digest_")]
         seen = own.select(
             "ord", marks.ROW, (F.count("*").over(w) == len(days)).alias("n"), F.expr("bit_or(shiftleft(1L, ord))").over(w).alias("days"),
-            (F.min("digest").over(w) == F.max("digest").over(w)).alias("same"),
+            reduce(lambda a, b: a & b, alike).alias("same"),
         )
         day = F.element_at(F.array(*[F.lit(d) for d in sorted(days)]), F.col("ord")).alias(store.DAY)
         moved = seen.where(~(F.col("n") & F.col("same") & (F.col("days") == every))).select(day, marks.ROW)

@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from milemark import session
 from milemark.sources import marks
 
 DAY = "snapshot_date"
@@ -48,8 +49,9 @@ class SnapshotStore:
         version = uuid.uuid4().hex
         text = marks.numbered(df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns], F.lit(version).alias(VERSION)))
         header = self.spark.range(1).select(F.array(*[F.lit(c) for c in df.columns]).alias("fields"), F.lit(version).alias("version"))
-        for frame, path in ((text, self.rows_path), (header.coalesce(1), self.manifest_path)):
-            frame.write.mode("overwrite").parquet(f"{path}/{DAY}={day}")
+        with session.compiled(self.spark):
+            for frame, path in ((text, self.rows_path), (header.coalesce(1), self.manifest_path)):
+                frame.write.mode("overwrite").parquet(f"{path}/{DAY}={day}")
 
     def _listed(self) -> dict[str, tuple[list[str], str]]:
         manifest = read_or_none(self.spark, self.manifest_path, _MANIFEST)

@@ -83,6 +83,35 @@ def test_headers_of_their_own(spark, kept):
     assert rows_of(log.events()) == whole(store) != []
 
 
+def test_column_that_one_day_lacks_moves_no_rows(spark, kept):
+    """Rows are picked by the fields that each two neighbouring days are compared in, not by those of all days."""
+    store, log = kept
+    rows = spark.range(40).selectExpr("cast(id as string) num_convenio", "'x' cod_saci", "'SP' uf", "nullif(id % 2, 0) || '' situacao")
+    store.write(rows.drop("situacao"), DAYS[0])
+    store.write(rows, DAYS[1])
+    store.write(rows.withColumn("situacao", F.expr("case when num_convenio = '7' then 'z' else situacao end")), DAYS[2])
+    moved, _ = log._moved(DAYS[:3])
+    assert {r["num_convenio"] for r in moved.collect()} == {"7"}
+    assert log.update() == DAYS[1:3]
+    assert rows_of(log.events()) == whole(store) and log.events().count() == 1
+
+
+def test_stages_too_large_to_be_compiled_are_not_generated(spark, kept):
+    """Only while a day is stored or compared; the session is as before after it, also when that fails."""
+    key, seen = "spark.sql.codegen.hugeMethodLimit", []
+    before = spark.conf.get(key)
+    store, log = kept
+    store.write(day(spark, 1), DAYS[0])
+    store.write(day(spark, 1), DAYS[1])
+    moved = log._moved
+    log._moved = lambda days: (seen.append(spark.conf.get(key)), moved(days))[1]
+    log.update()
+    assert seen == ["8000"] and spark.conf.get(key) == before
+    with pytest.raises(Exception, match="no such day"):
+        store.write(spark.range(1).selectExpr("raise_error('no such day') a"), DAYS[2])
+    assert spark.conf.get(key) == before
+
+
 def test_stopped_runs(spark, kept, tmp_path):
     store, log = kept
     store.write(day(spark, 1), DAYS[0])

@@ -76,3 +76,11 @@ def test_log_compares_moved_records_only(spark, tmp_path):
     store.write(rows.where("num_convenio <> '7'"), days[2])
     with pytest.raises(PySparkException, match="duplicated snapshot key: 7"):
         log.update()
+
+
+def test_list_digest_tells_places_and_separators_apart(spark):
+    lists = [["a\x1fb", ""], ["a", "b"], ["a", "b", ""], ["", "a", "b"], ["a", "\x1fb"], ["ab", ""], ["", "ab"], [""], []]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate([*lists, *lists])], "i int, v array<string>")
+    found = [bytes(r[0]) for r in df.orderBy("i").select(marks.list_digest(F.col("v"))).collect()]
+    assert {len(d) for d in found} == {16} and len(set(found)) == len(lists)
+    assert found[: len(lists)] == found[len(lists) :]
